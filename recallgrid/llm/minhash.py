@@ -7,10 +7,10 @@ ROWS coordinates are bucket keys. A pair at similarity 0.85 shares no bucket wit
 at 0.8 with 3e-6.
 
 Within a bucket every text is checked against the bucket's smallest id; the links give components;
-then every remaining pair of a bucket that lies in different components is checked too, if bit
-sketches and set sizes don't exclude it (a pair at the threshold fails the bit test at 9 standard
-deviations). A link left out lies within a component, so components equal those of all bucket pairs.
-All links are confirmed on the full shingle sets.
+then every remaining pair of a bucket that lies in different components is checked too: pair by pair
+where few are left, unless bit sketches or set sizes exclude it (a pair at the threshold fails the bit
+test at SIGMAS standard deviations), and in blocks where many are. A link left out lies within a
+component, so components equal those of all bucket pairs. All links are confirmed on full shingle sets.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; a null
 doc_id is linked with nothing and its component is null; rows that share a doc_id are one document for
@@ -34,6 +34,9 @@ from .storage import stored
 WIDTH, BINS, BANDS, ROWS = 5, 256, 42, 6
 VALUE_BITS = np.uint64(48)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+# Buckets with at most FEW rows outside their largest component are compared pair by pair, others in blocks.
+FEW, BLOCK, DENSE_FROM = 16, 512, 8
+SIGMAS = 6.5
 BIT_COLUMNS = ["b0", "b1", "b2", "b3"]
 
 
@@ -119,6 +122,55 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(width, percent), "a long, b long")
 
 
+def _blocks_linked(width: int, percent: int):
+    """Links between the rows of two blocks of a bucket (or within one) that lie in different components."""
+
+    def run(key, rows):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        ids, block, component = (rows[c].to_numpy() for c in ("id", "block", "component"))
+        text = rows["text"].combine_chunks()
+        hashes, at = shingle_sets(*text_bytes(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text), width)
+        size, doc = np.diff(at), np.repeat(np.arange(len(ids)), np.diff(at))
+        both = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        order = np.argsort(hashes, kind="stable")
+        doc = doc[order]
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(hashes[order])) + 1]) if len(hashes) else np.empty(0, dtype=np.int64)
+        times = np.diff(np.append(heads, len(hashes)))
+        for n in range(2, DENSE_FROM):  # shingles of few rows: pair by pair of places
+            mine = doc[heads[times == n][:, None] + np.arange(n)]
+            for i in range(n):
+                for j in range(i + 1, n):
+                    np.add.at(both, (mine[:, i], mine[:, j]), 1)
+        both += both.T
+        often = np.flatnonzero(times >= DENSE_FROM)
+        for k in range(0, len(often), 4096):  # the others: a product of presence matrices
+            some = often[k : k + 4096]
+            there = np.zeros((len(ids), len(some)), dtype=np.float32)
+            there[doc[np.concatenate([np.arange(heads[c], heads[c] + times[c]) for c in some])], np.repeat(np.arange(len(some)), times[some])] = 1
+            both += there @ there.T
+        linked = 100 * both.astype(np.int64) >= percent * (size[:, None] + size[None, :] - both.astype(np.int64))
+        linked &= (component[:, None] != component[None, :]) & (ids[:, None] < ids[None, :])
+        linked &= ((block[:, None] == lo) & (block[None, :] == hi)) | ((block[:, None] == hi) & (block[None, :] == lo))
+        a, b = np.nonzero(linked)
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    return run
+
+
+def crowded_links(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components in buckets(key, id, component, m) with many of them.
+
+    A bucket is cut into blocks of about BLOCK rows; each pair of blocks is one group, in which all
+    rows are compared at once by counting shared shingles, and only links come out.
+    """
+    cut = F.ceil(F.col("m") / BLOCK)
+    placed = rows.select("key", "id", "component", cut.alias("blocks"), F.pmod(F.xxhash64("id"), cut).alias("block"))
+    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "id", "block", "component")
+    full = dealt.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    return full.groupBy("key", "lo", "hi").applyInArrow(_blocks_linked(width, percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
     rows = stored(sketches(docs, width), "sketches")
@@ -137,16 +189,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     facts = one.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *BIT_COLUMNS).join(wanted.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     mixed = stored(placed.join(mixed, "key", "left_semi").join(facts, "id"), "mixed")
-    by_size = mixed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-    minors = mixed.join(by_size, "key").where("component <> major").drop("major")
-    other = mixed.select("key", *(F.col(c).alias(f"o_{c}") for c in ("id", "component", "n", *BIT_COLUMNS)))
+    by_size = mixed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("minors"), F.sum("n").alias("m"))
+    mixed = stored(mixed.join(by_size, "key"), "mixed")
+    few = mixed.where(F.col("minors") <= FEW)
+    other = few.select(F.col("key").alias("o_key"), *(F.col(c).alias(f"o_{c}") for c in ("id", "component", "n", *BIT_COLUMNS)))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in BIT_COLUMNS), F.lit(0))
     mean = BINS * (1 - percent / 100) / 2
-    near = apart <= int(mean + 9 * (mean * (1 - mean / BINS)) ** 0.5 + 1)
-    sizes = (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n"))
-    rest = minors.join(other, (minors["key"] == other["key"]) & (F.col("component") != F.col("o_component")) & sizes & near)
+    near = apart <= int(mean + SIGMAS * (mean * (1 - mean / BINS)) ** 0.5 + 1)
+    sizes = 100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")
+    rest = few.where("component <> major").join(other, (F.col("key") == F.col("o_key")) & (F.col("component") != F.col("o_component")) & sizes & near)
     rest = rest.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stored(verified(stored(rest, "rest"), texts, width, percent), "links")
+    more = stored(verified(stored(rest, "rest"), texts, width, percent).unionByName(crowded_links(mixed.where(F.col("minors") > FEW), texts, width, percent)), "links")
     of = connected_components(links.unionByName(more))
     return (
         rows.select("doc_id", "n_shingles", "d0", "d1")

@@ -9,21 +9,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, minhash, mixing, token_counts
+from . import bpe, chat, exact_dedup, fingerprints, langid, minhash, mixing, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -47,6 +51,16 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.build_derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+    head = lambda name: F.element_at("headers", name)
+    return made.select(
+        "page_id", "type", "record_id", head("WARC-Refers-To").alias("refers_to"), head("WARC-Concurrent-To").alias("concurrent_to"), "target_uri", "date", "content_type",
+        F.octet_length("block").cast("long").alias("content_length"), head("WARC-Block-Digest").alias("block_digest"), head("WARC-Source-Payload-Digest").alias("source_payload_digest"),
+        F.sha2("block", 256).alias("block_sha256"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -112,15 +126,27 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return bpe_digests(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+TOXIC_FROM = 0.7
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & ~held_out).select("doc_id", F.col("toxic").alias("label"))
+    rows = docs.select("doc_id", "text").join(toxicity.sample(labels).hint("broadcast"), "doc_id")
+    scores = toxicity.score(docs, toxicity.train(rows))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_mixing, op4_fingerprints, op6_exact_dedup, op7_chat, op8_bpe, op9_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_fingerprints, op5_warc, op6_exact_dedup, op7_chat, op8_bpe, op9_minhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

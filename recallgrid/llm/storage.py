@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_A_BATCH = 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,8 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """At most n rows in an Arrow batch of the jobs inside, for columns of long values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, min(n, int(before or n)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once and read it back: cuts lineage, and what was non-deterministic is fixed."""
     path = f"{shared_dir(df.sparkSession)}/recallgrid-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with arrow_rows(df.sparkSession, ROWS_A_BATCH):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,9 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shared_dir
+from .storage import arrow_rows, shared_dir
 
 BLOCK_BYTES = 24 << 20
+WORDS_TOGETHER = 200_000
+DOCS_TOGETHER = 256
+ROWS_A_BATCH = 512
 BLOCK_SCHEMA = "block long, bucket int, words array<string>, doc_ids array<long>, counts array<int>, indexes binary"
 
 
@@ -36,7 +39,7 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 def _block(number: int, buckets: int, ids: list, lists: list) -> Iterator[pa.RecordBatch]:
     counts = pa.concat_arrays([pc.fill_null(pc.list_value_length(x), 0) for x in lists])
-    coded = pa.concat_arrays([x.flatten().cast(pa.large_string()) for x in lists]).dictionary_encode()
+    coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
     words = coded.dictionary
     rows = {"bucket": [-1], "words": [None], "doc_ids": [pa.concat_arrays(ids).to_pylist()], "counts": [counts.to_pylist()]}
     # a word's bucket is a hash of its bytes: the same in every block
@@ -50,7 +53,7 @@ def _block(number: int, buckets: int, ids: list, lists: list) -> Iterator[pa.Rec
     ends = np.searchsorted(keys[order], np.arange(buckets + 1))
     some = [k for k in range(buckets) if ends[k] < ends[k + 1]]
     for k in some:
-        mine = words.take(pa.array(order[ends[k] : ends[k + 1]])).cast(pa.string())
+        mine = words.take(pa.array(order[ends[k] : ends[k + 1]]))
         yield pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), pa.array([k], pa.int32()), pa.ListArray.from_arrays([0, len(mine)], mine), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.binary())],
             names=["block", "bucket", "words", "doc_ids", "counts", "indexes"],
@@ -101,7 +104,8 @@ def block_table(words: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     name = f"recallgrid_blocks_{uuid.uuid4().hex}"
     # the text bytes are about half of what Arrow holds for short words
     rows = words.select("doc_id", "words").mapInArrow(_cut(buckets, 2 * block_bytes), BLOCK_SCHEMA)
-    rows.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "block").format("parquet").saveAsTable(name)
+    with arrow_rows(spark, ROWS_A_BATCH):
+        rows.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "block").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -111,8 +115,21 @@ def by_distinct_word(blocks: DataFrame, work: Callable[[list[str]], list[list[in
     work gets the sorted distinct words of a stretch of a bucket, each word of the corpus once in all.
     """
 
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        """One row for each block and bucket: the words' ranks (as steps), how many numbers each has, and the numbers."""
+        block, bucket, rank, sizes = (np.concatenate([h[k] for h in held]) for k in range(4))
+        values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.concat_arrays([h[4] for h in held]))
+        order = np.lexsort((rank, bucket, block))
+        block, bucket, rank, sizes = block[order], bucket[order], rank[order], sizes[order]
+        values = values.take(pa.array(order)).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(block) | np.diff(bucket)) + 1, [len(block)]])
+        rows = [(int(block[a]), int(bucket[a]), _planes(np.diff(rank[a:b], prepend=0)), _planes(sizes[a:b]), _planes(values[ends[a] : ends[b]])) for a, b in zip(heads[:-1], heads[1:], strict=True)]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "bucket", "ranks", "sizes", "values"])
+
     def run(batches):
-        last, known = None, []
+        last, known, held, n = None, [], [], 0
         for batch in batches:
             coded = batch.column("word").dictionary_encode()
             words = coded.dictionary.to_pylist()
@@ -121,42 +138,40 @@ def by_distinct_word(blocks: DataFrame, work: Callable[[list[str]], list[list[in
             last, known = words[-1] if words else last, found[-1] if found else known
             sizes = np.array([len(x) for x in found], dtype=np.int64)
             values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array([v for x in found for v in x], pa.int32()))
-            block, bucket, at = batch.column("block").to_numpy(), batch.column("bucket").to_numpy(), coded.indices.to_numpy()
-            order = np.lexsort((batch.column("rank").to_numpy(), bucket, block))
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(block[order]) | np.diff(bucket[order])) + 1])
-            ends = np.append(heads, len(order)).astype(np.int32)
-            mine = values.take(pa.array(at[order]))
-            inner = np.concatenate([[0], np.cumsum(sizes[at[order]])])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(block[order][heads]),
-                    pa.array(bucket[order][heads]),
-                    pa.ListArray.from_arrays(pa.array(ends), batch.column("rank").take(pa.array(order))),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(sizes[at[order]].astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(inner[ends].astype(np.int32)), mine.flatten()),
-                ],
-                names=["block", "bucket", "ranks", "sizes", "values"],
-            )
+            at = coded.indices.to_numpy()
+            held.append((batch.column("block").to_numpy(), batch.column("bucket").to_numpy(), batch.column("rank").to_numpy(), sizes[at], values.take(pa.array(at)).flatten()))
+            n += batch.num_rows
+            if n >= WORDS_TOGETHER:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
 
     lists = blocks.where("bucket >= 0").select("block", "bucket", "words").repartition("bucket")
     sent = lists.select("block", "bucket", F.posexplode("words").alias("rank", "word")).sortWithinPartitions("word")
-    return sent.mapInArrow(run, "block long, bucket int, ranks array<int>, sizes array<int>, values array<int>")
+    return sent.mapInArrow(run, "block long, bucket int, ranks binary, sizes binary, values binary")
 
 
 def put_back(blocks: DataFrame, found: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """finish(doc_ids, counts, lists) of each block: its documents' ids, words per document and, word by word, the numbers found."""
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         left = left.filter(pc.equal(left["bucket"], -1)).combine_chunks()
-        right = right.combine_chunks()
-        n = pc.list_value_length(right["ranks"]).to_numpy()
-        bucket = np.repeat(right["bucket"].to_numpy(), n)
-        flat = lambda c: right[c].combine_chunks().flatten() if right.num_rows else pa.array([], pa.int32())
-        sizes = flat("sizes").to_numpy(zero_copy_only=False)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat("values"))
-        lists = lists.take(pa.array(np.lexsort((flat("ranks").to_numpy(zero_copy_only=False), bucket)))) if len(sizes) else lists
+        order = sorted(range(right.num_rows), key=right["bucket"].to_pylist().__getitem__)
+        buckets = right["bucket"].to_pylist()
+        part = lambda c, i: _from_planes(right[c][i].as_py())
+        none = [np.empty(0, dtype=np.int32)]
+        sizes = np.concatenate(none + [part("sizes", i) for i in order])
+        rank = np.concatenate(none + [np.cumsum(part("ranks", i)) for i in order])
+        bucket = np.repeat([buckets[i] for i in order], [len(right["sizes"][i].as_py()) // 4 for i in order]) if order else none[0]
+        values = np.concatenate(none + [part("values", i) for i in order])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.int32()))
+        lists = lists.take(pa.array(np.lexsort((rank, bucket))))
         at = _from_planes(left["indexes"][0].as_py())
-        return finish(left["doc_ids"].combine_chunks().flatten(), left["counts"].combine_chunks().flatten().to_numpy(), lists.take(pa.array(at)))
+        ids, counts = left["doc_ids"].combine_chunks().flatten(), left["counts"].combine_chunks().flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        slices = range(0, len(ids), DOCS_TOGETHER)
+        return pa.concat_tables([finish(ids[k : k + DOCS_TOGETHER], counts[k : k + DOCS_TOGETHER], lists.take(pa.array(at[ends[k] : ends[min(k + DOCS_TOGETHER, len(ids))]]))) for k in slices])
 
     home = blocks.where("bucket = -1").select("block", "bucket", "doc_ids", "counts", "indexes")
     return home.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
