@@ -217,5 +217,5 @@ def identify_documents(docs: DataFrame, min_confidence: float = 0.5) -> DataFram
     rows = docs.withColumns({"lid_text": F.col("text"), "lid_declared": F.col("lang"), "lid_host": F.col("source"), "lid_domain": F.lit(None).cast("string"), "lid_suffix": F.lit(None).cast("string")})
     rows = scored(rows, model)
     small = stored(rows.select("lid_declared", "lid_suffix", "lid_domain", "lid_host", "lid_scores"), "scored")
-    out = fuse(rows.where(F.size("lid_scores") > 0), evidence(small, languages) if languages else {}, languages)
+    out = fuse(rows.where(F.regexp_like("text", F.lit(r"\p{L}"))), evidence(small, languages) if languages else {}, languages)
     return out.where(F.col("lid_confidence") >= min_confidence).withColumn("lang", F.col("lid_lang")).select(*docs.columns)
