@@ -100,10 +100,10 @@ def split_words(text: Column, special: list[str]) -> Column:
     return F.when(F.contains(text, token), F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(words(text))
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids array<int> of each row of docs, whole texts."""
+def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+    """doc_id, ids array<int> of each row of docs, whole texts; on demand also decoded, made of ids in the same task."""
     vocabulary = load_vocabulary(path)
-    shared = docs.sparkSession.sparkContext.broadcast({k: vocabulary[k] for k in ("ids", "ranks", "special")})
+    shared = docs.sparkSession.sparkContext.broadcast({k: vocabulary[k] for k in ("ids", "ranks", "special", "pieces")})
 
     def work(words: list[str]) -> list[list[int]]:
         v = shared.value
@@ -112,11 +112,24 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     def finish(doc_ids: pa.Array, counts: np.ndarray, lists: pa.ListArray) -> pa.Table:
         tokens = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
         ends = tokens[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lists.flatten())})
+        ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lists.flatten())
+        return pa.table({"doc_id": doc_ids, "ids": ids} | ({"decoded": joined_pieces(ids, pa.array(shared.value["pieces"], pa.binary()))} if decoded else {}))
 
     text = F.coalesce("text", F.lit(""))
     blocks = block_table(docs.select("doc_id", split_words(text, list(vocabulary["special"])).alias("words")), block_bytes)
-    return put_back(blocks, by_distinct_word(blocks, work), finish, "doc_id long, ids array<int>")
+    return put_back(blocks, by_distinct_word(blocks, work), finish, "doc_id long, ids array<int>" + ", decoded string" * decoded)
+
+
+def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The pieces of each list of ids, joined, as text: the id-to-piece join of a batch."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    taken = pieces.take(ids.flatten())
+    if not len(taken):
+        return pa.array(["" if there else None for there in ids.is_valid().to_pylist()], pa.string())
+    ends = np.frombuffer(taken.buffers()[1], dtype=np.int32)[taken.offset : taken.offset + len(taken) + 1]
+    bounds, view = ends[np.concatenate([[0], np.cumsum(sizes)])], memoryview(taken.buffers()[2] or b"")
+    texts = (bytes(view[a:b]).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+    return pa.array([t if there else None for t, there in zip(texts, ids.is_valid().to_pylist(), strict=True)], pa.string())
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -124,20 +137,10 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     shared = coded.sparkSession.sparkContext.broadcast(load_vocabulary(path)["pieces"])
 
     def run(batches):
-        table = pa.array(shared.value, pa.binary())
+        pieces = pa.array(shared.value, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = part.column("ids")
-                sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-                pieces = table.take(ids.flatten())
-                ends = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset :] if len(pieces) else np.zeros(1, dtype=np.int32)
-                data = (pieces.buffers()[2] or b"") if len(pieces) else b""
-                bounds = ends[np.concatenate([[0], np.cumsum(sizes)])]
-                view = memoryview(data)
-                texts = [bytes(view[a:b]).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                texts = [t if ok else None for t, ok in zip(texts, ids.is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
-
-    schema = coded.drop("decoded").schema.add("decoded", "string")
-    return coded.drop("decoded").mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays([*part.columns, joined_pieces(part.column("ids"), pieces)], names=[*part.schema.names, "decoded"])
+
+    return coded.drop("decoded").mapInArrow(run, coded.drop("decoded").schema.add("decoded", "string"))

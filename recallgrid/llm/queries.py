@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,20 +105,10 @@ FROM e GROUP BY conv_id
 """
 
 
-def _ids_digest(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            ids = pc.fill_null(part.column("ids"), pa.scalar([], part.column("ids").type))
-            joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), ",").to_pylist()
-            digests = [hashlib.sha256(x.encode()).hexdigest() for x in joined]
-            decoded = [hashlib.sha256((x or "").encode()).hexdigest() for x in part.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.cast(pc.list_value_length(ids), pa.int64()), pa.array(digests), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(docs, path), path)
-    return coded.mapInArrow(_ids_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    coded = bpe.encode(docs, path, decoded=True)
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

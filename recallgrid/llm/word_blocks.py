@@ -41,15 +41,13 @@ def _block(number: int, buckets: int, ids: list, lists: list) -> Iterator[pa.Rec
     counts = pa.concat_arrays([pc.fill_null(pc.list_value_length(x), 0) for x in lists])
     coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
     words = coded.dictionary
-    rows = {"bucket": [-1], "words": [None], "doc_ids": [pa.concat_arrays(ids).to_pylist()], "counts": [counts.to_pylist()]}
     # a word's bucket is a hash of its bytes: the same in every block
     keys = _bucket_of(words, buckets)
     order = np.argsort(keys, kind="stable")
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
     at = coded.indices.to_numpy(zero_copy_only=False)
-    rows["indexes"] = [_planes(place[at]) if len(at) else b""]
-    yield _rows(number, rows)
+    yield from _homes(number, pa.concat_arrays(ids), counts, place[at] if len(at) else np.empty(0, dtype=np.int64))
     ends = np.searchsorted(keys[order], np.arange(buckets + 1))
     some = [k for k in range(buckets) if ends[k] < ends[k + 1]]
     for k in some:
@@ -60,9 +58,14 @@ def _block(number: int, buckets: int, ids: list, lists: list) -> Iterator[pa.Rec
         )
 
 
-def _rows(number: int, rows: dict) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "words": pa.list_(pa.string()), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "indexes": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array(rows[k], t) for k, t in kinds.items())], names=["block", *kinds])
+def _homes(number: int, ids: pa.Array, counts: pa.Array, indexes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A block's documents, DOCS_TOGETHER a row."""
+    ends = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    for k in range(0, len(ids), DOCS_TOGETHER):
+        n = min(k + DOCS_TOGETHER, len(ids)) - k
+        data = pa.array([_planes(indexes[ends[k] : ends[k + n]])], pa.binary())
+        columns = [pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.list_(pa.string())), pa.ListArray.from_arrays([0, n], ids[k : k + n]), pa.ListArray.from_arrays([0, n], counts[k : k + n].cast(pa.int32())), data]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "words", "doc_ids", "counts", "indexes"])
 
 
 def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
@@ -167,11 +170,11 @@ def put_back(blocks: DataFrame, found: DataFrame, finish: Callable, schema: str)
         values = np.concatenate(none + [part("values", i) for i in order])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.int32()))
         lists = lists.take(pa.array(np.lexsort((rank, bucket))))
-        at = _from_planes(left["indexes"][0].as_py())
-        ids, counts = left["doc_ids"].combine_chunks().flatten(), left["counts"].combine_chunks().flatten().to_numpy()
-        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        slices = range(0, len(ids), DOCS_TOGETHER)
-        return pa.concat_tables([finish(ids[k : k + DOCS_TOGETHER], counts[k : k + DOCS_TOGETHER], lists.take(pa.array(at[ends[k] : ends[min(k + DOCS_TOGETHER, len(ids))]]))) for k in slices])
+        done = []
+        for i in range(left.num_rows):
+            at, ids, counts = _from_planes(left["indexes"][i].as_py()), left["doc_ids"][i].values, left["counts"][i].values.to_numpy()
+            done.append(finish(ids, counts, lists.take(pa.array(at))))
+        return pa.concat_tables(done)
 
     home = blocks.where("bucket = -1").select("block", "bucket", "doc_ids", "counts", "indexes")
     return home.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
