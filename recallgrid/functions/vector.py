@@ -29,5 +29,5 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """v at length 1, null for a zero vector."""
     v = as_double(v)
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
+    # the norm is bound to a lambda's argument, so that it is computed once
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))), 0)

@@ -33,30 +33,28 @@ def scored(facts: DataFrame, query: str, query_vector: list[float] | None, now:
 
 
 def collapse_fold(ranked: Column, limit: int | None, seed: Column | None = None) -> Column:
-    """array<struct<id, score, state>> of an array of struct<id, score, hash, vector> in rank order.
+    """array<struct<id, score, state>> of an array of struct<id, score, hash, unit> in rank order; unit is the vector at length 1.
 
     state: kept, dup (hash of a kept row), collapsed (too similar to a kept row) or over (limit reached).
     """
     begin = seed if seed is not None else F.expr(f"cast(named_struct('hashes', array(), 'vectors', array(), 'n', 0, 'out', array()) as {KEPT})")
 
     def step(s: Column, x: Column) -> Column:
-        unit_ = vector.unit(x["vector"])
-        close = F.coalesce(F.exists(s["vectors"], lambda v: vector.dot(v, unit_) > scoring.PARAPHRASE_CUTOFF), F.lit(False))
-        state = F.lit("kept")
-        state = F.when(x["vector"].isNotNull() & close, "collapsed").otherwise(state)
+        close = F.coalesce(F.exists(s["vectors"], lambda v: vector.dot(v, x["unit"]) > scoring.PARAPHRASE_CUTOFF), F.lit(False))
+        state = F.when(x["unit"].isNotNull() & close, "collapsed").otherwise("kept")
         state = F.when((x["hash"] != "") & F.array_contains(s["hashes"], x["hash"]), "dup").otherwise(state)
         state = F.when(s["n"] >= limit, "over").otherwise(state) if limit is not None else state
-        return _put(s, x, state, unit_)
+        return F.get(F.transform(F.array(state), lambda found: _put(s, x, found)), 0)  # state is computed once
 
     return F.aggregate(ranked, begin, step, lambda s: s["out"])
 
 
-def _put(s: Column, x: Column, state: Column, unit_: Column) -> Column:
+def _put(s: Column, x: Column, state: Column) -> Column:
     kept = state == "kept"
     nothing = F.array()
     return F.struct(
         F.concat(s["hashes"], F.when(kept & (x["hash"] != ""), F.array(x["hash"])).otherwise(nothing.cast("array<string>"))).alias("hashes"),
-        F.concat(s["vectors"], F.when(kept & unit_.isNotNull(), F.array(unit_)).otherwise(nothing.cast("array<array<double>>"))).alias("vectors"),
+        F.concat(s["vectors"], F.when(kept & x["unit"].isNotNull(), F.array(x["unit"])).otherwise(nothing.cast("array<array<double>>"))).alias("vectors"),
         (s["n"] + kept.cast("int")).alias("n"),
         F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), x["score"].alias("score"), state.alias("state")))).alias("out"),
     )
@@ -64,7 +62,7 @@ def _put(s: Column, x: Column, state: Column, unit_: Column) -> Column:
 
 def ranked_array(rows: DataFrame, *first: Column) -> DataFrame:
     """One row: the rows in order of first (ascending), then id, as an array for the fold. For bounded inputs."""
-    order = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(first)), F.col("id").alias("k_id"), F.struct(F.col("id"), F.col("score"), F.coalesce("content_hash", F.lit("")).alias("hash"), vector.as_double(F.col("embedding")).alias("vector")).alias("row"))
+    order = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(first)), F.col("id").alias("k_id"), F.struct(F.col("id"), F.col("score"), F.coalesce("content_hash", F.lit("")).alias("hash"), vector.unit(F.col("embedding")).alias("unit")).alias("row"))
     return rows.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["row"]).alias("ranked"))
 
 

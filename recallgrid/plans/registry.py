@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import fixtures
 
 Views = Callable[[str], DataFrame]
+MODULES = ("scans", "changes", "relations", "texts", "analytics")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def add(name: str, make: Callable[[Views], DataFrame], sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # all times of the tables are UTC
         return make(lambda view: fixtures.view(spark, sf_dir, view))
 
     if name in QUERIES:
@@ -24,6 +27,21 @@ def add(name: str, make: Callable[[Views], DataFrame], sql: str | None = None) -
         SQL[name] = fixtures.duck(sql.strip())
 
 
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__package__}.{name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(QUERIES)
+
+
+def sql() -> dict[str, str]:
+    _load()
+    return dict(SQL)
+
+
 def query_vector(v: Views) -> list[float]:
     """The query's embedding: one row, as from an embedding service."""
     row = v("embeddings").where(f"vec_id = {fixtures.QUERY_VECTOR}").select("embedding").first()

@@ -78,3 +78,21 @@ def phrases(x: str) -> str:
 
 def temporal(fact: str, source: str) -> str:
     return f"list_concat(list_filter({dates(fact)}, lambda d: NOT list_contains({dates(source)}, d)), list_filter({phrases(fact)}, lambda p: NOT list_contains({phrases(source)}, p)))"
+
+FILE_BODIES = "(SELECT a.*, coalesce(nullif(a.extracted_text, ''), c.caption, '') AS body FROM v_attachments a LEFT JOIN v_captions c ON c.attachment_id = a.id)"
+BODIES = f"""u AS (SELECT m.* FROM v_messages m JOIN v_conversations k ON k.id = m.conversation_id WHERE m.id > k.mined_upto),
+b AS (SELECT conversation_id, message_external_id AS external_id, CAST(sum(length(body)) AS BIGINT) AS chars, string_agg(chr(10) || '[Attached file: ' || filename || ']' || chr(10) || body, '' ORDER BY id) AS added
+  FROM {FILE_BODIES} x WHERE body <> '' GROUP BY conversation_id, message_external_id),
+p AS (SELECT u.*, least(length(content) + coalesce(chars, 0), 20000) AS view_len, row_number() OVER (PARTITION BY u.conversation_id ORDER BY u.id) AS rn,
+    CASE WHEN length(content || coalesce(added, '')) > 20000 THEN substring(content || coalesce(added, ''), 1, 20000) || ' … [truncated]' ELSE content || coalesce(added, '') END AS body
+  FROM u LEFT JOIN b USING (conversation_id, external_id))"""
+
+
+def windowed(most: int, chars: int) -> str:
+    """p with its window_no and msg_no, as placed: the packing runs on row by row of a conversation."""
+    full = f"(f.n >= {most} OR f.c + p.view_len > {chars})"
+    return f"""{BODIES},
+f(conversation_id, rn, id, w, n, c) AS (SELECT conversation_id, rn, id, 1, 1, view_len FROM p WHERE rn = 1
+  UNION ALL SELECT p.conversation_id, p.rn, p.id, f.w + {full}::INT, CASE WHEN {full} THEN 1 ELSE f.n + 1 END, CASE WHEN {full} THEN p.view_len ELSE f.c + p.view_len END
+  FROM f JOIN p ON p.conversation_id = f.conversation_id AND p.rn = f.rn + 1),
+placed AS (SELECT p.*, f.w AS window_no, f.n AS msg_no FROM p JOIN f USING (conversation_id, id))"""
