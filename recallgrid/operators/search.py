@@ -104,4 +104,4 @@ def fallback(messages: DataFrame, conversations: DataFrame, query: str, limit: i
     words = query.split()
     homes = conversations.select(F.col("id").alias("conversation_id"), "title", "source_app")
     found = messages.where(like(F.col("content"), words[0] if words else "")).orderBy(F.col("id").desc()).limit(limit)
-    return found.join(homes, "conversation_id").select("id", "title", "source_app", "speaker", "created_at", F.substring("content", 1, FALLBACK_CHARS).alias("snippet"))
+    return found.join(homes, "conversation_id").select("id", "title", "source_app", "speaker", "created_at", F.substring("content", 1, FALLBACK_CHARS).alias("snippet")).orderBy(F.col("id").desc())
