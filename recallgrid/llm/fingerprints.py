@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import LOWER, UPPER
 
 WIDTH = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 4
 SPACES = r"[\x20\x09-\x0D]+"
 
 
