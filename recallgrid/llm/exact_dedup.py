@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ASCII_LOWER, slices, text_bytes
-from .storage import stored
+from .storage import packed, stored
 
 MODULI = (2147483647, 2147483629)
 BASES = (1000003, 1566083941)
@@ -192,8 +192,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows alike in doc_id and text one stays."""
     found = exact_duplicates(docs).where("kept")
     plain = found.where("n_same_id = 1 and doc_id is not null").select("doc_id")
-    odd = found.where("n_same_id > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"), F.col("text_sha256").alias("odd_sha"))
+    odd = found.where("n_same_id > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"), F.col("text_sha256").alias("odd_sha")).distinct()
     digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), 256)
-    repeated = docs.withColumn("odd_sha256_", digest).join(odd, F.col("doc_id").eqNullSafe(F.col("odd_id")) & (F.col("odd_sha256_") == F.col("odd_sha")), "left_semi")
-    once = repeated.dropDuplicates(["doc_id", "odd_sha256_"]).drop("odd_sha256_")
-    return docs.join(plain, "doc_id", "left_semi").select(*docs.columns).unionByName(once)
+    rows = docs.select("doc_id", digest.alias("sha"), packed(docs))
+    once = rows.join(odd, rows["doc_id"].eqNullSafe(F.col("odd_id")) & (F.col("sha") == F.col("odd_sha")), "left_semi").dropDuplicates(["doc_id", "sha"])
+    return rows.join(plain, "doc_id", "left_semi").select("doc.*").unionByName(once.select("doc.*"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import slices, text_bytes
-from .storage import stored
+from .storage import packed, stored
 
 BUCKET_BITS = 16
 TEXT_WEIGHT = 1 / 3
@@ -211,11 +211,9 @@ def identify_documents(docs: DataFrame, min_confidence: float = 0.5) -> DataFram
     """
     model = train(docs)
     languages = model["languages"]
-    clash = [c for c in docs.columns if c.startswith("lid_")]
-    if clash:
-        raise ValueError(f"columns {clash} are reserved")
-    rows = docs.withColumns({"lid_text": F.col("text"), "lid_declared": F.col("lang"), "lid_host": F.col("source"), "lid_domain": F.lit(None).cast("string"), "lid_suffix": F.lit(None).cast("string")})
+    nothing = F.lit(None).cast("string")
+    rows = docs.select(packed(docs), F.col("text").alias("lid_text"), F.col("lang").alias("lid_declared"), F.col("source").alias("lid_host"), nothing.alias("lid_domain"), nothing.alias("lid_suffix"))
     rows = scored(rows, model)
     small = stored(rows.select("lid_declared", "lid_suffix", "lid_domain", "lid_host", "lid_scores"), "scored")
-    out = fuse(rows.where(F.regexp_like("text", F.lit(r"\p{L}"))), evidence(small, languages) if languages else {}, languages)
-    return out.where(F.col("lid_confidence") >= min_confidence).withColumn("lang", F.col("lid_lang")).select(*docs.columns)
+    out = fuse(rows.where(F.regexp_like("doc.text", F.lit(r"\p{L}"))), evidence(small, languages) if languages else {}, languages)
+    return out.where(F.col("lid_confidence") >= min_confidence).select(*(F.col("lid_lang" if c == "lang" else f"doc.`{c}`").alias(c) for c in docs.columns))

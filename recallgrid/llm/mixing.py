@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import packed, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 PIECE = 4096
@@ -121,9 +121,9 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, cap: int =
     """docs with each row as often as the mix takes it, same columns; equal rows count together."""
     found = mix(docs, weights, share, cap).groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
     found = found.select(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_tie"), "copies", "n")
-    tie = F.xxhash64("doc_id", "source", "text")
-    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("mix_id")) & (tie == F.col("mix_tie")))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "source", "text").alias("tie"), packed(docs))
+    joined = rows.join(found.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(F.col("mix_id")) & (F.col("tie") == F.col("mix_tie")))
     # of n equal rows each gives copies / n; what is left over is given by chance of a fixed seed only when n > 1
     each = F.floor(F.col("copies") / F.col("n")) + (F.rand(7) * F.col("n") < F.col("copies") % F.col("n")).cast("int")
     times = F.when(F.col("n") == 1, F.col("copies")).otherwise(each)
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("copy_")).drop("copy_")
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("doc.*")

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 ROWS_A_BATCH = 2000
@@ -22,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def packed(docs: DataFrame) -> Column:
+    """The whole row as one struct column: working columns beside it can't clash with the row's own names; select("doc.*") unpacks it."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc")
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """At most n rows in an Arrow batch of the jobs inside, for columns of long values."""
