@@ -18,11 +18,12 @@ is null; a posterior tie goes to the first language by code point.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .arrays import slices, text_bytes
 from .storage import packed, stored
@@ -89,27 +90,33 @@ def train(rows: DataFrame) -> dict:
 
 
 def scored(rows: DataFrame, model: dict) -> DataFrame:
-    """rows with lid_scores array<double>: TEXT_WEIGHT * log-likelihood of lid_text by language, best 0 (empty array: no letters)."""
+    """rows with lid_scores array<double>: TEXT_WEIGHT * log-likelihood of lid_text by language, best 0 (empty array: no letters).
+
+    Only the texts go to Python; the other columns stay where they are.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def scores_of(text: pa.Array) -> pa.Array:
         table = shared.value["table"]
         n = len(shared.value["languages"])
-        for batch in batches:
-            for part in slices(batch, "lid_text"):
-                data, at = text_bytes(part.column("lid_text"))
-                buckets, where = _trigrams(data, at)
-                ends = np.searchsorted(where, at)
-                total = np.zeros((len(buckets) + 1, table.shape[1]))
-                np.cumsum(table[buckets], axis=0, dtype=np.float64, out=total[1:])
-                sums = (total[ends[1:]] - total[ends[:-1]]) * TEXT_WEIGHT
-                sums -= sums.max(axis=1, keepdims=True)
-                some = (np.diff(ends) > 0) & (n > 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * n)]).astype(np.int32)), pa.array(sums[some].reshape(-1)))
-                columns = {c: part.column(c) for c in part.schema.names if c != "lid_text"}
-                yield pa.RecordBatch.from_arrays([*columns.values(), lists], names=[*columns, "lid_scores"])
-
-    return rows.mapInArrow(run, rows.drop("lid_text").schema.add("lid_scores", T.ArrayType(T.DoubleType())))
+        out = [pa.array([], pa.list_(pa.float64()))]
+        for part in slices(pa.RecordBatch.from_arrays([text], names=["text"]), "text"):
+            data, at = text_bytes(part.column("text"))
+            buckets, where = _trigrams(data, at)
+            ends = np.searchsorted(where, at)
+            total = np.zeros((len(buckets) + 1, table.shape[1]))
+            np.cumsum(table[buckets], axis=0, dtype=np.float64, out=total[1:])
+            sums = (total[ends[1:]] - total[ends[:-1]]) * TEXT_WEIGHT
+            sums -= sums.max(axis=1, keepdims=True)
+            some = (np.diff(ends) > 0) & (n > 0)
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * n)]).astype(np.int32)), pa.array(sums[some].reshape(-1))))
+        return pa.concat_arrays(out)
+
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(scores_of, batches)
+
+    return rows.withColumn("lid_scores", score("lid_text")).drop("lid_text")
 
 
 def _posterior(scores: Column) -> Column:

@@ -29,7 +29,8 @@ def test_scores_are_log_likelihoods(spark):
     model = langid.train(documents(spark, LABELLED))
     assert model["languages"] == ["de", "en"]
     row = langid.scored(spark.createDataFrame([("cat",)], "lid_text string"), model).first()
-    counts = {lang: Counter((t := f"{TEXTS[lang]} {TEXTS[lang]}")[i : i + 3] for i in range(len(t) - 2) if t[i : i + 3].strip()) for lang in TEXTS}
+    twice = {lang: f"{t} {t}" for lang, t in TEXTS.items()}
+    counts = {lang: Counter(t[i : i + 3] for i in range(len(t) - 2) if t[i : i + 3].strip()) for lang, t in twice.items()}
     total = {lang: 10 * sum(c.values()) + 0.5 * (1 << langid.BUCKET_BITS) for lang, c in counts.items()}
     p = {lang: math.log((10 * counts[lang]["cat"] + 0.5) / total[lang]) for lang in TEXTS}
     assert row["lid_scores"][1] == 0

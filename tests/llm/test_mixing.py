@@ -41,7 +41,9 @@ def check(rows, texts):
         assert r["source_size"] == sizes[r["source"]]
         assert r["target"] == pytest.approx(want[r["source"]])
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= max(20, 0.02 * want[s]), s
+        # whole copies: a source is off by half of a text that outweighs all the others at most
+        largest = max(r["size"] for r in rows if r["source"] == s)
+        assert abs(taken[s] - want[s]) <= max(20, 0.02 * want[s], largest / 2 if largest > sizes[s] / 2 else 0), s
 
 
 def test_documents(spark, sf_dir):
