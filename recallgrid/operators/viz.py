@@ -134,12 +134,12 @@ def landscape(facts: DataFrame, log: DataFrame, now: float) -> dict[str, DataFra
     return {"nodes": nodes, "clouds": cluster_stats(nodes), "edges": recall_edges(log, facts), "strata": strata(facts)}
 
 
-def centred_gram(points: DataFrame) -> DataFrame:
-    """a, b, k of the double-centred inner products of points(id, embedding): for a bounded sample."""
-    rows = points.select("id", vector.as_double(F.col("embedding")).alias("v"))
-    gram = rows.select(F.col("id").alias("a"), F.col("v").alias("va")).join(rows.select(F.col("id").alias("b"), F.col("v").alias("vb"))).select("a", "b", vector.dot(F.col("va"), F.col("vb")).alias("k"))
-    means = gram.groupBy("a").agg(F.avg("k").alias("m"))
-    whole = gram.agg(F.avg("k").alias("g"))
-    return gram.join(means, "a").join(means.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b").crossJoin(whole).select("a", "b", (F.col("k") - F.col("m") - F.col("mb") + F.col("g")).alias("k"))
-
+def gram_means(points: DataFrame) -> DataFrame:
+    """id, row_mean, grand_mean of the inner products of points(id, embedding), as double-centring needs them.
 
+    The mean of a row's products is its product with the mean vector, so no pair is made.
+    """
+    rows = points.select("id", vector.as_double(F.col("embedding")).alias("v"))
+    each = rows.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x"))
+    mean = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean"))  # one row, an entry a dimension
+    return rows.crossJoin(mean).select("id", vector.dot(F.col("v"), F.col("mean")).alias("row_mean"), vector.dot(F.col("mean"), F.col("mean")).alias("grand_mean"))

@@ -137,7 +137,7 @@ add(
     SELECT count(*) FILTER (known OR nth > 1) AS deduped, count(*) FILTER (NOT known AND nth = 1) AS added FROM k""",
 )
 add(
-    "str_late_fact", lambda v: mining.supersede_actions(v("v_facts").where("id % 4 = 0").select("id", "event_date", F.lit(False).alias("quarantined"), F.array(F.col("id") + 1).alias("supersedes")), v("v_facts")).select("id", "old_id", "action"),
-    "SELECT n.id, o.id AS old_id, CASE WHEN o.event_date - n.event_date > 86400 THEN 'refuse' ELSE 'apply' END AS action FROM v_facts n JOIN v_facts o ON o.id = n.id + 1 WHERE n.id % 4 = 0",
+    "str_late_fact", lambda v: mining.supersede_actions(v("v_facts").select("id", "event_date", F.lit(False).alias("quarantined"), F.array(F.col("id") + 1).alias("supersedes")), v("v_facts")).select("id", "old_id", "action"),
+    "SELECT n.id, o.id AS old_id, CASE WHEN o.event_date - n.event_date > 86400 THEN 'refuse' ELSE 'apply' END AS action FROM v_facts n JOIN v_facts o ON o.id = n.id + 1",
 )
 add("str_feed", lambda v: episodes.tail(v("v_access_log").where("kind = 'recall'"), 30).select("id", "ts", "origin"), "SELECT id, ts, origin FROM v_access_log WHERE kind = 'recall' ORDER BY ts DESC, id DESC LIMIT 30")

@@ -41,13 +41,13 @@ add(
 
 def _offered(v: Views) -> DataFrame:
     here = F.when(F.col("id") % 8 == 1, F.col("conversation_id")).otherwise(F.col("conversation_id") + 1)
-    return v("v_facts").where("id % 4 = 1").select("id", here.alias("conversation_id"), "content_hash")
+    return v("v_facts").select("id", here.alias("conversation_id"), "content_hash")
 
 
 add(
     "dml_dedupe_conv",
     lambda v: facts.dedupe_in_conversation(_offered(v), v("v_facts"), "id").select("id", "existing_id", "repeat"),
-    """WITH o AS (SELECT id, CASE WHEN id % 8 = 1 THEN conversation_id ELSE conversation_id + 1 END AS conversation_id, content_hash FROM v_facts WHERE id % 4 = 1),
+    """WITH o AS (SELECT id, CASE WHEN id % 8 = 1 THEN conversation_id ELSE conversation_id + 1 END AS conversation_id, content_hash FROM v_facts),
     known AS (SELECT conversation_id, content_hash, min(id) AS existing_id FROM v_facts WHERE invalidated_at IS NULL GROUP BY conversation_id, content_hash)
     SELECT id, existing_id, row_number() OVER (PARTITION BY o.conversation_id, o.content_hash ORDER BY id) > 1 AS "repeat" FROM o LEFT JOIN known USING (conversation_id, content_hash)""",
 )

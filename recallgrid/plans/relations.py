@@ -80,12 +80,12 @@ add(
 
 
 def _actions(v: Views) -> DataFrame:
-    new = v("v_facts").where("id % 4 = 0").select("id", "event_date", F.col("quarantined_at").isNotNull().alias("quarantined"), F.array(F.col("id") - 1, F.col("id") - 3, F.lit(900_000).cast("long")).alias("supersedes"))
+    new = v("v_facts").select("id", "event_date", F.col("quarantined_at").isNotNull().alias("quarantined"), F.array(F.col("id") - 1, F.col("id") - 3, F.lit(900_000).cast("long")).alias("supersedes"))
     return mining.supersede_actions(new, v("v_facts").where(schema.valid()))
 
 
 ACTIONS = f"""SELECT n.id, n.pos, n.old_id, CASE WHEN n.q THEN 'defer' WHEN o.event_date - n.event_date > 86400 THEN 'refuse' ELSE 'apply' END AS action
-    FROM (SELECT id, event_date, quarantined_at IS NOT NULL AS q, unnest([0, 1]) AS pos, unnest([id - 1, id - 3]) AS old_id FROM v_facts WHERE id % 4 = 0) n JOIN (SELECT id, event_date FROM v_facts WHERE {VALID}) o ON o.id = n.old_id"""
+    FROM (SELECT id, event_date, quarantined_at IS NOT NULL AS q, unnest([0, 1]) AS pos, unnest([id - 1, id - 3]) AS old_id FROM v_facts) n JOIN (SELECT id, event_date FROM v_facts WHERE {VALID}) o ON o.id = n.old_id"""
 add("jon_supersede", _actions, ACTIONS)
 add(
     "agg_distill", lambda v: mining.distill_counts(_actions(v).select(F.when(F.col("action") == "refuse", "refused").when(F.col("action") == "defer", "deferred").otherwise("added").alias("outcome"))),
@@ -96,8 +96,8 @@ MERGED = f"SELECT DISTINCT f.id, content_hash FROM v_facts f WHERE id IN (2, 9,
 add("jon_cand_merge", lambda v: facts.supersede_candidates(v("v_facts"), id_rows(v, RECALLED)).select("id", "content_hash"), MERGED)
 add("set_union_key", lambda v: facts.supersede_candidates(v("v_facts"), id_rows(v, RECALLED), 100).select("id", "content_hash"), MERGED.replace("250", "100"))
 add(
-    "jon_line_score", lambda v: v("v_facts").where("id % 40 < 10").select("id").join(facts.parse_scores(v("v_facts").where("id % 2 = 0").select(F.col("id").alias("pos"), F.concat(F.col("id").cast("string"), F.lit("=7")).alias("text"))), "id", "left").select("id", "score"),
-    "SELECT id, CASE WHEN id % 2 = 0 THEN 7 END AS score FROM v_facts WHERE id % 40 < 10",
+    "jon_line_score", lambda v: v("v_facts").select("id").join(facts.parse_scores(v("v_facts").where("id % 2 = 0").select(F.col("id").alias("pos"), F.concat(F.col("id").cast("string"), F.lit("=7")).alias("text"))), "id", "left").select("id", "score"),
+    "SELECT id, CASE WHEN id % 2 = 0 THEN 7 END AS score FROM v_facts",
 )
 
 # aggregates
@@ -151,9 +151,9 @@ add(
     SELECT a, b FROM n WHERE nth <= 3 UNION SELECT b, a FROM n WHERE nth <= 3""",
 )
 add(
-    "agg_gram_means", lambda v: viz.centred_gram(v("v_facts").where("embedding is not null").orderBy("id").limit(60)).select("a", "b", F.round("k", 6).alias("k")),
-    """WITH p AS (SELECT id, embedding::DOUBLE[] AS e FROM v_facts WHERE embedding IS NOT NULL ORDER BY id LIMIT 60), g AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.e, b.e) AS k FROM p a, p b)
-    SELECT a, b, round(k - avg(k) OVER (PARTITION BY a) - avg(k) OVER (PARTITION BY b) + avg(k) OVER (), 6) AS k FROM g""",
+    "agg_gram_means", lambda v: viz.gram_means(viz.embedded(v("v_facts"))).select("id", F.round("row_mean", 6).alias("row_mean"), F.round("grand_mean", 6).alias("grand_mean")),
+    """WITH p AS (SELECT id, embedding::DOUBLE[] AS e FROM v_facts WHERE embedding IS NOT NULL ORDER BY id DESC LIMIT 2500), g AS (SELECT a.id AS id, avg(list_dot_product(a.e, b.e)) AS m FROM p a, p b GROUP BY a.id)
+    SELECT id, round(m, 6) AS row_mean, round(avg(m) OVER (), 6) AS grand_mean FROM g""",
 )
 add(
     "agg_drops", lambda v: mining.drop_counts(mining.parse_lines(v("v_lines"))),
@@ -221,10 +221,10 @@ add(
     "top_preview", lambda v: episodes.preview(v("v_attachments"), v("v_conversations"), v("v_messages"), v("v_facts")).select("id", F.size("fact_ids").alias("n"), F.get("fact_ids", 0).alias("newest")),
     f"""SELECT a.id, n, newest FROM v_attachments a LEFT JOIN (SELECT conversation_id, least(count(*), 8) AS n, max(id) AS newest FROM v_facts WHERE {VALID} GROUP BY conversation_id) f USING (conversation_id)""",
 )
-add("top_versions", lambda v: episodes.version_meta(versions(v)).select("id", "generated_at").limit(5), "SELECT attachment_id AS id, created_at AS generated_at FROM v_captions ORDER BY attachment_id DESC LIMIT 5")
+add("top_versions", lambda v: episodes.version_meta(versions(v)).select("id", "generated_at"), "SELECT attachment_id AS id, created_at AS generated_at FROM v_captions")
 add("top_supersede", lambda v: facts.supersede_candidates(v("v_facts"), recall.recall(v("v_facts"), QUERY, query_vector(v), NOW, 40).select("id")).select("id"), f"""WITH RECURSIVE {RANKED}, {fold("c", limit=40)}
     SELECT id FROM fold WHERE state = 'kept' UNION SELECT * FROM (SELECT id FROM v_facts WHERE {VALID} ORDER BY id DESC LIMIT 250) x""")
-add("top_sample", lambda v: viz.embedded(v("v_facts"), 300).select("id", "content_hash"), "SELECT id, content_hash FROM v_facts WHERE embedding IS NOT NULL ORDER BY id DESC LIMIT 300")
+add("top_sample", lambda v: viz.embedded(v("v_facts")).select("id", "content_hash"), "SELECT id, content_hash FROM v_facts WHERE embedding IS NOT NULL ORDER BY id DESC LIMIT 2500")
 add("top_edges", lambda v: viz.recall_edges(v("v_access_log"), v("v_facts"), 20), f"{PAIRS} ORDER BY weight DESC, a, b LIMIT 20")
 add(
     "top_backups", lambda v: episodes.retained(v("v_attachments").select(F.col("conversation_id").cast("string").alias("place"), F.col("filename").alias("name")), 2),

@@ -99,8 +99,8 @@ add(
     f"SELECT id, '- [' || id || ' · ' || {DAY(TS)} || ' · ' || {TAG} || '] ' || content AS line FROM v_facts",
 )
 add(
-    "prj_ledger_line", lambda v: facts.block(facts.pin_candidates(v("v_facts")).limit(40), F.concat(F.lit("- ["), F.col("id").cast("string"), F.lit("] "), F.col("content")), [F.col("id")], "(empty)"),
-    f"SELECT coalesce(string_agg('- [' || id || '] ' || content, chr(10) ORDER BY id), '(empty)') AS block FROM (SELECT * FROM v_facts WHERE {VALID} AND importance BETWEEN 7 AND 9 ORDER BY id LIMIT 40) x",
+    "prj_ledger_line", lambda v: facts.block(v("v_facts").where(schema.valid()).orderBy(F.col("id").desc()).limit(250), F.concat(F.lit("- ["), F.col("id").cast("string"), F.lit("] "), F.col("content")), [-F.col("id")], "(empty)"),
+    f"SELECT coalesce(string_agg('- [' || id || '] ' || content, chr(10) ORDER BY id DESC), '(empty)') AS block FROM (SELECT * FROM v_facts WHERE {VALID} ORDER BY id DESC LIMIT 250) x",
 )
 
 
