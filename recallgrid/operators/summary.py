@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text
 from . import facts as facts_
@@ -50,7 +51,7 @@ def regenerate(facts: DataFrame, now: float, budget: int, complete: Callable[[st
 
 def append_version(versions: DataFrame, row: dict) -> DataFrame:
     """versions with row under the next id."""
-    schema = versions.schema
+    schema = StructType([StructField(f.name, f.dataType, True) for f in versions.schema])
     first = (versions.agg(F.max("id")).first()[0] or 0) + 1
     values = [first if f.name == "id" else row.get(f.name) for f in schema]
     return versions.unionByName(versions.sparkSession.createDataFrame([values], schema))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixtures import NOW, OWNER, QUERY, QUERY_VECTOR
-from ..operators import episodes, facts, mining, recall, search, viz
+from ..fixtures import NOW, OWNER, QUERY
+from ..operators import episodes, facts, mining, recall, search, summary, viz
 from ..streaming import ingest
 from .registry import Views, add, query_vector
-from .relations import PAIRS, RANKED
-from .scans import placed_windows
-from .sqltext import IMP, SPEAKER, VALID, WEIGHT, fold, windowed
+from .relations import PAIRS, POOL, RANKED
+from .scans import placed_windows, versions
+from .sqltext import IMP, LABEL, SPEAKER, VALID, WEIGHT, fold, windowed
 
 WORDS = "the ththe tion"
 PHRASES = [["the"], ["over", "the"], ["tion", "with"]]
@@ -141,3 +141,45 @@ add(
     "SELECT n.id, o.id AS old_id, CASE WHEN o.event_date - n.event_date > 86400 THEN 'refuse' ELSE 'apply' END AS action FROM v_facts n JOIN v_facts o ON o.id = n.id + 1",
 )
 add("str_feed", lambda v: episodes.tail(v("v_access_log").where("kind = 'recall'"), 30).select("id", "ts", "origin"), "SELECT id, ts, origin FROM v_access_log WHERE kind = 'recall' ORDER BY ts DESC, id DESC LIMIT 30")
+
+
+def _said(v: Views) -> DataFrame:
+    """What a stand-in for the language model says of each mined window."""
+    return mining.extract(mining.window_facts(placed_windows(v, 3, 2000), OWNER), lambda transcript: f"NEW: {len(transcript)} characters were said\nNONE")
+
+
+add(
+    "udf_complete", lambda v: _said(v).select("conversation_id", "window_no", "line_no", "line"),
+    f"""WITH RECURSIVE {windowed(3, 2000)}, w AS (SELECT conversation_id, window_no, length(string_agg('[msg ' || msg_no || '] ' || {LABEL} || ': ' || body, chr(10) || chr(10))) AS n
+      FROM placed GROUP BY conversation_id, window_no HAVING bool_or({SPEAKER} IN ('owner', 'guest', 'guest-unknown')))
+    SELECT conversation_id, window_no, 0 AS line_no, 'NEW: ' || n || ' characters were said' AS line FROM w UNION ALL SELECT conversation_id, window_no, 1, 'NONE' FROM w""",
+)
+add(
+    "udf_retry", lambda v: mining.retry_scores(mining.parse_lines(v("v_lines")), lambda fact: len(fact) % 20).select("id", "importance"),
+    "SELECT id, CAST(least(9, greatest(1, CASE WHEN id % 5 = 0 THEN length(trim(fact)) % 20 ELSE id % 12 END)) AS INT) AS importance FROM v_lines WHERE id % 23 <> 0 AND id % 19 <> 0 AND id % 29 <> 0",
+)
+
+
+def _pins(v: Views) -> DataFrame:
+    named = summary.nominate_pins(v("v_facts"), lambda prompt: "#8 and 9, 17, 900000, 8")
+    return v("v_facts").sparkSession.createDataFrame([(i,) for i in named], "id long")
+
+
+add("udf_pin", _pins, f"SELECT id FROM (SELECT id FROM v_facts WHERE {VALID} AND importance BETWEEN 7 AND 9 ORDER BY id LIMIT 1000) x WHERE id IN (8, 9, 17)")
+
+
+def _summary(v: Views) -> DataFrame:
+    """A version of the summary by a stand-in model that writes too much at first."""
+    row = summary.regenerate(v("v_facts"), NOW, 10, lambda prompt: "few words" if prompt.startswith("Shorten") else "many words " * 40)
+    return v("v_facts").sparkSession.createDataFrame([(row["content"], row["word_count"], i) for i in row["source_fact_ids"]], "content string, word_count int, id long")
+
+
+add("udf_summary", _summary, f"WITH RECURSIVE {POOL} SELECT 'few words' AS content, 2 AS word_count, id FROM (SELECT id FROM d UNION ALL SELECT id FROM act) x")
+VERSION = {"generated_at": float(NOW), "content": "new text", "source_fact_ids": [1], "word_count": 2, "word_budget": 800}
+OLD_VERSIONS = "SELECT attachment_id AS id, caption AS content, CAST(NULL AS BIGINT) AS restored_from FROM v_captions"
+add("snk_version", lambda v: summary.append_version(versions(v), VERSION).select("id", "content", "restored_from"), f"{OLD_VERSIONS} UNION ALL SELECT max(attachment_id) + 1, 'new text', NULL FROM v_captions")
+add("snk_restore", lambda v: summary.restore(versions(v), 1, NOW).select("id", "content", "restored_from"), f"{OLD_VERSIONS} UNION ALL SELECT (SELECT max(attachment_id) + 1 FROM v_captions), caption, 1 FROM v_captions WHERE attachment_id = 1")
+add(
+    "txt_ids", lambda v: v("v_lines").select("id", F.array_join(F.array_distinct(F.regexp_extract_all("fact", F.lit(r"\d+"), F.lit(0))), ",").alias("ids")),
+    r"SELECT id, coalesce((SELECT string_agg(x, ',' ORDER BY first) FROM (SELECT x, min(k) AS first FROM (SELECT unnest(regexp_extract_all(fact, '\d+')) AS x, generate_subscripts(regexp_extract_all(fact, '\d+'), 1) AS k) u GROUP BY x) y), '') AS ids FROM v_lines",
+)
