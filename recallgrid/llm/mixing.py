@@ -118,12 +118,11 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: int = 2,
 
 
 def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, cap: int = 2) -> DataFrame:
-    """docs with each row as often as the mix takes it, same columns; equal rows count together."""
+    """docs with each row as often as the mix takes it, same columns; of rows equal in doc_id, source and text one stands for all."""
     found = mix(docs, weights, share, cap).groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
-    found = found.select(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_tie"), "copies", "n")
+    found = stored(found.select(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_tie"), F.col("copies").cast("int").alias("copies"), "n"), "copies")
     rows = docs.select("doc_id", F.xxhash64("doc_id", "source", "text").alias("tie"), packed(docs))
-    joined = rows.join(found.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(F.col("mix_id")) & (F.col("tie") == F.col("mix_tie")))
-    # of n equal rows each gives copies / n; what is left over is given by chance of a fixed seed only when n > 1
-    each = F.floor(F.col("copies") / F.col("n")) + (F.rand(7) * F.col("n") < F.col("copies") % F.col("n")).cast("int")
-    times = F.when(F.col("n") == 1, F.col("copies")).otherwise(each)
-    return joined.select("doc", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("doc.*")
+    same = rows["doc_id"].eqNullSafe(F.col("mix_id")) & (F.col("tie") == F.col("mix_tie"))
+    once = rows.join(found.where("n = 1").hint("shuffle_hash"), same)
+    repeated = rows.join(stored(found.where("n > 1"), "repeated"), same).dropDuplicates(["doc_id", "tie"])  # few as a rule: written, so that its size is known
+    return once.unionByName(repeated).select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")

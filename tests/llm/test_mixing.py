@@ -74,6 +74,8 @@ def test_mixed_rows_are_the_copies(spark):
     assert out.columns == docs.columns
     counts = {r["doc_id"]: r["n"] for r in out.where("doc_id <> 7").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert counts == {r["doc_id"]: r["copies"] for r in plan.where("doc_id <> 7 and copies > 0").collect()}
+    taken = lambda df, copies: sorted((r["doc_id"] or -1, r["c"]) for r in df.groupBy("doc_id").agg(copies.cast("long").alias("c")).where("c > 0").collect())
+    assert taken(out, F.count("*")) == taken(plan, F.sum("copies"))
 
 
 def test_tilt_is_balanced_by_entropy(spark):
