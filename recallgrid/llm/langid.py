@@ -18,7 +18,7 @@ is null; a posterior tie goes to the first language by code point.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,11 +119,19 @@ def scored(rows: DataFrame, model: dict) -> DataFrame:
     return rows.withColumn("lid_scores", score("lid_text")).drop("lid_text")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
 def _posterior(scores: Column) -> Column:
     """Probabilities of log scores; uniform is left to the caller for an empty array."""
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.exp(s - top))
-    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+    weights = lambda s: _let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+    return _let(scores, lambda s: _let(weights(s), lambda w: _let(_total(w), lambda t: F.transform(w, lambda x: x / t))))
 
 
 def _sums(rows: DataFrame, key: str | None, n: int) -> DataFrame:
@@ -134,8 +142,7 @@ def _sums(rows: DataFrame, key: str | None, n: int) -> DataFrame:
 
 
 def _smoothed(n: Column, parent: Column) -> Column:
-    total = F.aggregate(n, F.lit(0.0), lambda a, b: a + b)
-    return F.zip_with(n, parent, lambda a, p: (F.greatest(a, F.lit(0.0)) + SMOOTHING * p) / (F.greatest(total, F.lit(0.0)) + SMOOTHING))
+    return _let(n, lambda m: _let(F.greatest(_total(m), F.lit(0.0)) + SMOOTHING, lambda t: F.zip_with(m, parent, lambda a, p: (F.greatest(a, F.lit(0.0)) + SMOOTHING * p) / t)))
 
 
 def evidence(rows: DataFrame, languages: list[str]) -> dict[str, DataFrame | list[float]]:
