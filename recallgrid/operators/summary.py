@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -13,6 +15,7 @@ from . import facts as facts_
 from . import recall
 
 TOLERANCE = 1.2
+PIN_BATCH = 40
 NO_SUMMARY = "No memory summary yet."
 
 
@@ -75,14 +78,23 @@ def with_header(content: Column, generated_at: Column) -> Column:
     return F.when(F.coalesce(content, F.lit("")) == "", F.lit(NO_SUMMARY)).otherwise(full)
 
 
+def pin_nominations(facts: DataFrame, complete: Callable[[str], str]) -> DataFrame:
+    """id of the pin candidates that the model names, PIN_BATCH candidates a call inside the tasks; a call that fails names none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k in range(0, len(f), PIN_BATCH):
+                part = f.iloc[k : k + PIN_BATCH]
+                try:
+                    said = complete("Which of these should never fade?\n" + "\n".join(f"- [{i}] {c}" for i, c in zip(part["id"], part["content"], strict=True))) or ""
+                except Exception:  # noqa: BLE001  nominations are advice
+                    said = ""
+                yield pd.DataFrame({"id": [i for i in dict.fromkeys(int(x) for x in re.findall(r"\d+", said) if len(x) < 20) if i < 2**63]}, dtype="int64")
+
+    candidates = facts_.pin_candidates(facts).select("id", "content")
+    return candidates.select("id").join(candidates.mapInPandas(run, "id long"), "id", "left_semi")
+
+
 def nominate_pins(facts: DataFrame, complete: Callable[[str], str]) -> list[int]:
-    """Ids that the model names among the pin candidates; none if it fails."""
-    rows = facts_.pin_candidates(facts).select("id", "content").limit(1000).collect()
-    try:
-        said = complete("Which of these should never fade?\n" + "\n".join(f"- [{r['id']}] {r['content']}" for r in rows))
-    except Exception:  # noqa: BLE001  nominations are advice
-        return []
-    import re
-
-    known = {r["id"] for r in rows}
-    return [i for i in dict.fromkeys(map(int, re.findall(r"\d+", said))) if i in known]
+    """pin_nominations as a list, by id."""
+    return sorted(r["id"] for r in pin_nominations(facts, complete).collect())

@@ -161,8 +161,7 @@ add(
 
 
 def _pins(v: Views) -> DataFrame:
-    named = summary.nominate_pins(v("v_facts"), lambda prompt: "#8 and 9, 17, 900000, 8")
-    return v("v_facts").sparkSession.createDataFrame([(i,) for i in named], "id long")
+    return summary.pin_nominations(v("v_facts"), lambda prompt: "#8 and 9, 17, 900000, 8")
 
 
 add("udf_pin", _pins, f"SELECT id FROM (SELECT id FROM v_facts WHERE {VALID} AND importance BETWEEN 7 AND 9 ORDER BY id LIMIT 1000) x WHERE id IN (8, 9, 17)")

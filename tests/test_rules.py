@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +267,20 @@ def test_summary(spark):
     assert summary.nominate_pins(ledger(spark, [{"importance": 7}, {"importance": 3}]), lambda p: "1, 2 and 77") == [1]
 
 
+def test_every_pin_candidate_is_offered(spark):
+    f = ledger(spark, [{"importance": 7, "content": "x"}] * 1005)
+    assert summary.nominate_pins(f, lambda p: ", ".join(re.findall(r"\[(\d+)\]", p))) == list(range(1, 1006))
+
+
+def test_a_failed_call_names_no_pins(spark):
+    def complete(prompt):
+        if "[1]" in prompt:
+            raise OSError
+        return "2, 50, 77"
+
+    assert summary.nominate_pins(ledger(spark, [{"importance": 7}] * 60), complete) == [2, 50]
+
+
 def test_export(spark, tmp_path):
     block = lambda kind, **x: {"type": kind} | x
     said = {"uuid": "m1", "sender": "human", "created_at": "2024-01-02T03:04:05Z", "text": "", "content": [block("text", text=" hi "), block("thinking", thinking="hm"), block("tool_use", name="look", input={"query": "a  b"}), block("tool_result")], "attachments": [{"file_name": "a.txt", "extracted_content": "x"}], "files": [{"file_name": "b.png"}]}
