@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -28,11 +28,20 @@ def id_rows(v: Views, ids: list[int]) -> DataFrame:
 
 
 def _requests(v: Views) -> DataFrame:
+    """Conversations as requests of at most MAX_MESSAGES messages; first is the position of a request's first one.
+
+    Messages are counted by ranges of ids, so that no group grows with a conversation.
+    """
+    messages = v("v_messages").withColumn("range", F.floor(F.col("id") / readers.MAX_MESSAGES))
+    sizes = messages.groupBy("conversation_id", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conversation_id").orderBy("range")) - F.col("n")
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("conversation_id", "range").orderBy("id")) - 1
+    placed = messages.join(sizes.withColumn("before", before).drop("n"), ["conversation_id", "range"]).withColumn("block", F.floor(nth / readers.MAX_MESSAGES))
     none = F.lit(None).cast("array<struct<filename:string,mime:string,data_b64:string>>").alias("attachments")
     said = F.struct("id", "external_id", "speaker", "content", F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), none)
-    grouped = v("v_messages").groupBy("conversation_id").agg(F.sort_array(F.collect_list(said)).alias("messages"))
+    grouped = placed.groupBy("conversation_id", "block").agg(F.sort_array(F.collect_list(said)).alias("messages"))
     homes = v("v_conversations").select(F.col("id").alias("conversation_id"), "source_app", "external_id", "title")
-    return grouped.join(homes, "conversation_id").select("source_app", F.col("external_id").alias("conversation_id"), "title", "messages")
+    return grouped.join(homes, "conversation_id").select("source_app", F.col("external_id").alias("conversation_id"), "title", (F.col("block") * readers.MAX_MESSAGES).alias("first"), "messages")
 
 
 def _posted(v: Views) -> DataFrame:

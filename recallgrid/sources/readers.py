@@ -80,18 +80,30 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST).json(path, multiLine=True)
 
 
+def refused(too_much: Column, reason: str, otherwise: Column) -> Column:
+    """otherwise, or an error with the reason, so that the sender splits the call."""
+    return F.when(too_much, F.raise_error(F.lit(reason))).otherwise(otherwise)
+
+
 def request_messages(requests: DataFrame) -> DataFrame:
-    """One row a message, in request order, times as epochs."""
+    """One row a message, in request order, times as epochs. A request of more than MAX_MESSAGES is an error.
+
+    Where a conversation is sent in several requests, first is the position of a request's first message.
+    """
     from ..functions.scoring import to_epoch
 
-    rows = requests.where(F.size("messages") <= MAX_MESSAGES).select("source_app", F.col("conversation_id").alias("conversation_external_id"), "title", F.posexplode("messages").alias("pos", "m"))
-    return rows.select("source_app", "conversation_external_id", "title", "pos", "m.external_id", "m.speaker", "m.content", to_epoch(F.col("m.created_at")).alias("created_at"), F.col("m.attachments").alias("attachments"))
+    messages = refused(F.size("messages") > MAX_MESSAGES, f"too many messages in one request (at most {MAX_MESSAGES})", F.col("messages"))
+    first = F.col("first") if "first" in requests.columns else F.lit(0)
+    rows = requests.select("source_app", F.col("conversation_id").alias("conversation_external_id"), "title", first.alias("first"), F.posexplode(messages).alias("pos", "m"))
+    return rows.select("source_app", "conversation_external_id", "title", (F.col("first") + F.col("pos")).alias("pos"), "m.external_id", "m.speaker", "m.content", to_epoch(F.col("m.created_at")).alias("created_at"), F.col("m.attachments").alias("attachments"))
 
 
 def request_files(messages: DataFrame) -> DataFrame:
-    """One row an attachment whose base64 is sound: bytes, digest, size, stored name and text."""
-    rows = messages.where(F.coalesce(F.size("attachments"), F.lit(0)) <= MAX_FILES).select("source_app", "conversation_external_id", F.col("external_id").alias("message_external_id"), F.explode("attachments").alias("a"))
-    rows = rows.where(F.length("a.data_b64") <= MAX_FILE_CHARS).select("*", "a.filename", "a.mime", F.try_to_binary(F.col("a.data_b64"), F.lit("base64")).alias("data")).where("data is not null").drop("a")
+    """One row an attachment whose base64 is sound: bytes, digest, size, stored name and text. Too many files or too long a file is an error."""
+    files = refused(F.size("attachments") > MAX_FILES, f"too many files at one message (at most {MAX_FILES})", F.col("attachments"))
+    rows = messages.select("source_app", "conversation_external_id", F.col("external_id").alias("message_external_id"), F.explode(files).alias("a"))
+    data = refused(F.length("a.data_b64") > MAX_FILE_CHARS, f"file too long (at most {MAX_FILE_CHARS} characters of base64)", F.try_to_binary(F.col("a.data_b64"), F.lit("base64")))
+    rows = rows.select("*", "a.filename", "a.mime", data.alias("data")).where("data is not null").drop("a")
     ending = F.when(F.contains("filename", F.lit(".")), F.concat(F.lit("."), F.substring_index("filename", ".", -1))).otherwise("")
     return rows.withColumns({"sha256": F.sha2("data", 256), "size": F.octet_length("data").cast("long")}).withColumns({"stored_name": F.concat("sha256", ending), "extracted_text": extract_text(F.col("data"), F.col("filename"), F.col("mime"))})
 

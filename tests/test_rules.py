@@ -309,6 +309,30 @@ def test_requests(spark, tmp_path):
     assert [(r["extracted_text"], r["size"], r["stored_name"][-3:]) for r in readers.request_files(said).collect()] == [("text", 4, ".md")]
 
 
+def test_too_large_requests_are_refused(spark):
+    message = "struct('e' as external_id, 'user' as speaker, 'c' as content, '2024-01-01T00:00:00Z' as created_at, cast(null as array<struct<filename:string,mime:string,data_b64:string>>) as attachments)"
+    request = spark.range(1).selectExpr("'a' as source_app", "'c' as conversation_id", "'' as title", f"array_repeat({message}, {readers.MAX_MESSAGES + 1}) as messages")
+    with pytest.raises(Exception, match="too many messages"):
+        readers.request_messages(request).collect()
+    files = lambda file, n: spark.range(1).selectExpr("'a' as source_app", "'c' as conversation_external_id", "'e' as external_id", f"array_repeat(struct('f.txt' as filename, 'text/plain' as mime, {file} as data_b64), {n}) as attachments")
+    with pytest.raises(Exception, match="too many files"):
+        readers.request_files(files("'dGV4dA=='", readers.MAX_FILES + 1)).collect()
+    with pytest.raises(Exception, match="file too long"):
+        readers.request_files(files(f"repeat('A', {readers.MAX_FILE_CHARS + 4})", 1)).select("size").collect()
+    assert readers.request_files(files("'dGV4dA=='", readers.MAX_FILES)).count() == readers.MAX_FILES
+
+
+def test_long_conversations_are_split_into_requests(spark):
+    from recallgrid.plans import scans
+
+    n = 2 * readers.MAX_MESSAGES + 7
+    messages = spark.range(n).selectExpr("3 * id + 100 as id", "1L as conversation_id", "concat('m', id) as external_id", "'user' as speaker", "'c' as content", "1.7e9D + id as created_at")
+    homes = spark.createDataFrame([(1, "a", "c", "")], "id long, source_app string, external_id string, title string")
+    requests = scans._requests({"v_messages": messages, "v_conversations": homes}.__getitem__)
+    assert sorted(r[0] for r in requests.select(F.size("messages")).collect()) == [7, readers.MAX_MESSAGES, readers.MAX_MESSAGES]
+    assert sorted((r["pos"], r["external_id"]) for r in readers.request_messages(requests).collect()) == [(k, f"m{k}") for k in range(n)]
+
+
 def test_settings(tmp_path):
     (tmp_path / "config.json").write_text(json.dumps({"user_name": "Jo", "word_budget": 5, "unknown": 1}))
     (tmp_path / "config.local.json").write_text(json.dumps({"word_budget": 6}))
