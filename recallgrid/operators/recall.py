@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scoring, vector
+from .tables import stored
 
 RECALL_FIELDS = ["id", "content", "event_date", "confidence", "origin_agent", "score"]
 PREFIX = 4
@@ -125,32 +126,79 @@ def duplicate_edges(facts: DataFrame, query: str, query_vector: list[float] | No
     return kept.join(other, (F.col("pos") < F.col("pos_b")) & (vector.dot(F.col("unit"), F.col("unit_b")) > scoring.PARAPHRASE_CUTOFF)).select(F.col("id").alias("a"), "b")
 
 
-# Fixed values of the two pools.
+# Fixed values of the two pools; what one task folds, and rows a task when more are compared.
 DURABLE_KEEP, DURABLE_LOOK, ACTIVE_KEEP, ACTIVE_LOOK = 200, 250, 300, 375
+FOLD_ROWS, TASK_ROWS = 1000, 256
 
 
-def pools(facts: DataFrame, now: float) -> DataFrame:
+def near(rows: DataFrame, others: DataFrame, n: int, earlier: bool = False) -> DataFrame:
+    """id of the rows (n of them) that a fold drops if it has kept all others; with earlier, those of smaller id only.
+
+    Equal hashes are compared by their smallest id, so a hash with many rows makes no pairs.
+    """
+    theirs = others.select(F.col("id").alias("o_id"), F.col("hash").alias("o_hash"), F.col("unit").alias("o_unit"))
+    before = F.col("o_id") < F.col("id") if earlier else F.lit(True)
+    firsts = theirs.where("o_hash <> ''").groupBy("o_hash").agg(F.min("o_id").alias("o_id"))
+    same = rows.join(firsts, (F.col("hash") == F.col("o_hash")) & before).select("id")
+    dealt = rows.where("unit is not null").select("id", "unit").repartition(n // TASK_ROWS + 1, "id")
+    close = dealt.join(theirs.where("o_unit is not null").select("o_id", "o_unit"), before & F.coalesce(vector.dot(F.col("o_unit"), F.col("unit")) > scoring.PARAPHRASE_CUTOFF, F.lit(False))).select("id")
+    return same.unionByName(close).distinct()
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """id, score, content_hash, embedding with hash and unit as the fold compares them."""
+    return rows.select("id", "score", "content_hash", "embedding", F.coalesce("content_hash", F.lit("")).alias("hash"), vector.unit(F.col("embedding")).alias("unit"))
+
+
+def kept_by_id(rows: DataFrame, most: int = FOLD_ROWS) -> tuple[DataFrame, int, int]:
+    """What a fold of rows in order of id keeps, how many these are, and how many rows there were.
+
+    Rounds over all rows at once: a row with no like row before it is kept, whatever is like a kept row is
+    dropped, the rest waits. When at most `most` wait, one task folds them.
+    """
+    left = stored(hashed(rows), "left")
+    total = n = left.count()
+    kept: list[DataFrame] = []
+    while n > most:
+        waits = stored(near(left, left, n, earlier=True), "waits")
+        kept.append(stored(left.join(waits, "id", "left_anti"), "kept"))
+        waiting = left.join(waits, "id", "left_semi")
+        left = stored(waiting.join(near(waiting, kept[-1], n), "id", "left_anti"), "left")
+        n = left.count()
+    kept.append(stored(left.join(states(left, None, F.lit(0)).where("state = 'kept'").select("id"), "id", "left_semi"), "kept"))
+    found = kept[0]
+    for more in kept[1:]:
+        found = found.unionByName(more)
+    return found, found.count(), total
+
+
+def pools(facts: DataFrame, now: float, most: int = FOLD_ROWS) -> DataFrame:
     """pool (durable, active), id, content, event_date, ... of the two disjoint pools of valid facts.
 
     Durable: pinned facts by id, then the most important and latest. Active: the best of the others by
-    weight_score. Both folds run on bounded prefixes; pinned facts are few by rule (only the owner pins).
+    weight_score. Pinned facts are any number, so they collapse in rounds; the folds of the others run on
+    bounded prefixes, without the rows that are like a row kept before them.
     """
     rows = facts.where(schema.valid()).withColumns({"imp": F.coalesce(scoring.truthy(F.col("importance")), F.lit(scoring.DEFAULT_IMPORTANCE)), "score": scoring.weight_score(F.col("importance"), F.col("event_date"), F.col("created_at"), now)})
-    pinned = rows.where(F.col("imp") >= scoring.PINNED_FROM).withColumns({"k0": F.lit(0), "k1": F.lit(0.0), "k2": F.lit(0.0)})
+    pinned, n_kept, n_pinned = kept_by_id(rows.where(F.col("imp") >= scoring.PINNED_FROM), most)
     others = rows.where(F.col("imp") < scoring.PINNED_FROM).orderBy(F.col("imp").desc(), F.coalesce("event_date", F.lit(0.0)).desc(), "id").limit(DURABLE_LOOK)
-    others = others.withColumns({"k0": F.lit(1), "k1": -F.col("imp").cast("double"), "k2": -F.coalesce("event_date", F.lit(0.0))})
-    first = states(pinned.unionByName(others), None, F.col("k0"), F.col("k1"), F.col("k2")).where("state = 'kept'").select("pos", "id", F.col("score").alias("s"))
-    n_pinned = pinned.select(F.count("*").alias("n"))
-    durable = first.crossJoin(n_pinned)  # one row
-
-    durable = durable.withColumn("r", F.row_number().over(Window.orderBy("pos"))).where(F.col("r") <= DURABLE_KEEP + F.col("n")).select("id", F.col("r").cast("double").alias("k1"))
-    rest = rows.join(durable.select("id"), "id", "left_anti").orderBy(F.col("score").desc(), "id").limit(ACTIVE_LOOK)
-    both = rows.join(durable, "id").withColumn("k0", F.lit(0)).unionByName(rest.withColumns({"k1": -F.col("score"), "k0": F.lit(1)}))
-    second = states(both, None, F.col("k0"), F.col("k1")).where("state = 'kept'")
-    active = second.join(durable.select("id"), "id", "left_anti").withColumn("r", F.row_number().over(Window.orderBy("pos"))).where(F.col("r") <= ACTIVE_KEEP).select("id")
+    others = others.select("id", F.struct((-F.col("imp").cast("double")).alias("a"), (-F.coalesce("event_date", F.lit(0.0))).alias("b")).alias("k"), "score", "content_hash", "embedding")
+    lasting = _collapsed(others, pinned, DURABLE_KEEP + n_pinned - n_kept, "others")
+    durable = stored(pinned.unionByName(lasting), "durable")
+    rest = rows.join(durable.select("id"), "id", "left_anti").orderBy(F.col("score").desc(), "id").limit(ACTIVE_LOOK).select("id", (-F.col("score")).alias("k"), "score", "content_hash", "embedding")
+    active = _collapsed(rest, durable, ACTIVE_KEEP, "rest")
     named = durable.select("id", F.lit("durable").alias("pool")).unionByName(active.select("id", F.lit("active").alias("pool")))
     return named.join(rows, "id")
 
 
+def _collapsed(rows: DataFrame, kept: DataFrame, most: int, label: str) -> DataFrame:
+    """The first `most` of the bounded rows in order of k that a fold after the kept ones keeps."""
+    keys = stored(rows, label)
+    looks = hashed(keys)
+    free = keys.join(near(looks, kept, 0), "id", "left_anti")
+    first = states(free, None, F.col("k")).where("state = 'kept'").orderBy("pos").limit(most).select("id")
+    return looks.join(first, "id", "left_semi")
+
+
 def pool_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("pool", F.coalesce("event_date", F.lit(0.0)), "id")

@@ -36,7 +36,7 @@ def sources(facts: DataFrame, now: float) -> DataFrame:
 def regenerate(facts: DataFrame, now: float, budget: int, complete: Callable[[str], str]) -> dict | None:
     """A version row, or None without facts. One rewrite if the draft is far over budget; a failed rewrite keeps the draft.
 
-    Both pools are bounded (500 facts and the pinned ones), so their lines fit the driver.
+    The prompt names every fact of both pools: 500 and all pinned ones, which the driver has to hold.
     """
     rows = sorted(sources(facts, now).collect(), key=lambda r: (r["pool"] != "durable", r["event_date"] or 0, r["id"]))
     if not rows:

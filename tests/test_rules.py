@@ -198,6 +198,26 @@ def test_pools(spark):
     assert out == {"durable": 201, "active": 60}
 
 
+def test_many_pinned_facts_collapse_as_in_one_fold(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [{"importance": 10 if k % 3 else 9, "content_hash": f"h{rng.integers(40)}" if k % 4 else "", "embedding": [float(x) for x in rng.normal(0, 1, 3)] if k % 5 else None, "event_date": NOW - k} for k in range(120)]
+    order = sorted((k for k, r in enumerate(rows) if r["importance"] == 10)) + [k for k, r in enumerate(rows) if r["importance"] == 9]
+    kept, hashes, vectors = set(), set(), []
+    for k in order:
+        x = rows[k]["embedding"] and np.array(rows[k]["embedding"]) / np.linalg.norm(rows[k]["embedding"])
+        if not (rows[k]["content_hash"] in hashes or x is not None and any(v @ x > scoring.PARAPHRASE_CUTOFF for v in vectors)):
+            kept.add(k + 1)
+            hashes |= {rows[k]["content_hash"]} - {""}
+            vectors += [] if x is None else [x]
+    f, folded, states = ledger(spark, rows), [], recall.states
+    monkeypatch.setattr(recall, "states", lambda rows, *a: folded.append(rows.count()) or states(rows, *a))
+    assert {r["id"] for r in recall.pools(f, NOW, 5).where("pool = 'durable'").collect()} == kept
+    assert folded[0] <= 5 and max(folded) <= 40  # 80 rows are pinned, 40 are not
+    assert {r["id"] for r in recall.pools(f, NOW).where("pool = 'durable'").collect()} == kept
+
+
 def test_recall_edges_and_strata(spark):
     log = spark.createDataFrame([(1, [1, 2]), (2, [2, 1, 1]), (3, [1, 9])], "id long, result_ids array<long>")
     f = ledger(spark, [{"invalidated_at": None}, {}, {"invalidated_at": NOW, "superseded_by": 1}, {"invalidated_at": NOW, "superseded_by": 3}])
