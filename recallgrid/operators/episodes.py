@@ -9,6 +9,7 @@ from .. import schema
 
 QUERY_CHARS, SERVED_CHARS, PREVIEW_CHARS, PREVIEW_FACTS = 500, 200, 4000, 8
 MESSAGE_CHARS, WINDOW_MESSAGES, WINDOW_CHARS = 20_000, 120, 350_000
+FILE_RANGE = 10_000
 CAPTION_TYPES, CAPTION_BYTES = ["image/jpeg", "image/png", "image/gif", "image/webp"], 4_500_000
 CUT = " … [truncated]"
 
@@ -83,12 +84,27 @@ def caption_marker(model: Column, text: Column) -> Column:
     return F.concat(F.lit("[Image description (auto-generated by "), model, F.lit("): "), text, F.lit("]"))
 
 
+def attachment_ids_by_message(attachments: DataFrame) -> DataFrame:
+    """conversation_id, external_id, ids of all files in order."""
+    return attachments.groupBy("conversation_id", F.col("message_external_id").alias("external_id")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
 def attachments_by_message(attachments: DataFrame, captions: DataFrame) -> DataFrame:
-    """conversation_id, external_id, files array<struct<id, filename, body>> by id."""
+    """conversation_id, external_id, files array<struct<id, filename, body>> by id: what a message's body can show of its files.
+
+    These are the files with text that start below MESSAGE_CHARS, each cut one character beyond that, so
+    that with_bodies still sees that it cuts. Lengths are summed by ranges of ids.
+    """
     from .search import attachment_text
 
-    rows = attachment_text(attachments, captions)
-    return rows.groupBy("conversation_id", F.col("message_external_id").alias("external_id")).agg(F.sort_array(F.collect_list(F.struct("id", "filename", "body"))).alias("files"))
+    key = ["conversation_id", "external_id", "range"]
+    rows = attachment_text(attachments, captions).where("body <> ''").select("conversation_id", F.col("message_external_id").alias("external_id"), F.floor(F.col("id") / FILE_RANGE).alias("range"), "id", "filename", F.substring("body", 1, MESSAGE_CHARS + 1).alias("body"))
+    sums = rows.groupBy(*key).agg(F.sum(F.length("body")).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*key[:2]).orderBy("range")) - F.col("n")
+    first = sums.withColumn("before", before).drop("n").where(F.col("before") < MESSAGE_CHARS)
+    start = F.col("before") + F.sum(F.length("body")).over(Window.partitionBy(*key).orderBy("id")) - F.length("body")
+    kept = rows.join(first, key).withColumn("start", start).where(F.col("start") < MESSAGE_CHARS)
+    return kept.groupBy(*key[:2]).agg(F.sort_array(F.collect_list(F.struct("id", "filename", "body"))).alias("files"))
 
 
 def with_bodies(messages: DataFrame, files: DataFrame) -> DataFrame:

@@ -173,6 +173,6 @@ add(
     f"WITH RECURSIVE {windowed(120, 350000)} SELECT id, view_len, sha256(body) AS body_sha FROM placed",
 )
 add(
-    "jon_att_msg", lambda v: episodes.attachments_by_message(v("v_attachments"), v("v_captions")).select("conversation_id", "external_id", F.size("files").alias("n"), F.transform("files", lambda f: f["id"]).cast("string").alias("ids")),
+    "jon_att_msg", lambda v: episodes.attachment_ids_by_message(v("v_attachments")).select("conversation_id", "external_id", F.size("ids").alias("n"), F.col("ids").cast("string").alias("ids")),
     f"SELECT conversation_id, message_external_id AS external_id, count(*) AS n, '[' || string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) || ']' AS ids FROM {FILE_BODIES} x GROUP BY conversation_id, message_external_id",
 )

@@ -353,6 +353,21 @@ def test_long_conversations_are_split_into_requests(spark):
     assert sorted((r["pos"], r["external_id"]) for r in readers.request_messages(requests).collect()) == [(k, f"m{k}") for k in range(n)]
 
 
+def test_only_what_a_message_shows_of_its_files_is_grouped(spark):
+    lengths = [7000, 0, 12_990, 9, 1, 30_000, 5]
+    rows = [{"id": 9_996 + k, "conversation_id": 1, "message_external_id": "m", "filename": f"f{k}", "extracted_text": "abcdefghij"[k] * n} for k, n in enumerate(lengths)]
+    fields = spark.createDataFrame([], DDL["attachments"]).schema
+    table = spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], fields)
+    none = spark.createDataFrame([], DDL["attachment_captions"])
+    files = episodes.attachments_by_message(table, none)
+    assert [(f["filename"], len(f["body"])) for f in files.first()["files"]] == [("f0", 7000), ("f2", 12_990), ("f3", 9), ("f4", 1)]
+    message = spark.createDataFrame([(1, 1, "m", "hello")], "id long, conversation_id long, external_id string, content string")
+    whole = "hello" + "".join(f"\n[Attached file: {r['filename']}]\n{r['extracted_text']}" for r in rows if r["extracted_text"])
+    out = episodes.with_bodies(message, files).first()
+    assert (out["body"], out["view_len"]) == (whole[: episodes.MESSAGE_CHARS] + episodes.CUT, episodes.MESSAGE_CHARS)
+    assert [len(f["body"]) for f in episodes.attachments_by_message(table.where("id = 10001"), none).first()["files"]] == [episodes.MESSAGE_CHARS + 1]
+
+
 def test_settings(tmp_path):
     (tmp_path / "config.json").write_text(json.dumps({"user_name": "Jo", "word_budget": 5, "unknown": 1}))
     (tmp_path / "config.local.json").write_text(json.dumps({"word_budget": 6}))
