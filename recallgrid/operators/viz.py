@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scoring, vector
+from .tables import stored
 
 MAX_POINTS, MAX_EDGES, MAX_DEPTH, COLOURS, NEIGHBOURS = 2500, 120, 20, 8, 3
 PROJECTION_VERSION = "v2"
@@ -49,18 +50,20 @@ def recall_edges(log: DataFrame, facts: DataFrame, most: int = MAX_EDGES) -> Dat
 def strata(facts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """head, id, depth: what each valid fact has superseded, directly or in steps; the nearest path counts.
 
-    One equi-join on superseded_by a step, until no row is new.
+    One equi-join on superseded_by a step over stored tables, until no row is new or `depth` is reached.
     """
-    edges = facts.where(F.col("superseded_by").isNotNull()).select("id", "superseded_by")
-    heads = facts.where(schema.valid()).select(F.col("id").alias("head"))
-    spark = facts.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE s(head, id, depth) AS (
-              SELECT h.head, e.id, 1 FROM {{heads}} h JOIN {{edges}} e ON e.superseded_by = h.head
-              UNION ALL SELECT s.head, e.id, s.depth + 1 FROM s JOIN {{edges}} e ON e.superseded_by = s.id WHERE s.depth < {depth})
-            SELECT head, id, min(depth) AS depth FROM s WHERE id <> head GROUP BY head, id""",
-        heads=heads, edges=edges,
-    )
+    edges = stored(facts.where(F.col("superseded_by").isNotNull()).select(F.col("id").alias("old"), "superseded_by"), "edges")
+    ends = facts.where(schema.valid()).select(F.col("id").alias("head"), F.col("id").alias("end"))
+    seen = None
+    for step in range(1, depth + 1):
+        found = ends.join(edges, F.col("end") == F.col("superseded_by")).select("head", F.col("old").alias("id")).distinct()
+        new = found if seen is None else found.join(seen, ["head", "id"], "left_anti")
+        new = stored(new.withColumn("depth", F.lit(step)), "strata")
+        seen = new if seen is None else seen.unionByName(new)
+        if new.isEmpty():
+            break
+        ends = new.select("head", F.col("id").alias("end"))
+    return seen.where("id <> head")
 
 
 def pca3(points: DataFrame) -> DataFrame:

@@ -225,6 +225,17 @@ def test_recall_edges_and_strata(spark):
     assert {tuple(r) for r in viz.strata(f).collect()} == {(1, 3, 1), (1, 4, 2)}
 
 
+def test_strata_have_no_row_limit(spark):
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, 10)
+    try:
+        f = ledger(spark, [{}] + [{"invalidated_at": NOW, "superseded_by": k} for k in range(1, 25)])
+        assert sorted(tuple(r) for r in viz.strata(f).collect()) == [(1, k + 1, k) for k in range(1, 21)]
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_projection_and_clusters(spark):
     import numpy as np
 
