@@ -1,10 +1,12 @@
 """Mixing sources to target weights by entropy balancing.
 
-Among all rates within [0, cap] that meet a source's token target, the one of least relative entropy to
-"every token once" is min(cap, exp(multiplier * tilt)), where tilt is a covariate of the document (1 by
-default: then a source's length distribution stays as it is). The multipliers solve a convex dual;
-Newton steps, safeguarded by bisection, run for all sources at once as a grouped aggregation over the
-(source, tilt) cells. Rates become whole copies by carrying the words still owed from document to
+Among all rates within [0, cap] that meet a source's token target, those of least relative entropy to
+"every document once" are min(cap, exp(multiplier * tilt)), where a document's tilt is its size over the
+mean size of its source: rates fall or rise exponentially with length, depending on whether a source has
+too many words or too few. Another covariate may be given instead (the constant 1 keeps a source's length
+distribution as it is). The multipliers solve a convex dual; Newton steps, safeguarded by bisection, run
+for all sources at once as grouped aggregations over the (source, covariate) cells, of which a source has
+as many as it has different lengths. Rates become whole copies by carrying the words still owed from document to
 document, largest first, within pieces of a source of about PIECE documents, so that a source misses its
 target by less than a few of its smallest documents and a hot source is spread over many tasks.
 
@@ -24,7 +26,7 @@ from .storage import packed, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 PIECE = 4096
-NEWTON_ROUNDS = 60
+NEWTON_ROUNDS, STEPS_A_JOB = 100, 4
 TOLERANCE = 1e-9
 
 
@@ -58,31 +60,43 @@ def capped_targets(sources: DataFrame, share: float, cap: float) -> DataFrame:
     return sources.withColumn("target", F.least(limit, F.col("weight") * level))
 
 
+def _newton_step(cells: DataFrame, state: DataFrame, cap: float) -> DataFrame:
+    """state after one step; gap is how far its source was from its target before it. One grouped pass over the cells."""
+    rate = F.exp(F.least(F.lit(700.0), F.col("multiplier") * F.col("x") * F.col("scale")))
+    kept = ["target", "scale", "full", "multiplier", "low", "high"]
+    now = cells.join(state, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(
+        F.sum(F.col("tokens") * F.least(F.lit(float(cap)), rate)).alias("met"),
+        F.sum(F.when(rate < cap, F.col("tokens") * F.col("x") * F.col("scale") * rate).otherwise(0.0)).alias("slope"),
+        *(F.first(c).alias(c) for c in kept),
+    )
+    gap = F.col("met") - F.col("target")
+    now = now.withColumns({"low": F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low")), "high": F.when(gap >= 0, F.col("multiplier")).otherwise(F.col("high"))})
+    step = F.col("multiplier") - gap / F.when(F.col("slope") > 0, F.col("slope"))
+    middle = F.when(F.col("low") == float("-inf"), F.col("high") - 1 - F.abs("high")).when(F.col("high") == float("inf"), F.col("low") + 1 + F.abs("low")).otherwise((F.col("low") + F.col("high")) / 2)
+    off = F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))
+    done = F.col("full") | (off <= TOLERANCE)
+    moved = F.when(done, F.col("multiplier")).when((step > F.col("low")) & (step < F.col("high")), step).otherwise(middle)
+    return now.select("s", "target", "scale", "full", moved.alias("multiplier"), "low", "high", F.when(F.col("full"), 0.0).otherwise(off).alias("gap"))
+
+
 def balanced_rates(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
-    """source, multiplier, full: the dual solution for cells(source, tilt, tokens) and targets(source, tokens, target).
+    """s, scale, multiplier, full: the dual solution for cells(source, x, tokens) and targets(source, tokens, scale, target).
 
-    full marks sources whose target is all they can give; they need no multiplier. One pass over the
-    cells a round; the driver sees only the largest relative gap.
+    A document's rate is min(cap, exp(multiplier * x * scale)). full marks sources whose target is all
+    they can give; they need no multiplier. A job does STEPS_A_JOB rounds and stores the state of one row
+    a source; the driver sees only the largest relative gap.
     """
-    state = targets.select("source", "target", (F.col("target") >= cap * F.col("tokens") * (1 - 1e-12)).alias("full"), F.lit(0.0).alias("multiplier"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
-    state = stored(state, "duals")
-    rate = F.exp(F.least(F.lit(700.0), F.col("multiplier") * F.col("tilt")))
-    for _ in range(NEWTON_ROUNDS):
-        met = F.sum(F.col("tokens") * F.least(F.lit(float(cap)), rate))
-        slope = F.sum(F.when(rate < cap, F.col("tokens") * F.col("tilt") * rate).otherwise(0.0))
-        now = cells.join(state.where("not full").select(F.col("source").alias("s"), "multiplier"), F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(met.alias("met"), slope.alias("slope"))
-        now = now.withColumnRenamed("source", "s")
-        gap = F.col("met") - F.col("target")
-        low, high = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low")), F.when(gap >= 0, F.col("multiplier")).otherwise(F.col("high"))
-        step = F.col("multiplier") - gap / F.when(F.col("slope") > 0, F.col("slope"))
-        middle = F.when(low == float("-inf"), high - 1 - F.abs(high)).when(high == float("inf"), low + 1 + F.abs(low)).otherwise((low + high) / 2)
-        moved = F.when(F.abs(gap) <= TOLERANCE * F.greatest(F.col("target"), F.lit(1.0)), F.col("multiplier")).when((step > low) & (step < high), step).otherwise(middle)
-        joined = state.join(now, F.col("source").eqNullSafe(F.col("s")), "left")
-        state = stored(joined.select("source", "target", "full", F.when(F.col("met").isNull(), F.col("multiplier")).otherwise(moved).alias("multiplier"), low.alias("low"), high.alias("high"), (F.abs(gap) / F.greatest("target", F.lit(1.0))).alias("gap")), "duals")
+    nowhere = {"multiplier": 0.0, "low": float("-inf"), "high": float("inf")}
+    state = targets.select(F.col("source").alias("s"), "target", "scale", (F.col("target") >= cap * F.col("tokens") * (1 - 1e-12)).alias("full"), *(F.lit(v).alias(c) for c, v in nowhere.items()))
+    before = None
+    for _ in range(NEWTON_ROUNDS // STEPS_A_JOB):
+        for _ in range(STEPS_A_JOB):
+            state = _newton_step(cells, state, cap)
+        state = before = stored(state, "duals", replaces=before)
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
             break
         state = state.drop("gap")
-    return state.select("source", "multiplier", "full")
+    return state.select("s", "scale", "multiplier", "full")
 
 
 def _copies(rows: pd.DataFrame, cap: int) -> pd.DataFrame:
@@ -101,14 +115,16 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: int = 2,
     """One row for each row of docs: doc_id, source, size, source_size, target, rate, copies, tie (a hash of the row)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     tie = F.xxhash64("doc_id", "source", "text")
-    rows = stored(docs.select("doc_id", "source", size.alias("size"), (F.lit(1.0) if tilt is None else tilt).cast("double").alias("tilt"), tie.alias("tie")), "sizes")
-    cells = stored(rows.groupBy("source", "tilt").agg(F.sum("size").cast("double").alias("tokens"), F.count("*").alias("n")), "cells")
+    rows = stored(docs.select("doc_id", "source", size.alias("size"), (size if tilt is None else tilt).cast("double").alias("x"), tie.alias("tie")), "sizes")
+    cells = stored(rows.groupBy("source", "x").agg(F.sum("size").cast("double").alias("tokens"), F.count("*").alias("n")), "cells")
     sources = cells.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n"))
-    targets = stored(capped_targets(stored(cycled_weights(sources, weights), "sources"), share, cap), "targets")
+    targets = capped_targets(stored(cycled_weights(sources, weights), "sources"), share, cap)
+    scale = F.lit(1.0) if tilt is not None else F.when(F.col("tokens") > 0, F.col("n") / F.col("tokens")).otherwise(0.0)  # one over the mean size
+    targets = stored(targets.withColumn("scale", scale), "targets")
     duals = balanced_rates(cells, targets, cap)
-    plan = targets.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("tokens").cast("long").alias("source_size"), "target", "n", "multiplier", "full")
+    plan = targets.drop("scale").join(duals, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("tokens").cast("long").alias("source_size"), "target", "n", "scale", "multiplier", "full")
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn(
-        "rate", F.when(F.col("source_size") == 0, 0.0).when(F.col("full"), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("multiplier") * F.col("tilt"))))
+        "rate", F.when(F.col("source_size") == 0, 0.0).when(F.col("full"), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.lit(700.0), F.col("multiplier") * F.col("x") * F.col("scale")))))
     )
     piece = F.pmod("tie", F.ceil(F.col("n") / PIECE))
     schema = "doc_id long, source string, size long, rate double, copies int, tie long"
@@ -123,6 +139,6 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, cap: int =
     found = stored(found.select(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_tie"), F.col("copies").cast("int").alias("copies"), "n"), "copies")
     rows = docs.select("doc_id", F.xxhash64("doc_id", "source", "text").alias("tie"), packed(docs))
     same = rows["doc_id"].eqNullSafe(F.col("mix_id")) & (F.col("tie") == F.col("mix_tie"))
-    once = rows.join(found.where("n = 1").hint("shuffle_hash"), same)
+    once = rows.join(found.where("n = 1").hint("shuffle_hash"), same)  # thirty bytes a document are built
     repeated = rows.join(stored(found.where("n > 1"), "repeated"), same).dropDuplicates(["doc_id", "tie"])  # few as a rule: written, so that its size is known
     return once.unionByName(repeated).select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")

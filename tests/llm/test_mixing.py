@@ -46,11 +46,27 @@ def check(rows, texts):
         assert abs(taken[s] - want[s]) <= max(20, 0.02 * want[s], largest / 2 if largest > sizes[s] / 2 else 0), s
 
 
+def check_rates(rows):
+    """Rates against the dual of each source solved on its own by bisection."""
+    for s in {r["source"] for r in rows}:
+        mine = [r for r in rows if r["source"] == s]
+        mean, target = sum(r["size"] for r in mine) / len(mine), mine[0]["target"]
+        rate = lambda m, size: min(2.0, math.exp(min(700.0, m * size / mean)))  # noqa: B023, E731
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            m = (low + high) / 2
+            low, high = (m, high) if sum(rate(m, r["size"]) * r["size"] for r in mine) < target else (low, m)
+        full = target >= 2 * sum(r["size"] for r in mine) * (1 - 1e-12)
+        assert all(r["rate"] == pytest.approx(2.0 if full else rate(low, r["size"]), abs=1e-5) for r in mine)
+        assert full or len({round(r["rate"], 6) for r in mine}) > 5
+
+
 def test_documents(spark, sf_dir):
     rows = queries.op3_mixing(spark, sf_dir).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     assert len(rows) == len(texts)
     check(rows, texts)
+    check_rates(rows)
     again = queries.op3_mixing(spark, sf_dir).collect()
     assert {tuple(r) for r in rows} == {tuple(r) for r in again}
 
