@@ -1,7 +1,8 @@
 """Byte-level BPE by a distinct-word table, and decoding by an id-to-piece join.
 
 Spark splits texts into words, each distinct word is merged once, and its ids are joined back by
-position. The vocabulary, whose size is fixed, is broadcast.
+position. Decoding joins ids to the vocabulary's pieces (id, piece): the vocabulary, whose size is fixed,
+is broadcast, and the join runs on the lists of a batch, so that lists stay whole and in order.
 
 Defined results: null text counts as empty and has no ids; special-token strings in a text become their
 ids; rows with a null or repeated doc_id are encoded like any other; other columns are not read.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -92,18 +94,18 @@ def split_words(text: Column, special: list[str]) -> Column:
     words = lambda x: F.regexp_extract_all(x, F.lit(PATTERN), F.lit(0))
     if not special:
         return words(text)
-    if len(special) > 1:
-        raise ValueError("one special token at most")
-    token = F.lit(special[0])
-    # each side of a special token is split on its own
-    pieces = F.flatten(F.transform(F.split(text, "\\Q" + special[0] + "\\E", -1), lambda x: F.concat(words(x), F.array(token))))
-    return F.when(F.contains(text, token), F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(words(text))
+    # of special tokens that begin at one place the longest counts; what lies between them is split on its own
+    token = "|".join("\\Q" + t + "\\E" for t in sorted(special, key=len, reverse=True))
+    sides, tokens = F.split(text, token, -1), F.regexp_extract_all(text, F.lit(f"(?:{token})"), F.lit(0))
+    pieces = F.flatten(F.zip_with(sides, tokens, lambda x, t: F.concat(words(x), F.filter(F.array(t), lambda y: y.isNotNull()))))
+    some = [F.contains(text, F.lit(t)) for t in special]
+    return F.when(reduce(lambda a, b: a | b, some), pieces).otherwise(words(text))
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
-    """doc_id, ids array<int> of each row of docs, whole texts; on demand also decoded, made of ids in the same task."""
+def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, ids array<int> of each row of docs, whole texts."""
     vocabulary = load_vocabulary(path)
-    shared = docs.sparkSession.sparkContext.broadcast({k: vocabulary[k] for k in ("ids", "ranks", "special", "pieces")})
+    shared = docs.sparkSession.sparkContext.broadcast({k: vocabulary[k] for k in ("ids", "ranks", "special")})
 
     def work(words: list[str]) -> list[list[int]]:
         v = shared.value
@@ -113,15 +115,15 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, decoded:
         tokens = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
         ends = tokens[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
         ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lists.flatten())
-        return pa.table({"doc_id": doc_ids, "ids": ids} | ({"decoded": joined_pieces(ids, pa.array(shared.value["pieces"], pa.binary()))} if decoded else {}))
+        return pa.table({"doc_id": doc_ids, "ids": ids})
 
     text = F.coalesce("text", F.lit(""))
     blocks = block_table(docs.select("doc_id", split_words(text, list(vocabulary["special"])).alias("words")), block_bytes)
-    return put_back(blocks, by_distinct_word(blocks, work), finish, "doc_id long, ids array<int>" + ", decoded string" * decoded)
+    return put_back(blocks, by_distinct_word(blocks, work), finish, "doc_id long, ids array<int>")
 
 
 def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
-    """The pieces of each list of ids, joined, as text: the id-to-piece join of a batch."""
+    """The pieces of each list of ids, joined, as text: the id-to-piece join of a batch. Ids are row numbers of pieces."""
     sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
     taken = pieces.take(ids.flatten())
     if not len(taken):

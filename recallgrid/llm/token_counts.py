@@ -1,9 +1,11 @@
 """Token counts under a unigram tokenizer by dynamic programming over a trie of the distinct words.
 
 Words ([^\\x20\\x09-\\x0D]+, each with the word mark in front) are gathered in the distinct-word table.
-A bucket's sorted words are walked as the depth-first order of their trie: the forward score of a node
-(best score of any segmentation of the characters from the root to it) is computed once for all words
-that share the prefix, and a word's token count is stored where it ends. Scores are the vocabulary
+Words are dealt to tasks by ranges, which begin with a common beginning or cut one that very many words
+share, so that the tries of all tasks together have hardly more nodes than one. A task walks its sorted
+words as the depth-first order of its trie: the forward score of a node (best score of any segmentation of
+the characters from the root to it) is computed once for all words that share the prefix, and a word's
+token count is stored where it ends. Scores are the vocabulary
 file's own; a character that no piece covers costs UNKNOWN_PENALTY below the lowest score and counts
 one token per UTF-8 byte. Of equal scores the smaller count wins.
 

@@ -7,9 +7,10 @@ import hashlib
 from helpers import AWKWARD, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recallgrid.llm import bpe, queries
+from recallgrid.llm import bpe, queries, storage
 
 PATH = queries.tokenizer("byte_bpe_50k.json")
 
@@ -23,7 +24,7 @@ def library():
 
 def check(docs, rows, block_bytes=1 << 20):
     t = library()
-    out = bpe.encode(docs, PATH, block_bytes, decoded=True).collect()
+    out = bpe.decode(bpe.encode(docs, PATH, block_bytes), PATH).collect()
     assert len(out) == len(rows)
     want = sorted((i is None, i or 0, t.encode(x or "", add_special_tokens=False).ids, t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, x in rows)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, list(r["ids"]), r["decoded"]) for r in out) == want
@@ -70,3 +71,21 @@ def test_decode_join(spark):
     t = library()
     out = {r["doc_id"]: r["decoded"] for r in bpe.decode(coded, PATH).collect()}
     assert out == {1: t.decode([15496, 995]), 2: "", 3: None, 4: t.decode([50256, 8582], skip_special_tokens=False)}
+
+
+def test_several_special_tokens(spark):
+    """Of tokens that begin at one place the longest counts."""
+    t, special = library(), ["<a>", "<a><b>", "[x]"]
+    t.add_special_tokens(special)
+    rows = ["no token", "<a>", "x<a><b>y [x]z<a>", "<a><a><b>", "", "[x][x"]
+    out = spark.createDataFrame([(r,) for r in rows], "text string").select("text", bpe.split_words(F.col("text"), special).alias("w")).collect()
+    for r in out:
+        assert "".join(r["w"]) == r["text"]
+        assert [w for w in r["w"] if w in special] == [x for x in t.encode(r["text"], add_special_tokens=False).tokens if x in special]
+
+
+def test_tables_are_removed(spark):
+    before = {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
+    with storage.scratch(spark):
+        assert bpe.encode(documents(spark, AWKWARD), PATH).count() == len(AWKWARD)
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} <= before
