@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of byte n-grams of the text, A-Z lower-cased, hashed to BUCKETS. Grouped
-counts over the training rows give each feature's log-count ratio r between toxic and other documents;
-the FEATURES on the toxic side that stand out most by r over its standard error are kept, presence is
-multiplied by r, and logistic regression with an L2 penalty is fitted to that, both classes weighing
-the same in all. The training rows are a sample of at most
+Features are the presence of character n-grams (code points, A-Z lower-cased) of the text, hashed to
+buckets. Grouped counts over the training rows give each feature's log-count ratio r between toxic and
+other documents; the FEATURES of either sign that stand out most by r over its standard error are kept,
+presence is multiplied by r, and logistic regression with an L2 penalty is fitted to that, both classes
+weighing the same in all. The training rows are a sample of at most
 max_rows labelled rows, the first by a hash of doc_id; every row of a table is scored, whole text.
 
 Defined results: null text counts as empty; an empty text gets the score of no feature; rows without a
@@ -30,14 +30,24 @@ PENALTY = 1e-3
 ROUNDS = 200
 
 
-def _buckets(data: np.ndarray, offsets: np.ndarray):
-    """For each n-gram size the bucket of the n-gram at each byte (the last bytes of a text: -1)."""
-    data = ASCII_LOWER[data].astype(np.uint32)
-    h = data.copy()
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts (where they aren't UTF-8, bytes) and the len + 1 offsets into them."""
+    try:
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    except UnicodeDecodeError:
+        return data.astype(np.uint32), offsets
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return points, before[offsets]
+
+
+def _buckets(points: np.ndarray, offsets: np.ndarray):
+    """For each n-gram size the bucket of the n-gram at each character (the last ones of a text: -1)."""
+    h = points + np.uint32(32) * ((points >= 65) & (points <= 90)).astype(np.uint32)
+    low = h
     for n in range(2, max(SIZES) + 1):
         if len(h) <= 1:
             break
-        h = h[:-1] * np.uint32(0x01000193) + data[n - 1 :]
+        h = h[:-1] * np.uint32(0x01000193) + low[n - 1 :]
         if n in SIZES:
             out = (((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(n)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
             for back in range(1, n):  # n-grams that would reach into the next text
@@ -51,8 +61,8 @@ def _counted(batches):
     counts = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
-            data, at = text_bytes(part.column("text"))
-            every = list(_buckets(data, at))
+            points, at = characters(*text_bytes(part.column("text")))
+            every = list(_buckets(points, at))
             for i, label in enumerate(part.column("label").to_pylist()):
                 there = np.zeros(1 << BUCKET_BITS, dtype=bool)
                 for out in every:
@@ -66,15 +76,16 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), label, dtype=np.int32)), pa.array(mine.astype(np.int32)), pa.array(counts[label][mine])], names=["label", "bucket", "n"])
 
 
-def _present(part: pa.RecordBatch, index: np.ndarray, features: int) -> np.ndarray:
-    """Which of the kept features each text has."""
-    data, at = text_bytes(part.column("text"))
-    out = np.zeros((len(at) - 1, features + 1), dtype=bool)
-    for found in _buckets(data, at):
+def _present(texts: pa.Array, index: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature of each kept feature that a text has, each once."""
+    points, at = characters(*text_bytes(texts))
+    pairs = [np.empty(0, dtype=np.int64)]
+    for found in _buckets(points, at):
         kept = index[found]  # bucket -1 is the last entry, which is never kept
         hits = np.flatnonzero(kept < features)
-        out[np.searchsorted(at, hits, side="right") - 1, kept[hits]] = True
-    return out[:, :features]
+        pairs.append(np.unique((np.searchsorted(at, hits, side="right") - 1) * np.int64(features) + kept[hits]))
+    pairs = np.unique(np.concatenate(pairs))
+    return pairs // max(1, features), pairs % max(1, features)
 
 
 def _fit(x: np.ndarray, y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
@@ -115,7 +126,7 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES) -
     sides = counts.groupBy("bucket").agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
     ratio = F.log((F.col("n1") + 1) / (total[1] + 2)) - F.log((F.col("n0") + 1) / (total[0] + 2))
     error = F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1))
-    best = sides.select("bucket", ratio.alias("r"), (F.abs(ratio) / error).alias("z")).where("r > 0").orderBy(F.col("z").desc(), "bucket").limit(features).collect()
+    best = sides.select("bucket", ratio.alias("r"), (F.abs(ratio) / error).alias("z")).where("r <> 0").orderBy(F.col("z").desc(), "bucket").limit(features).collect()
     index = np.full((1 << BUCKET_BITS) + 1, len(best), dtype=np.int16)
     index[[r["bucket"] for r in best]] = np.arange(len(best))
     scale = np.array([r["r"] for r in best])
@@ -125,14 +136,18 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES) -
     def bits(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                packed = np.packbits(_present(part, shared.value, k), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([row.tobytes() for row in packed], pa.binary())], names=["doc_id", "label", "bits"])
+                row, feature = _present(part.column("text"), shared.value, k)
+                ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                there = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), there], names=["doc_id", "label", "there"])
 
-    data = picked.mapInArrow(bits, "doc_id long, label int, bits binary").collect()
-    data.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["bits"])))
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in data), dtype=np.uint8).reshape(len(data), -1), axis=1)[:, :k]
-    weights, intercept = _fit(x.astype(np.float32), np.array([r["label"] for r in data], dtype=np.float64), scale)
-    return {"index": index, "weights": weights, "intercept": intercept, "share": None}
+    data = picked.mapInArrow(bits, "doc_id long, label int, there array<int>").collect()
+    data.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["there"]))
+    x = np.zeros((len(data), k), dtype=np.float32)
+    for i, r in enumerate(data):
+        x[i, r["there"]] = 1
+    weights, intercept = _fit(x, np.array([r["label"] for r in data], dtype=np.float64), scale)
+    return {"index": index, "weights": weights, "intercept": intercept, "share": None, "ratios": scale}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -145,7 +160,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         m = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                z = _present(part, m["index"], len(m["weights"])) @ m["weights"] + m["intercept"]
+                row, feature = _present(part.column("text"), m["index"], len(m["weights"]))
+                z = np.bincount(row, m["weights"][feature], part.num_rows) + m["intercept"]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
+import numpy as np
+import pytest
 from helpers import AWKWARD, documents
 from pyspark.sql import functions as F
 
@@ -54,3 +57,39 @@ def test_sample_is_bounded(spark):
     labels = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"))
     assert toxicity.sample(labels, 10).count() == 10
     assert toxicity.train(documents(spark, [(k, f"t{k}") for k in range(40)]).select("doc_id", "text", (F.col("doc_id") % 2).cast("int").alias("label")), max_rows=8)["weights"] is not None
+
+
+def grams(text):
+    """Buckets of the character n-grams of a text, one n-gram after another."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    out = set()
+    for n in toxicity.SIZES:
+        for k in range(len(low) - n + 1):
+            points, at = toxicity.characters(np.frombuffer(low[k : k + n].encode(), dtype=np.uint8), np.array([0, len(low[k : k + n].encode())]))
+            out.add(int(list(toxicity._buckets(points, at))[toxicity.SIZES.index(n)][0]))
+    return out
+
+
+def test_ratios_fit_and_scores_by_hand(spark):
+    """Log-count ratios of either sign, the loss at its minimum, and scores, all from plain counts. Letters beyond ASCII are one character."""
+    rows = [(k, ("schöner Tag für " if k % 2 else "übler Wicht, ") + f"Nummer {k}é", k % 2) for k in range(30)]
+    model = toxicity.train(documents(spark, rows).select("doc_id", "text", (F.col("doc_id") % 2).cast("int").alias("label")), features=40)
+    sets, kept = {k: grams(t) for k, t, _ in rows}, np.flatnonzero(model["index"][:-1] < len(model["weights"]))
+    assert len(kept) == 40
+    side = [sum(y == s for *_, y in rows) for s in (0, 1)]
+    ratio = {}
+    for b in set().union(*sets.values()):
+        n = [sum(b in sets[k] for k, _, y in rows if y == s) for s in (0, 1)]
+        r = math.log((n[1] + 1) / (side[1] + 2)) - math.log((n[0] + 1) / (side[0] + 2))
+        ratio[b] = (r, abs(r) / math.sqrt(1 / (n[0] + 1) + 1 / (n[1] + 1)))
+    assert {int(b) for b in kept} == set(sorted(ratio, key=lambda b: (-ratio[b][1], b))[:40])
+    assert all(model["ratios"][model["index"][b]] == pytest.approx(ratio[b][0]) for b in kept)
+    assert min(model["ratios"]) < 0 < max(model["ratios"])
+    x = np.array([[model["ratios"][model["index"][b]] * (b in sets[k]) for b in kept] for k, *_ in rows])
+    w = np.array([model["weights"][model["index"][b]] / model["ratios"][model["index"][b]] for b in kept])
+    y = np.array([r[2] for r in rows])
+    p = 1 / (1 + np.exp(-(x @ w + model["intercept"])))
+    slope = x.T @ (p - y) / len(rows) + toxicity.PENALTY * w
+    assert np.abs(slope).max() < 2e-3
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, [r[:2] for r in rows]), model).collect()}
+    assert [scores[k] for k, *_ in rows] == pytest.approx(list(p), abs=1e-6)
