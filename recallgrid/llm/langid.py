@@ -13,7 +13,9 @@ can be believed.
 
 Defined results: null text counts as empty; a text without letters says nothing, and the other evidence
 decides; a null declaration, host, domain or suffix says nothing; without labelled texts the language
-is null; a posterior tie goes to the first language by code point.
+is null; a posterior tie goes to the first language by code point. Any number of languages is scored, in
+tables of LANGUAGES_TOGETHER. Of a page, comments, scripts, styles, tags and character entities count as
+blanks; a comment, script or tag that isn't closed goes on to the end.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import slices, text_bytes
@@ -32,10 +35,12 @@ BUCKET_BITS = 16
 TEXT_WEIGHT = 1 / 3
 SMOOTHING = 5.0
 SUFFIX_PAGES = 2.0
-MAX_LANGUAGES = 64
+LANGUAGES_TOGETHER = 64
 # Languages of some address suffixes.
 SUFFIX_LANGUAGE = {"at": "de", "de": "de", "es": "es", "fr": "fr", "it": "it", "mx": "es", "nl": "nl", "pl": "pl", "pt": "pt", "uk": "en", "us": "en"}
 LEVELS = ("suffix", "domain", "host")
+# Each alternative goes on to the end where nothing closes it, so that no text is scanned twice.
+MARKUP = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<(?=[a-z/!?])[^>]*(?:>|\z)|&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,30});"
 
 LETTER = np.arange(256, dtype=np.uint8)
 LETTER[65:91] += 32
@@ -57,9 +62,10 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def train(rows: DataFrame) -> dict:
-    """languages and the log-probability table of rows(text, lang); counts over all rows with a lang.
+    """languages and log-probability tables of rows(text, lang); counts over all rows with a lang.
 
-    The table has one row a bucket and one column a language; more than MAX_LANGUAGES are refused.
+    A table has one row a bucket and one column for each of LANGUAGES_TOGETHER languages; counts reach the
+    driver summed, at most one number for each of its entries.
     """
     labelled = rows.where("lang is not null").select("text", "lang")
 
@@ -79,14 +85,18 @@ def train(rows: DataFrame) -> dict:
             some = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(mine[some])], names=["lang", "bucket", "n"])
 
-    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     summed = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = np.full((1 << BUCKET_BITS, max(1, len(languages))), 0.5)
-    for r in summed.toLocalIterator():
-        table[r["bucket"], languages.index(r["lang"])] += r["n"]
-    return {"languages": languages, "table": np.log(table / table.sum(axis=0)).astype(np.float32)}
+    summed = stored(summed, "trigrams") if len(languages) > LANGUAGES_TOGETHER else summed
+    tables = []
+    for k in range(0, len(languages), LANGUAGES_TOGETHER):
+        some = languages[k : k + LANGUAGES_TOGETHER]
+        found = (summed if len(languages) <= LANGUAGES_TOGETHER else summed.where(F.col("lang").isin(some))).toArrow()
+        table = np.full((1 << BUCKET_BITS, len(some)), 0.5)
+        where = pc.index_in(found.column("lang"), pa.array(some)).to_numpy()
+        table[found.column("bucket").to_numpy(), where] += found.column("n").to_numpy()
+        tables.append(np.log(table / table.sum(axis=0)).astype(np.float32))
+    return {"languages": languages, "tables": tables}
 
 
 def scored(rows: DataFrame, model: dict) -> DataFrame:
@@ -94,29 +104,36 @@ def scored(rows: DataFrame, model: dict) -> DataFrame:
 
     Only the texts go to Python; the other columns stay where they are.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    parts = [F.transform(_log_likelihood(rows.sparkSession, t)("lid_text"), lambda x: x * TEXT_WEIGHT) for t in model["tables"]]
+    sums = F.concat(*parts) if parts else F.array().cast("array<double>")
+    return rows.withColumn("lid_scores", _let(sums, lambda s: _let(F.array_max(s), lambda top: F.transform(s, lambda x: x - top)))).drop("lid_text")
 
-    def scores_of(text: pa.Array) -> pa.Array:
-        table = shared.value["table"]
-        n = len(shared.value["languages"])
+
+def _log_likelihood(spark: SparkSession, table: np.ndarray) -> Callable:
+    """A function of a text column: the sum of its trigrams' log-probabilities for each column of table, an empty array without letters."""
+    shared, languages = spark.sparkContext.broadcast(table), table.shape[1]
+    step = max(1024, (1 << 19) // languages)
+
+    def sums_of(text: pa.Array) -> pa.Array:
         out = [pa.array([], pa.list_(pa.float64()))]
         for part in slices(pa.RecordBatch.from_arrays([text], names=["text"]), "text"):
             data, at = text_bytes(part.column("text"))
             buckets, where = _trigrams(data, at)
             ends = np.searchsorted(where, at)
-            total = np.zeros((len(buckets) + 1, table.shape[1]))
-            np.cumsum(table[buckets], axis=0, dtype=np.float64, out=total[1:])
-            sums = (total[ends[1:]] - total[ends[:-1]]) * TEXT_WEIGHT
-            sums -= sums.max(axis=1, keepdims=True)
-            some = (np.diff(ends) > 0) & (n > 0)
-            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * n)]).astype(np.int32)), pa.array(sums[some].reshape(-1))))
+            doc = np.repeat(np.arange(len(at) - 1), np.diff(ends))
+            sums = np.zeros((len(at) - 1, languages))
+            for k in range(0, len(buckets), step):  # a long text in stretches
+                heads = np.concatenate([[0], np.flatnonzero(np.diff(doc[k : k + step])) + 1])
+                sums[doc[k + heads]] += np.add.reduceat(shared.value[buckets[k : k + step]].astype(np.float64), heads, axis=0)
+            some = np.diff(ends) > 0
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * languages)]).astype(np.int32)), pa.array(sums[some].reshape(-1))))
         return pa.concat_arrays(out)
 
     @F.arrow_udf("array<double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from map(scores_of, batches)
+        yield from map(sums_of, batches)
 
-    return rows.withColumn("lid_scores", score("lid_text")).drop("lid_text")
+    return score
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -197,8 +214,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     host = F.when(host != "", host)
     html = F.coalesce("html", F.lit(""))
-    declared = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    declared = F.lower(F.regexp_extract(html, r"(?i)<html\b[^<>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    text = F.regexp_replace(html, MARKUP, " ")
     return pages.select(
         "page_id", text.alias("lid_text"), F.when(declared != "", declared).alias("lid_declared"),
         F.element_at(F.split(host, r"\."), -1).alias("lid_suffix"), F.substring_index(host, ".", -2).alias("lid_domain"), host.alias("lid_host"),
