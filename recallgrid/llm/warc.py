@@ -20,6 +20,7 @@ import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,15 +29,17 @@ from pyspark.sql import functions as F
 
 RECORD = "record_id string, type string, target_uri string, date string, content_type string, headers map<string,string>, block binary"
 FIELDS = ["record_id", "type", "target_uri", "date", "content_type", "headers", "block"]
+READ_BYTES = 1 << 20
 CAPTURED = "2024-01-01T00:00:00Z"
-DROPPED = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
-BREAKS = re.compile(r"<(?:/?(?:p|div|ul|ol|li|h[1-6]|tr|table|article|section|nav|header|footer|title|body|head)|br)\b[^>]*>", re.I)
-TAGS = re.compile(r"<[^>]*>")
+# What nothing closes goes on to the end, and tags hold no "<", so that no page is scanned twice.
+DROPPED = re.compile(r"<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.I | re.S)
+BREAKS = re.compile(r"<(?:/?(?:p|div|ul|ol|li|h[1-6]|tr|table|article|section|nav|header|footer|title|body|head)|br)\b[^<>]*>", re.I)
+TAGS = re.compile(r"<[^<>]*>")
 BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 LINES = re.compile(r" ?\n[ \n]*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
+TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
+LANG = re.compile(r"<html\b[^<>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+LINK = re.compile(r"<a\b[^<>]*?\shref\s*=", re.I)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -138,8 +141,8 @@ def responses(pages: DataFrame, captured: str = CAPTURED) -> DataFrame:
 
 
 def build_derivatives(records: DataFrame) -> DataFrame:
-    """Metadata and conversion records of the response records; columns named *_id of long type are kept."""
-    extra = tuple(c for c, kind in records.dtypes if kind == "bigint")
+    """Metadata and conversion records of the response records; columns named *_id of long type are kept, others are not read."""
+    extra = tuple(c for c, kind in records.dtypes if kind == "bigint" and c.endswith("_id") and c not in FIELDS)
 
     def run(batches):
         def rows():
@@ -162,28 +165,43 @@ def as_bytes(record: dict) -> bytes:
     return gzip.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + record["block"] + b"\r\n\r\n", mtime=0)
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of data, decompressed one by one; data itself if it is plain."""
+    rest = memoryview(data)
+    if bytes(rest[:2]) != b"\x1f\x8b":
+        yield data
+        return
+    while bytes(rest[:2]) == b"\x1f\x8b":
+        d, out, at = zlib.decompressobj(31), [], 0
+        while at < len(rest) and not d.eof:
+            out.append(d.decompress(rest[at : at + READ_BYTES]))
+            at += READ_BYTES
+        rest = rest[min(at, len(rest)) - len(d.unused_data) :] if d.eof else rest[:0]
+        yield b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of WARC bytes, plain or gzip members."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        pairs = [x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]]
-        head = {k.strip(): v.strip() for k, _, v in pairs}
-        size = int(head.pop("Content-Length", "0"))
-        block = data[end + 4 : end + 4 + size]
-        known = {"record_id": "WARC-Record-ID", "type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type"}
-        yield {f: head.pop(h, None) for f, h in known.items()} | {"headers": head, "block": block}
-        at = end + 4 + size
+    """The records of WARC bytes, plain or gzip members; of members one at a time is held decompressed."""
+    for part in members(data):
+        at = 0
+        while (at := part.find(b"WARC/1.", at)) >= 0:
+            end = part.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
+            pairs = [x.partition(":") for x in part[at:end].decode("utf-8", "replace").split("\r\n")[1:]]
+            head = {k.strip(): v.strip() for k, _, v in pairs}
+            size = int(head.pop("Content-Length", "0"))
+            block = part[end + 4 : end + 4 + size]
+            known = {"record_id": "WARC-Record-ID", "type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type"}
+            yield {f: head.pop(h, None) for f, h in known.items()} | {"headers": head, "block": block}
+            at = end + 4 + size
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """Records of WARC files read with spark.read.format("binaryFile")."""
+    """Records of WARC files read with spark.read.format("binaryFile"): a file's compressed bytes and one member are held at a time."""
 
     def run(batches):
-        yield from _batches(r for b in batches for i in range(b.num_rows) for r in parse(b.column("content")[i].as_py()))
+        yield from _batches(r for b in batches for i in range(b.num_rows) for r in parse(b.column("content")[i].as_buffer()))
 
     return files.select("content").mapInArrow(run, RECORD)
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import html
+import re
+import time
 
 from recallgrid.llm import queries, warc
 
@@ -33,6 +37,69 @@ def test_links_and_digests(spark, sf_dir):
     assert queries.op5_warc(spark, sf_dir).count() == len(made)
 
 
+def visible(page):
+    """Visible text of a page by a scanner that looks at one character after another."""
+    out, i, low = [], 0, page.lower()
+    while i < len(page):
+        name = next((n for n in ("script", "style", "noscript", "template") if low.startswith("<" + n, i) and not re.match(r"\w", page[i + 1 + len(n) : i + 2 + len(n)])), None)
+        if name or low.startswith("<!--", i):
+            end = re.compile(rf"</{name}\s*>" if name else "-->").search(low, i + (1 if name else 4))
+            i, c = end.end() if end else len(page), " "
+        else:
+            i, c = i + 1, page[i]
+        out.append(c)
+    page = "".join(out)
+    blocks = "p div ul ol li h1 h2 h3 h4 h5 h6 tr table article section nav header footer title body head".split()
+    for every in (False, True):
+        out, i = [], 0
+        while i < len(page):
+            ends = [j for j in (page.find("<", i + 1), page.find(">", i + 1)) if j >= 0]
+            if page[i] == "<" and ends and page[min(ends)] == ">":
+                name = re.match(r"/?(\w*)", page[i + 1 : min(ends)].lower())
+                starts_line = name[1] in blocks or name[0] == "br"
+                if every or starts_line:
+                    out.append("" if every else "\n")
+                    i = min(ends) + 1
+                    continue
+            out.append(page[i])
+            i += 1
+        page = "".join(out)
+    lines = [re.sub(r"[ \t\r\f\v\xa0]+", " ", x).strip(" ") for x in html.unescape(page).split("\n")]
+    return "\n".join(x for x in lines if x).strip()
+
+
+def test_query_against_a_scanner(spark, sf_dir):
+    """Text, lengths and digests of the query's conversion records over all pages."""
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    out = {r["page_id"]: r for r in queries.op5_warc(spark, sf_dir).where("type = 'conversion'").collect()}
+    assert set(out) == set(pages)
+    for i, page in pages.items():
+        text = visible(page or "").encode()
+        assert (out[i]["content_length"], out[i]["block_sha256"], out[i]["block_digest"]) == (len(text), hashlib.sha256(text).hexdigest(), sha1(text))
+    for page in ("a <br b< c <p>d", "<script>x", "<a<!-- -->b>c", "<!-- x", "<style >p</style\n>q<SCRIPTS>r", "<title>t", "3 < 5 > 4"):
+        assert warc.plain_text(page) == visible(page)
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.perf_counter()
+    for part in ("<!-- ", "<script ", "<script>", "<title>", "<", "<a ", "<html ", "<a href", "&lt;<p "):
+        warc.derivatives({"record_id": "r", "headers": {}, "target_uri": "u", "date": "d", "block": b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + part.encode() * 100_000})
+    assert time.perf_counter() - began < 30
+
+
+def test_members_are_read_one_by_one():
+    parts = [b"a" * 3_000_000, b"", b"c" * 10]
+    data = b"".join(gzip.compress(p) for p in parts)
+    assert list(warc.members(data)) == parts
+    assert list(warc.members(b"plain")) == [b"plain"]
+    assert b"".join(warc.members(data[:-9])) == b"".join(parts)[: len(b"".join(warc.members(data[:-9])))]
+
+
+def test_only_id_columns_are_kept(spark):
+    rows = warc.responses(spark.createDataFrame([(1, "u", "<p>x", "own", "own")], PAGES)).selectExpr("*", "7L as size", "8L as other_id")
+    assert warc.build_derivatives(rows).columns == ["page_id", "other_id", *warc.FIELDS]
+
+
 def test_plain_text():
     page = "<html><head><title>T &amp; U</title><script>var x = '<p>';</script></head><body><p>One<br>two &lt;3</p><!-- no --><style>p{}</style><div>three  four</div></body></html>"
     assert warc.plain_text(page) == "T & U\nOne\ntwo <3\nthree four"
