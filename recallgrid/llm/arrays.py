@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,21 @@ WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run as a task, which gives freed memory back at its end: Python workers wait for the next task and would keep it."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # not every C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of the batch with at most max_bytes of text together, or one longer row."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(lengths, dtype=np.int64)

@@ -25,12 +25,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """id, component of each id in edges(a long, b long): the smallest id reachable. Loops and repeats are harmless."""
+    """id, component of each id in edges(a long, b long): the smallest id reachable. Loops and repeats are harmless.
+
+    edges are read once. A round's table is removed when the next one is written.
+    """
     now = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = mark(now)
     while seen[0]:
-        now = stored(_small_star(_large_star(now)), "edges")
+        now = stored(_small_star(_large_star(now)), "edges", replaces=now)
         before, seen = seen, mark(now)
         if before == seen:
             break

@@ -9,8 +9,9 @@ at 0.8 with 3e-6.
 Within a bucket every text is checked against the bucket's smallest id; the links give components;
 then every remaining pair of a bucket that lies in different components is checked too: pair by pair
 where few are left, unless bit sketches or set sizes exclude it (a pair at the threshold fails the bit
-test at SIGMAS standard deviations), and in blocks where many are. A link left out lies within a
-component, so components equal those of all bucket pairs. All links are confirmed on full shingle sets.
+test at SIGMAS standard deviations, about once in 10^10 pairs), and in blocks where many are (there
+nothing is excluded). A link left out lies within a component, so components equal those of all bucket
+pairs. All links are confirmed on full shingle sets.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; a null
 doc_id is linked with nothing and its component is null; rows that share a doc_id are one document for
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import mix, shingle_sets, slices, text_bytes
+from .arrays import mix, shingle_sets, slices, text_bytes, tidy
 from .components import connected_components
 from .storage import stored
 
@@ -35,7 +36,9 @@ WIDTH, BINS, BANDS, ROWS = 5, 256, 42, 6
 VALUE_BITS = np.uint64(48)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 # Buckets with at most FEW rows outside their largest component are compared pair by pair, others in blocks.
-FEW, BLOCK, DENSE_FROM = 16, 512, 8
+FEW, DENSE_FROM = 16, 8
+# A block has about so many rows and bytes of text at most; a text with many candidates is checked against so many a task.
+BLOCK, BLOCK_BYTES, PAIRS_TOGETHER = 512, 2 << 20, 256
 SIGMAS = 6.5
 BIT_COLUMNS = ["b0", "b1", "b2", "b3"]
 
@@ -83,43 +86,59 @@ def _sketch_rows(width: int):
                 s = sketch(hashes, ends)
                 bits = np.packbits((mix(s) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(s).reshape(-1)))
-                columns = [part.column("doc_id"), pa.array(sizes), *map(pa.array, digests), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), keys]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d0", "d1", *BIT_COLUMNS, "bands"])
+                n_bytes = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
+                columns = [part.column("doc_id"), pa.array(sizes), n_bytes, *map(pa.array, digests), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), keys]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "n_bytes", "d0", "d1", *BIT_COLUMNS, "bands"])
 
     return run
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, 256 bits of the sketch and its bucket keys."""
-    return docs.select("doc_id", "text").mapInArrow(_sketch_rows(width), "doc_id long, n_shingles long, d0 long, d1 long, b0 long, b1 long, b2 long, b3 long, bands array<long>")
+    """doc_id, n_shingles, n_bytes, a 128-bit digest of the set, 256 bits of the sketch and its bucket keys."""
+    return docs.select("doc_id", "text").mapInArrow(tidy(_sketch_rows(width)), "doc_id long, n_shingles long, n_bytes long, d0 long, d1 long, b0 long, b1 long, b2 long, b3 long, bands array<long>")
 
 
 def _linked(width: int, percent: int):
+    """Links between rows(a, salt, b, text) in order: rows without b are a's own text, those after it its candidates."""
+
     def run(batches):
+        at_work, own = None, []
         for batch in batches:
-            for part in slices(batch, "text_b"):
-                ids = part.column("a").to_numpy(), part.column("b").to_numpy()
-                b, b_at = shingle_sets(*text_bytes(part.column("text_b")), width)
-                texts = part.column("text_a")
-                heads = np.flatnonzero(np.concatenate([[True], pc.not_equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False)]))
-                a, a_at = shingle_sets(*text_bytes(texts.take(pa.array(heads))), width)
-                which = np.searchsorted(heads, np.arange(len(ids[0])), side="right") - 1
-                keep = np.zeros(len(ids[0]), dtype=bool)
-                for i, k in enumerate(which):
-                    x, y = a[a_at[k] : a_at[k + 1]], b[b_at[i] : b_at[i + 1]]
-                    if len(x) and len(y):
-                        both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                        keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[0][keep]), pa.array(ids[1][keep])], names=["a", "b"])
+            for part in slices(batch, "text"):
+                group = list(zip(part.column("a").to_pylist(), part.column("salt").to_pylist(), strict=True))
+                ids, found = part.column("b").to_pylist(), []
+                hashes, at = shingle_sets(*text_bytes(part.column("text")), width)
+                for i, b in enumerate(ids):
+                    if group[i] != at_work:
+                        at_work, own = group[i], []
+                    y = hashes[at[i] : at[i + 1]]
+                    if b is None:  # repeated rows of an id may differ in text
+                        own += [] if any(np.array_equal(x, y) for x in own) else [y.copy()]
+                    elif any(_alike(x, y, percent) for x in own):
+                        found.append((group[i][0], b))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x) or not len(y):
+        return False
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full shingle sets reach percent of Jaccard similarity."""
-    first = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = first.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(width, percent), "a long, b long")
+    """Those of pairs(a, b) whose full shingle sets reach percent of Jaccard similarity.
+
+    The candidates of an id are dealt to tasks by PAIRS_TOGETHER, each with one copy of its text, and
+    stream past it: a row has one text, and an id with very many candidates is spread over many tasks.
+    """
+    often = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).alias("salts"))
+    dealt = pairs.join(often, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b")
+    heads = often.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    rows = dealt.withColumn("doc_id", F.col("b")).unionByName(heads.withColumn("doc_id", F.col("a"))).join(texts, "doc_id").select("a", "salt", "b", "text")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(tidy(_linked(width, percent)), "a long, b long")
 
 
 def _blocks_linked(width: int, percent: int):
@@ -158,12 +177,12 @@ def _blocks_linked(width: int, percent: int):
 
 
 def crowded_links(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between components in buckets(key, id, component, m) with many of them.
+    """Links between components in buckets(key, id, component, m, bytes) with many of them.
 
-    A bucket is cut into blocks of about BLOCK rows; each pair of blocks is one group, in which all
-    rows are compared at once by counting shared shingles, and only links come out.
+    A bucket is cut into blocks of about BLOCK rows or BLOCK_BYTES; each pair of blocks is one group, in
+    which all rows are compared at once by counting shared shingles, and only links come out.
     """
-    cut = F.ceil(F.col("m") / BLOCK)
+    cut = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES))
     placed = rows.select("key", "id", "component", cut.alias("blocks"), F.pmod(F.xxhash64("id"), cut).alias("block"))
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "id", "block", "component")
@@ -177,29 +196,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     named = rows.where("n_shingles > 0 and doc_id is not null")
     sets = named.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
     one = named.join(sets.select("d0", "d1", F.col("rep").alias("doc_id")), ["d0", "d1", "doc_id"], "left_semi").dropDuplicates(["d0", "d1", "doc_id"])
-    buckets = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    buckets = one.select(F.col("doc_id").alias("id"), "n_bytes", F.explode("bands").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
-    crowded = stored(buckets.join(leaders, "key"), "buckets")  # key, id, leader of buckets with two documents at least
-    wanted = crowded.select(F.col("id").alias("doc_id")).distinct()
-    texts = stored(docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    stars = stored(crowded.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    crowded = stored(buckets.join(leaders, "key"), "buckets")  # key, id, n_bytes, leader of buckets with two documents at least
+    wanted = crowded.select("id").distinct()
+    # the side that is built has ids only, a hundredth of what the texts beside it have
+    texts = stored(docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+    stars = crowded.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(verified(stars, texts, width, percent), "links")
     of = connected_components(links)
-    placed = crowded.select("key", "id").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    facts = one.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *BIT_COLUMNS).join(wanted.withColumnRenamed("doc_id", "id"), "id", "left_semi")
-    mixed = stored(placed.join(mixed, "key", "left_semi").join(facts, "id"), "mixed")
-    by_size = mixed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("minors"), F.sum("n").alias("m"))
-    mixed = stored(mixed.join(by_size, "key"), "mixed")
+    placed = crowded.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    by_size = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).groupBy("key")
+    by_size = by_size.agg(F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("minors"), F.sum("n").alias("m"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
+    facts = one.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *BIT_COLUMNS)
+    mixed = stored(placed.drop("n_bytes").join(by_size, "key").join(facts, "id"), "mixed")
     few = mixed.where(F.col("minors") <= FEW)
     other = few.select(F.col("key").alias("o_key"), *(F.col(c).alias(f"o_{c}") for c in ("id", "component", "n", *BIT_COLUMNS)))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in BIT_COLUMNS), F.lit(0))
     mean = BINS * (1 - percent / 100) / 2
     near = apart <= int(mean + SIGMAS * (mean * (1 - mean / BINS)) ** 0.5 + 1)
     sizes = 100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")
-    rest = few.where("component <> major").join(other, (F.col("key") == F.col("o_key")) & (F.col("component") != F.col("o_component")) & sizes & near)
-    rest = rest.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stored(verified(stored(rest, "rest"), texts, width, percent).unionByName(crowded_links(mixed.where(F.col("minors") > FEW), texts, width, percent)), "links")
+    fresh = (F.col("id") != F.col("leader")) & (F.col("o_id") != F.col("leader"))  # pairs with the leader are checked already
+    rest = few.where("component <> major").join(other, (F.col("key") == F.col("o_key")) & (F.col("component") != F.col("o_component")) & sizes & near & fresh)
+    rest = rest.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+    more = verified(rest, texts, width, percent).unionByName(crowded_links(mixed.where(F.col("minors") > FEW), texts, width, percent))
     of = connected_components(links.unionByName(more))
     return (
         rows.select("doc_id", "n_shingles", "d0", "d1")
@@ -213,4 +233,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs whose document stays: one of each group, the smallest doc_id; null ids stay."""
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)  # ids only are built
