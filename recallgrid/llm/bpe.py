@@ -1,8 +1,8 @@
 """Byte-level BPE by a distinct-word table, and decoding by an id-to-piece join.
 
 Spark splits texts into words, each distinct word is merged once, and its ids are joined back by
-position. Decoding joins ids to the vocabulary's pieces (id, piece): the vocabulary, whose size is fixed,
-is broadcast, and the join runs on the lists of a batch, so that lists stay whole and in order.
+position. Decoding joins each id to its piece of the vocabulary, whose size is fixed; the side with the
+pieces goes to every task, so that lists of ids stay whole and in order.
 
 Defined results: null text counts as empty and has no ids; special-token strings in a text become their
 ids; rows with a null or repeated doc_id are encoded like any other; other columns are not read.
@@ -122,27 +122,12 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     return put_back(blocks, by_distinct_word(blocks, work), finish, "doc_id long, ids array<int>")
 
 
-def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
-    """The pieces of each list of ids, joined, as text: the id-to-piece join of a batch. Ids are row numbers of pieces."""
-    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-    taken = pieces.take(ids.flatten())
-    if not len(taken):
-        return pa.array(["" if there else None for there in ids.is_valid().to_pylist()], pa.string())
-    ends = np.frombuffer(taken.buffers()[1], dtype=np.int32)[taken.offset : taken.offset + len(taken) + 1]
-    bounds, view = ends[np.concatenate([[0], np.cumsum(sizes)])], memoryview(taken.buffers()[2] or b"")
-    texts = (bytes(view[a:b]).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True))
-    return pa.array([t if there else None for t, there in zip(texts, ids.is_valid().to_pylist(), strict=True)], pa.string())
-
-
 def decode(coded: DataFrame, path: str) -> DataFrame:
-    """coded with a column decoded: the pieces of ids joined in order, as UTF-8 (invalid bytes: U+FFFD). Null ids give null."""
-    shared = coded.sparkSession.sparkContext.broadcast(load_vocabulary(path)["pieces"])
-
-    def run(batches):
-        pieces = pa.array(shared.value, pa.binary())
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, joined_pieces(part.column("ids"), pieces)], names=[*part.schema.names, "decoded"])
-
-    return coded.drop("decoded").mapInArrow(run, coded.drop("decoded").schema.add("decoded", "string"))
+    """coded with a column decoded: the pieces of ids joined in order, as UTF-8 (invalid bytes: U+FFFD). Null ids give null.
+
+    The pieces, in hexadecimal digits by id, are a constant of the plan, as the vocabulary's size is fixed:
+    each id of a list is looked up where the list is.
+    """
+    pieces = F.split(F.lit(" ".join(p.hex() for p in load_vocabulary(path)["pieces"])), " ")
+    found = F.transform("ids", lambda i: F.get(pieces, i))
+    return coded.withColumn("decoded", F.make_valid_utf8(F.unhex(F.array_join(found, "")).cast("string")))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import slices, text_bytes
+from .arrays import slices, text_bytes, tidy
 from .storage import packed, stored
 
 BUCKET_BITS = 16
@@ -86,7 +86,7 @@ def train(rows: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(mine[some])], names=["lang", "bucket", "n"])
 
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
-    summed = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = labelled.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     summed = stored(summed, "trigrams") if len(languages) > LANGUAGES_TOGETHER else summed
     tables = []
     for k in range(0, len(languages), LANGUAGES_TOGETHER):
@@ -131,7 +131,7 @@ def _log_likelihood(spark: SparkSession, table: np.ndarray) -> Callable:
 
     @F.arrow_udf("array<double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from map(sums_of, batches)
+        yield from tidy(lambda every: map(sums_of, every))(batches)
 
     return score
 
@@ -244,7 +244,6 @@ def identify_documents(docs: DataFrame, min_confidence: float = 0.5) -> DataFram
     languages = model["languages"]
     nothing = F.lit(None).cast("string")
     rows = docs.select(packed(docs), F.col("text").alias("lid_text"), F.col("lang").alias("lid_declared"), F.col("source").alias("lid_host"), nothing.alias("lid_domain"), nothing.alias("lid_suffix"))
-    rows = scored(rows, model)
-    small = stored(rows.select("lid_declared", "lid_suffix", "lid_domain", "lid_host", "lid_scores"), "scored")
-    out = fuse(rows.where(F.regexp_like("doc.text", F.lit(r"\p{L}"))), evidence(small, languages) if languages else {}, languages)
+    rows = stored(scored(rows, model), "scored")
+    out = fuse(rows.where(F.regexp_like("doc.text", F.lit(r"\p{L}"))), evidence(rows, languages) if languages else {}, languages)
     return out.where(F.col("lid_confidence") >= min_confidence).select(*(F.col("lid_lang" if c == "lang" else f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ASCII_LOWER, slices, text_bytes
+from .arrays import slices, text_bytes, tidy
 from .storage import stored
 
 SIZES = (3, 4, 5, 6)
@@ -122,7 +122,7 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES) -
     total = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
     if len(total) < 2:
         return {"index": None, "weights": None, "intercept": None, "share": float(1 in total) if total else 0.5}
-    counts = picked.select("text", "label").mapInArrow(_counted, "label int, bucket int, n long")
+    counts = picked.select("text", "label").mapInArrow(tidy(_counted), "label int, bucket int, n long")
     sides = counts.groupBy("bucket").agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
     ratio = F.log((F.col("n1") + 1) / (total[1] + 2)) - F.log((F.col("n0") + 1) / (total[0] + 2))
     error = F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1))
@@ -141,7 +141,7 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES) -
                 there = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), there], names=["doc_id", "label", "there"])
 
-    data = picked.mapInArrow(bits, "doc_id long, label int, there array<int>").collect()
+    data = picked.mapInArrow(tidy(bits), "doc_id long, label int, there array<int>").collect()
     data.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["there"]))
     x = np.zeros((len(data), k), dtype=np.float32)
     for i, r in enumerate(data):
@@ -164,4 +164,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 z = np.bincount(row, m["weights"][feature], part.num_rows) + m["intercept"]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import tidy
+
 RECORD = "record_id string, type string, target_uri string, date string, content_type string, headers map<string,string>, block binary"
 FIELDS = ["record_id", "type", "target_uri", "date", "content_type", "headers", "block"]
 READ_BYTES = 1 << 20
@@ -137,7 +139,7 @@ def responses(pages: DataFrame, captured: str = CAPTURED) -> DataFrame:
 
         yield from _batches(rows(), ("page_id",))
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id long, {RECORD}")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(run), f"page_id long, {RECORD}")
 
 
 def build_derivatives(records: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def build_derivatives(records: DataFrame) -> DataFrame:
         yield from _batches(rows(), extra)
 
     schema = ", ".join([*(f"`{c}` long" for c in extra), RECORD])
-    return records.where(F.col("type") == "response").select(*extra, *FIELDS).mapInArrow(run, schema)
+    return records.where(F.col("type") == "response").select(*extra, *FIELDS).mapInArrow(tidy(run), schema)
 
 
 def as_bytes(record: dict) -> bytes:
@@ -203,7 +205,7 @@ def read_warc(files: DataFrame) -> DataFrame:
     def run(batches):
         yield from _batches(r for b in batches for i in range(b.num_rows) for r in parse(b.column("content")[i].as_buffer()))
 
-    return files.select("content").mapInArrow(run, RECORD)
+    return files.select("content").mapInArrow(tidy(run), RECORD)
 
 
 def serialized(records: DataFrame) -> DataFrame:

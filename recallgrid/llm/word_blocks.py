@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import tidy
 from .storage import arrow_rows, new_path, new_table
 
 BLOCK_BYTES = 24 << 20
@@ -100,7 +101,7 @@ def block_table(words: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = new_table("blocks")
     # the text bytes are about half of what Arrow holds for short words
-    rows = words.select("doc_id", "words").mapInArrow(_cut(2 * block_bytes), BLOCK_SCHEMA)
+    rows = words.select("doc_id", "words").mapInArrow(tidy(_cut(2 * block_bytes)), BLOCK_SCHEMA)
     with arrow_rows(spark, ROWS_A_BATCH):
         rows.write.option("compression", "zstd").option("path", new_path(spark, "blocks")).bucketBy(buckets, "block").format("parquet").saveAsTable(name)
     return spark.table(name)
@@ -174,9 +175,9 @@ def by_distinct_word(blocks: DataFrame, work: Callable[[list[str]], list[list[in
 
     tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = word_ranges(blocks, tasks * RANGES_A_TASK)
-    lists = blocks.where(F.col("kind") == WORDS).select("block", "first", "words").mapInArrow(_at_edges(edges), "block long, range int, first int, words array<string>")
+    lists = blocks.where(F.col("kind") == WORDS).select("block", "first", "words").mapInArrow(tidy(_at_edges(edges)), "block long, range int, first int, words array<string>")
     sent = lists.repartition("range").select("block", "range", "first", F.posexplode("words").alias("pos", "word"))
-    return sent.select("block", "range", (F.col("first") + F.col("pos")).alias("rank"), "word").sortWithinPartitions("word").mapInArrow(run, "block long, range int, ranks binary, sizes binary, values binary")
+    return sent.select("block", "range", (F.col("first") + F.col("pos")).alias("rank"), "word").sortWithinPartitions("word").mapInArrow(tidy(run), "block long, range int, ranks binary, sizes binary, values binary")
 
 
 def put_back(blocks: DataFrame, found: DataFrame, finish: Callable, schema: str) -> DataFrame:
