@@ -55,13 +55,22 @@ def test_groups(spark, options):
 
 
 def test_deduplicate(spark):
-    docs = documents(spark, ROWS + [(None, "lone"), (None, "lone"), (50, "half"), (50, "other half")], extra=True)
+    docs = documents(spark, ROWS + [(None, "lone"), (None, "lone"), (50, "half"), (50, "other half"), (60, "same"), (60, "kept beside it")], extra=True)
     out = exact_dedup.deduplicate(docs)
     assert out.columns == docs.columns
     kept = sorted((lowered(r["text"]), r["doc_id"]) for r in out.where("doc_id is not null").collect())
     want = {}
-    for i, t, *_ in ROWS + [(50, "half"), (50, "other half")]:
+    for i, t, *_ in ROWS + [(50, "half"), (50, "other half"), (60, "same"), (60, "kept beside it")]:
         want[lowered(t)] = max(want.get(lowered(t), -1), i or -1)
     assert kept == sorted(want.items())
     assert out.where("doc_id is null").count() == 1
     assert exact_dedup.deduplicate(docs.where("false")).count() == 0
+
+
+def test_hot_group_is_dealt_out(spark, monkeypatch):
+    """Copies beyond what one task compares, among them a text that only the comparison tells apart."""
+    monkeypatch.setattr(exact_dedup, "COPIES_PER_TASK", 10)
+    rows = [(k, "hot text") for k in range(300)] + [(300 + k, "hot texs") for k in range(5)]
+    out = exact_dedup.exact_duplicates(documents(spark, rows).repartition(4), moduli=(1, 1)).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in out} == {(k, 299, 300) for k in range(300)} | {(300 + k, 304, 5) for k in range(5)}
+    assert sum(r["kept"] for r in out) == 2

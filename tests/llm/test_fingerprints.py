@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from helpers import AWKWARD, documents, shingles
@@ -28,13 +29,15 @@ def test_query(spark, sf_dir):
     texts, want = dict(docs), edited(docs)
     out = queries.op4_fingerprints(spark, sf_dir).collect()
     assert len(out) == len(docs)
-    apart = []
-    by_text = {}
+    apart, by_text = [], {}
+    order = sorted(texts)
+    following = {i: texts[order[(k + 1) % len(order)]] for k, i in enumerate(order)}
     for r in out:
         t = texts[r["doc_id"]] or ""
         assert r["n_chars"] == len(t)
         assert r["edited_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest()
         assert by_text.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        assert abs(r["near_next"] - true_likeness(t, following[r["doc_id"]])) < 0.2 or len(shingles(t)) < 60
         apart.append(abs(r["near_edited"] - true_likeness(t, want[r["doc_id"]])))
     assert sum(apart) / len(apart) < 0.07
 
@@ -48,10 +51,26 @@ def test_all_hashes_kept_is_exact(spark):
     assert out[1]["own_sketch"] == out[3]["own_sketch"]
 
 
-def test_sketches_merge(spark):
-    both = spark.range(1).select(fingerprints.sketch(F.lit("a b c d e f"), 0.9).alias("x"), fingerprints.sketch(F.lit("p q r s t u"), 0.9).alias("y"))
-    r = both.select(fingerprints.merged(F.col("x"), F.col("y")).alias("m"), "x", "y").first()
-    assert r["m"] == sorted({*r["x"], *r["y"]})
+@pytest.mark.parametrize("fraction", [0.02, 0.25, 0.9])
+def test_merged_parts_are_the_whole(spark, fraction):
+    """Parts cut between their shingles: merging their sketches gives the sketch of all shingles, in any order."""
+    rng = random.Random(7)
+    lists = [[" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 4))] for _ in range(60)]
+    make = lambda c: fingerprints.sketch(c, fraction, width=99)  # noqa: E731  each text is one shingle
+    all_ = F.aggregate(F.transform("parts", make), F.array().cast("array<bigint>"), lambda a, x: fingerprints.merged(a, x, fraction))
+    back = F.aggregate(F.transform(F.reverse("parts"), make), F.array().cast("array<bigint>"), lambda a, x: fingerprints.merged(x, a, fraction))
+    limit = -(1 << 63) + int(fraction * (1 << 64)) - 1
+    every = F.transform("parts", lambda t: F.get(fingerprints.sketch(t, 1.0, width=99), 0))
+    for r in spark.createDataFrame([(x,) for x in lists], "parts array<string>").select(all_.alias("a"), back.alias("b"), every.alias("e")).collect():
+        low = sorted({h for h in r["e"] if h <= limit}) or [min(r["e"])]
+        assert r["a"] == r["b"] == low
+
+
+def test_containment_of_a_lone_hash_is_unknown(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    c = lambda a, b: fingerprints.containment(F.array(*map(F.lit, a)).cast("array<bigint>"), F.array(*map(F.lit, b)).cast("array<bigint>"))
+    r = spark.range(1).select(c([high], [low]), c([high], [high]), c([low], [high]), c([], [low]), c([low], [low, low + 1])).first()
+    assert tuple(r) == (None, 1.0, 0.0, 1.0, 1.0)
 
 
 def test_awkward_rows(spark):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from pathlib import Path
 
-from helpers import components, lowered, word_list
+from helpers import AWKWARD, components, documents, lowered, word_list
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -48,6 +49,42 @@ def test_stages(spark, sf_dir):
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in out.collect()) == sorted((r["doc_id"], ids(r["text"])) for r in mixed.collect())
 
 
+def test_awkward_rows_in_every_stage(spark, sf_dir):
+    """Nulls in any column, empty and long texts, ties and repeated rows, clashing columns: through the chain, and each stage on the raw rows."""
+    words = "the river ran past the old mill and on to the sea where boats lay "
+    rows = AWKWARD + [(None, words * 3, None, None), (None, words * 3, None, None), (20, words * 2 + "once", "en", None), (20, words * 2 + "once", "en", None), (21, words.upper() * 2 + "ONCE", None, "s"), (22, words * 9 + "twice", "xx", ""), (23, words * 9 + "thrice", "en", "s"), (24, words * 3000, "en", "s")]
+    raw = documents(spark, rows, extra=True)
+    docs = raw
+    for name, stage in corpus_pipeline.STAGES:
+        own, empty = stage(spark, raw, sf_dir), stage(spark, raw.where("false"), sf_dir)
+        docs = stored(stage(spark, docs, sf_dir), "test")
+        assert empty.count() == 0
+        if name == "BPE":
+            assert own.count() == len(rows)
+        else:
+            assert docs.columns == own.columns == empty.columns == raw.columns
+            assert docs.count() > 0
+            assert {r["lid_text"] for r in docs.select("lid_text").distinct().collect()} == {"own lid_text"}
+        if name == "language ID":
+            assert not {r["doc_id"] for r in docs.collect()} & {1, 2, 3, 13}
+            assert {20, 21, 22, 23, 24, None} <= {r["doc_id"] for r in docs.collect()}
+        if name == "exact dedup":
+            kept = [lowered(r["text"]) for r in docs.collect()]
+            assert len(kept) == len(set(kept))
+        if name == "MinHash near-dedup":
+            ids = [r["doc_id"] for r in docs.collect()]
+            assert sorted(i for i in ids if i is not None) == sorted(set(components([r for r in before if r[0] is not None], 80).values()))
+            assert len({21, 22, 23, 24} & set(ids)) == 1
+        before = [(r["doc_id"], r["text"]) for r in docs.collect()] if name != "BPE" else []
+
+
+def test_working_tables_are_removed(spark, sf_dir):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert corpus_pipeline.run(spark, sf_dir).count() > 100
+    assert [p.name.split("-")[1] for p in set(folder.iterdir()) - before] == ["pipeline"]
+
+
 def test_run(spark, sf_dir):
     first, again = (sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) for _ in range(2))
     assert first == again
