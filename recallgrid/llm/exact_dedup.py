@@ -3,7 +3,8 @@
 A text is cut into chunks; a chunk's fingerprint is a polynomial in its bytes modulo a prime, and two
 neighbours combine as h(left) * base ** len(right) + h(right), so chunks hash in any order and place.
 Texts with equal fingerprints and lengths are then compared chunk by chunk with the row that would
-stay; fingerprints for which any chunk differs are split by the digest of the text.
+stay: a group's texts stream past it, in tasks of about COPIES_PER_TASK. Fingerprints for which any
+chunk differs are split by the digest of the text.
 
 Defined results: null text counts as empty; a null doc_id is smaller than any other; of rows with equal
 text and equal doc_id one stays; an empty table gives an empty result; other columns are not read.
@@ -17,17 +18,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ASCII_LOWER, slices, text_bytes
+from .arrays import ASCII_LOWER, slices, text_bytes, tidy
 from .storage import packed, stored
 
 MODULI = (2147483647, 2147483629)
 BASES = (1000003, 1566083941)
 CHUNK_BYTES = 1 << 16
 PARALLEL_BYTES = 32 << 20
-COPIES_PER_TASK = 1000
+COPIES_PER_TASK = 128
 KEY = ["fp0", "fp1", "n_bytes"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,14 +95,14 @@ def fingerprints(docs: DataFrame, moduli: tuple[int, int] = MODULI, parallel_byt
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.octet_length("text")
     schema = "doc_id long, fp0 long, fp1 long, n_bytes long, text_sha256 string"
-    small = rows.where(size <= parallel_bytes).mapInArrow(_whole(moduli), schema)
+    small = rows.where(size <= parallel_bytes).mapInArrow(tidy(_whole(moduli)), schema)
     step = max(1, parallel_bytes // 4)
     parts = (
         rows.where(size > parallel_bytes)
         .select("doc_id", "text", F.xxhash64("text").alias("text_hash"), size.cast("long").alias("n_bytes"), F.sha2(F.translate("text", UPPER, LOWER), 256).alias("text_sha256"))
         .select("doc_id", "text_hash", "n_bytes", "text_sha256", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("text") - 1, F.lit(step)), lambda i: F.substring(F.col("text"), i + 1, F.lit(step)))).alias("part", "text"))
         .repartition("doc_id", "text_hash", "part")
-        .mapInArrow(_parts(moduli), "doc_id long, text_hash long, n_bytes long, text_sha256 string, part int, h0 long, p0 long, h1 long, p1 long")
+        .mapInArrow(tidy(_parts(moduli)), "doc_id long, text_hash long, n_bytes long, text_sha256 string, part int, h0 long, p0 long, h1 long, p1 long")
     )
     order = F.array_sort(F.collect_set(F.struct("part", "h0", "p0", "h1", "p1")))
 
@@ -118,82 +119,81 @@ def fingerprints(docs: DataFrame, moduli: tuple[int, int] = MODULI, parallel_byt
     return small.unionByName(large)
 
 
-def _chunks(moduli: tuple[int, int]):
-    def run(batches):
-        table: dict = {}
-        for part, texts in _normalised(batches):
-            ids = part.column("doc_id").to_pylist()
-            for i, x in zip(ids, texts, strict=True):
-                fps = [fingerprint(x, b, m, table) for b, m in zip(BASES, moduli, strict=True)]
-                n = max(1, -(-len(x) // CHUNK_BYTES))
-                for k in range(0, n, 64):
-                    some = range(k, min(n, k + 64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([v] * len(some), pa.int64()) for v in (i, *fps, len(x))] + [pa.array(some, pa.int64()), pa.array([x[c * CHUNK_BYTES : (c + 1) * CHUNK_BYTES].tobytes() for c in some], pa.binary())],
-                        names=["doc_id", *KEY, "chunk", "data"],
-                    )
+def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints with unequal texts among rows(fp0, fp1, n_bytes, piece, kind, text) in order; kind 0 is the text that stays."""
+    at_work, own = None, None
+    for part, texts in _normalised(batches):
+        group = list(zip(*(part.column(c).to_pylist() for c in (*KEY, "piece")), strict=True))
+        kind, found = part.column("kind").to_pylist(), set()
+        for i, x in enumerate(texts):
+            if kind[i] == 0:
+                at_work, own = group[i], x.copy()
+            elif group[i] != at_work or not _equal(own, x):
+                found.add(group[i][:3])
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=KEY)
 
-    return run
 
+def _equal(a: np.ndarray, b: np.ndarray) -> bool:
+    return len(a) == len(b) and all(np.array_equal(a[i : i + CHUNK_BYTES], b[i : i + CHUNK_BYTES]) for i in range(0, len(a), CHUNK_BYTES))
 
-def _batched(run, rows: int = 500):
-    """Small batches of one function as larger ones."""
 
-    def go(batches):
-        held, size = [], 0
-        for b in run(batches):
-            held.append(b)
-            size += b.nbytes
-            if len(held) >= rows or size > 8 << 20:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(..., salt) with n and stays (the largest doc_id and row_id) of their group by keys, both null for a row alone.
 
-    return go
+    A group's rows are counted by (group, salt), then by group, and what is found is sent back by (group,
+    salt): no task gets more of a group than a salt has.
+    """
+    here = [*keys, "salt"]
+    parts = rows.groupBy(*here).agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row_id")).alias("stays"))
+    total = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("stays").alias("stays")).where("n > 1")
+    return rows.join(stored(parts.select(*here).join(total, keys), "groups"), here, "left")
 
 
-def exact_duplicates(docs: DataFrame, moduli: tuple[int, int] = MODULI, parallel_bytes: int = PARALLEL_BYTES) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_same_id.
+def normal_digest() -> Column:
+    """Digest of text as it is compared: null as empty, A-Z lower-cased."""
+    return F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), 256)
 
-    Of equal texts the largest doc_id stays. n_same_id: rows of the group that share the kept doc_id.
-    A group's copies are compared in tasks of about COPIES_PER_TASK, each with its own copy of the row that stays.
-    """
-    base = stored(fingerprints(docs, moduli, parallel_bytes).withColumn("row_id", F.monotonically_increasing_id()), "fingerprints")
-    groups = base.groupBy(KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("rep")).where("n > 1")
-    wanted = base.join(groups.select(*KEY), KEY, "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    chunks = stored(texts.mapInArrow(_batched(_chunks(moduli)), "doc_id long, fp0 long, fp1 long, n_bytes long, chunk long, data binary"), "chunks")
-    salts = F.ceil(F.col("n") / COPIES_PER_TASK)
-    there = chunks.join(groups, KEY)
-    members = there.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts))
-    stays = there.where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates([*KEY, "chunk"]).select(*KEY, "chunk", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("data").alias("stays"))
-    collided = members.join(stays, [*KEY, "chunk", "salt"], "left").where("not data <=> stays").select(*KEY).distinct().withColumn("split", F.lit(True))
-    collided = stored(collided, "collided")
-    rows = base.join(collided, KEY, "left").withColumn("split", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit("")))
-    full = [*KEY, "split"]
-    best = rows.groupBy(full).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("stays"), F.max("doc_id").alias("top")).where("group_size > 1")
-    same = rows.groupBy(*full, "doc_id").agg(F.count("*").alias("same")).where("same > 1")
-    return (
-        rows.join(best, full, "left")
-        .join(same.withColumnRenamed("doc_id", "same_id"), [*(rows[c] == same[c] for c in full), rows["doc_id"].eqNullSafe(F.col("same_id"))], "left")
-        .select(
-            rows["doc_id"],
-            F.when(F.col("stays").isNull(), rows["doc_id"]).otherwise(F.col("stays.doc_id")).alias("keep_id"),
-            F.coalesce("group_size", F.lit(1)).alias("group_size"),
-            F.coalesce(rows["row_id"] == F.col("stays.row_id"), F.lit(True)).alias("kept"),
-            rows["text_sha256"],
-            F.coalesce("same", F.lit(1)).alias("n_same_id"),
-        )
-    )
+
+def collisions(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """fp0, fp1, n_bytes of groups whose texts aren't all equal."""
+    pieces = F.ceil(F.col("n") / COPIES_PER_TASK)
+    same = grouped.where("n > 1")
+    others = same.where("row_id <> stays.row_id").select("doc_id", "text_sha256", *KEY, F.pmod(F.xxhash64("doc_id", "text_sha256"), pieces).alias("piece"), F.lit(1).alias("kind")).dropDuplicates(["doc_id", "text_sha256", *KEY])
+    stays = same.where("row_id = stays.row_id").select("doc_id", "text_sha256", *KEY, F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"), F.lit(0).alias("kind"))
+    wanted = others.unionByName(stays).withColumnsRenamed({"doc_id": "w_id", "text_sha256": "w_sha"}).hint("shuffle_hash")  # a hundred bytes a text are built
+    texts = docs.select("doc_id", "text", normal_digest().alias("sha"))
+    rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha"))).select(*KEY, "piece", "kind", "text")
+    dealt = rows.repartition(*KEY, "piece").sortWithinPartitions(*KEY, "piece", "kind")
+    return stored(dealt.mapInArrow(tidy(_differing), "fp0 long, fp1 long, n_bytes long").distinct(), "collided")
+
+
+def exact_duplicates(docs: DataFrame, moduli: tuple[int, int] = MODULI, parallel_bytes: int = PARALLEL_BYTES) -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays."""
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = fingerprints(docs, moduli, parallel_bytes).withColumn("row_id", F.monotonically_increasing_id())
+    base = stored(base, "fingerprints").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
+    rows = _grouped(base, KEY)
+    collided = collisions(docs, rows)
+    if not collided.isEmpty():
+        split = base.join(collided.withColumn("split", F.lit(True)), KEY, "left").withColumn("split", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit("")))
+        rows = _grouped(split, [*KEY, "split"])
+    alone = F.col("stays").isNull()
+    return rows.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("row_id") == F.col("stays.row_id"), F.lit(True)).alias("kept"), "text_sha256",
+    )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows alike in doc_id and text one stays."""
-    found = exact_duplicates(docs).where("kept")
-    plain = found.where("n_same_id = 1 and doc_id is not null").select("doc_id")
-    odd = found.where("n_same_id > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"), F.col("text_sha256").alias("odd_sha")).distinct()
-    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), 256)
-    rows = docs.select("doc_id", digest.alias("sha"), packed(docs))
-    once = rows.join(odd, rows["doc_id"].eqNullSafe(F.col("odd_id")) & (F.col("sha") == F.col("odd_sha")), "left_semi").dropDuplicates(["doc_id", "sha"])
-    return rows.join(plain, "doc_id", "left_semi").select("doc.*").unionByName(once.select("doc.*"))
+    found = stored(exact_duplicates(docs), "found")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    often = stored(found.where(stays & (F.col("group_size") > 1)).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("o_id"), F.col("text_sha256").alias("o_sha")), "often")
+    kept = found.where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")).hint("shuffle_hash")  # a hundred bytes a text are built
+    rows = docs.select("doc_id", normal_digest().alias("sha"), packed(docs))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
+    if often.isEmpty():
+        return rows.select("doc.*")
+    again = rows["doc_id"].eqNullSafe(F.col("o_id")) & (F.col("sha") == F.col("o_sha"))
+    one = rows.join(often, again, "left_semi").dropDuplicates(["doc_id", "sha"])
+    return rows.join(often, again, "left_anti").select("doc.*").unionByName(one.select("doc.*"))
