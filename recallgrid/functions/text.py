@@ -29,6 +29,7 @@ BUILDER_PROCESS = (
     r"off-by-one|compile error|syntax error|type error|boilerplate code|button color|border-radius|z-index|pixel[- ]perfect|css class|styling pass|"
     r"layout tweak|spacing tweak|ui polish)\b"
 )
+# How times and dates are written.
 RELATIVE_TIME = (
     r"\b(tomorrow|yesterday|tonight|(?:next|last|this)\s+(?:week|month|year|monday|tuesday|wednesday|thursday|friday|saturday|sunday)|"
     r"in\s+\d+\s+(?:day|week|month|year)s?|\d+\s+(?:day|week|month|year)s?\s+(?:ago|away|from\s+now|later))\b"
@@ -88,7 +89,8 @@ def _month(name: Column) -> Column:
 
 def explicit_dates(text: Column) -> Column:
     """Distinct (month, day, year or null) of dates written in text; impossible dates are left out."""
-    triple = lambda pattern: F.arrays_zip(*(_matches(text, pattern, k).alias(f"g{k}") for k in (1, 2, 3)))
+    # the text is searched once a pattern; parts are taken from the short matches
+    triple = lambda pattern: F.transform(_matches(text, pattern), lambda m: F.struct(*(F.regexp_extract(m, pattern, k).alias(f"g{k}") for k in (1, 2, 3))))
     none_if_empty = lambda x: F.when(x != "", x)
     iso = F.transform(triple(ISO_DATE), lambda g: _date(g["g2"], g["g3"], g["g1"]))
     mdy = F.transform(triple(MONTH_DAY), lambda g: _date(_month(g["g1"]), g["g2"], none_if_empty(g["g3"])))
@@ -128,10 +130,11 @@ def is_builder_process(fact: Column) -> Column:
 
 def check_flags(fact: Column, source: Column, allowed: list[str]) -> Column:
     """Reasons to hold a fact for review, in order: grounding, temporal, source-trust."""
-    missing, when = ungrounded_entities(fact, source, allowed), ungrounded_temporal(fact, source)
+    # an array of one is transformed, so that what it holds is computed once
+    said = lambda found, before, after: F.get(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, F.concat(F.lit(before), F.array_join(x, ", "), F.lit(after)))), 0)
     flags = F.array(
-        F.when(F.size(missing) > 0, F.concat(F.lit("grounding: "), F.array_join(missing, ", "), F.lit(" not in source chat"))),
-        F.when(F.size(when) > 0, F.concat(F.lit("temporal: "), F.array_join(when, ", "), F.lit(" not stated in source chat"))),
+        said(ungrounded_entities(fact, source, allowed), "grounding: ", " not in source chat"),
+        said(ungrounded_temporal(fact, source), "temporal: ", " not stated in source chat"),
         F.when(~source_trusted(source), F.lit("source-trust: chat contains roleplay/persona/dossier framing")),
     )
     return F.filter(flags, lambda x: x.isNotNull())

@@ -26,10 +26,17 @@ def ingest_report(batch: DataFrame, table: DataFrame, keys: list[str], order: st
     return batch.agg(F.count("*").alias("total")).crossJoin(new).select("ingested", (F.col("total") - F.col("ingested")).alias("skipped"))  # one row each
 
 
-def upsert_conversations(old: DataFrame, batch: DataFrame, now: float) -> DataFrame:
-    """Conversations by (source_app, external_id); a title that isn't empty replaces the old one."""
-    b = batch.groupBy("source_app", "external_id").agg(F.max("title").alias("new_title"))
-    joined = old.join(b, ["source_app", "external_id"], "full_outer")
+def upsert_conversations(old: DataFrame, batch: DataFrame, now: float, order: str) -> DataFrame:
+    """Conversations by (source_app, external_id); the batch's last title that isn't empty replaces the old one.
+
+    New ones get ids after the largest, in the order in which the batch names them first; only their keys
+    are put in one order.
+    """
+    key = ["source_app", "external_id"]
+    b = batch.groupBy(*key).agg(F.max_by("title", F.when(F.col("title") != "", F.col(order))).alias("new_title"), F.min(order).alias("first"))
+    last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = b.join(old.select(*key), key, "left_anti").select(*key, (F.row_number().over(Window.orderBy("first", *key)) + last).cast("long").alias("new_id"))
+    joined = old.join(b, key, "full_outer").join(new, key, "left").withColumn("id", F.coalesce("id", "new_id"))
     title = F.coalesce(F.when(F.col("new_title") != "", F.col("new_title")), F.col("title"), F.lit(""))
     return joined.select("id", "source_app", "external_id", title.alias("title"), F.coalesce("mined_upto", F.lit(0)).cast("long").alias("mined_upto"), F.coalesce("created_at", F.lit(float(now))).alias("created_at"))
 
@@ -89,6 +96,11 @@ def attachment_ids_by_message(attachments: DataFrame) -> DataFrame:
     return attachments.groupBy("conversation_id", F.col("message_external_id").alias("external_id")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
+def files_by_message(attachments: DataFrame) -> DataFrame:
+    """conversation_id, external_id, files array<struct<id, filename, size>> of all files in order, without their texts."""
+    return attachments.groupBy("conversation_id", F.col("message_external_id").alias("external_id")).agg(F.sort_array(F.collect_list(F.struct("id", "filename", "size"))).alias("files"))
+
+
 def attachments_by_message(attachments: DataFrame, captions: DataFrame) -> DataFrame:
     """conversation_id, external_id, files array<struct<id, filename, body>> by id: what a message's body can show of its files.
 

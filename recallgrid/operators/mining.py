@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +26,25 @@ def windows(messages: DataFrame, most: int = WINDOW_MESSAGES, chars: int = WINDO
     """messages(conversation_id, id, view_len, ...) with window_no and msg_no (both from 1).
 
     A window takes messages in id order while it has at most `most` and `chars` characters; it always has
-    one. Where a window ends depends on where it began, so a conversation's sizes are folded in order;
-    the texts stay where they are.
+    one. Where a window ends depends on where it began, so a conversation's ids and sizes pass through one
+    task in order, in a stream that holds a batch; the texts stay where they are.
     """
-    sizes = messages.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("id", "view_len"))).alias("s"))
-    begin = F.expr("cast(named_struct('w', 1, 'n', 0, 'c', 0, 'out', array()) as struct<w:int,n:int,c:bigint,out:array<struct<id:bigint,w:int,m:int>>>)")
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] > 0) & ((s["n"] >= most) | (s["c"] + x["view_len"] > chars))
-        w, m = F.when(full, s["w"] + 1).otherwise(s["w"]), F.when(full, F.lit(1)).otherwise(s["n"] + 1)
-        c = F.when(full, x["view_len"].cast("long")).otherwise(s["c"] + x["view_len"])
-        return F.struct(w.alias("w"), m.alias("n"), c.alias("c"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), w.alias("w"), m.alias("m")))).alias("out"))
-
-    placed = sizes.select("conversation_id", F.explode(F.aggregate("s", begin, step, lambda s: s["out"])).alias("x"))
-    placed = placed.select("conversation_id", F.col("x.id").alias("id"), F.col("x.w").alias("window_no"), F.col("x.m").alias("msg_no"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, window, n, held = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for conversation, size in zip(batch.column("conversation_id").to_pylist(), batch.column("view_len").to_pylist(), strict=True):
+                if conversation != at or not window:
+                    at, window, n, held = conversation, 1, 0, 0
+                elif n >= most or held + size > chars:
+                    window, n, held = window + 1, 0, 0
+                n, held = n + 1, held + size
+                out.append((window, n))
+            yield pa.RecordBatch.from_arrays([batch.column("conversation_id"), batch.column("id"), *(pa.array([o[k] for o in out], pa.int32()) for k in (0, 1))], names=["conversation_id", "id", "window_no", "msg_no"])
+
+    sizes = messages.select("conversation_id", "id", "view_len").repartition("conversation_id").sortWithinPartitions("conversation_id", "id")
+    placed = sizes.mapInArrow(run, "conversation_id long, id long, window_no int, msg_no int")
     return messages.join(placed, ["conversation_id", "id"])
 
 

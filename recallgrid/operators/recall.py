@@ -73,21 +73,32 @@ def states(rows: DataFrame, limit: int | None, *first: Column) -> DataFrame:
     return out.select(F.posexplode(collapse_fold(F.col("ranked"), limit)).alias("pos", "x")).select("pos", "x.*")
 
 
-def recall(facts: DataFrame, query: str, query_vector: list[float] | None, now: float, limit: int = 10, include_superseded: bool = False) -> DataFrame:
-    """The first `limit` survivors by score with the recall fields, score rounded to 4; without a query the newest ids."""
+def readable(facts: DataFrame, include_superseded: bool) -> DataFrame:
+    """What recall may show: nothing quarantined, and superseded facts only on demand."""
     there = facts.where(F.col("quarantined_at").isNull())
-    if not query.strip():
-        return there.orderBy(F.col("id").desc()).limit(limit)
-    there = there if include_superseded else there.where(F.col("invalidated_at").isNull())
-    found = scored(there, query, query_vector, now).where("cand").select("id", "score", "content_hash", "embedding")
+    return there if include_superseded else there.where(F.col("invalidated_at").isNull())
+
+
+def collapsed_prefix(found: DataFrame, limit: int) -> DataFrame:
+    """pos, id, score, state of the best rows of found, as many as give `limit` survivors (or all).
+
+    A prefix is scored once, written, and folded once; what is joined later is that small table.
+    """
     prefix = limit * PREFIX
     while True:
-        top = found.orderBy(F.col("score").desc(), "id").limit(prefix)
-        kept = states(top, limit).where("state = 'kept'")
-        n, seen = ranked_array(top, -F.col("score")).select(F.size(F.filter(collapse_fold(F.col("ranked"), limit), lambda x: x["state"] == "kept")), F.size("ranked")).first()
+        got = stored(states(found.orderBy(F.col("score").desc(), "id").limit(prefix), limit), "fold")
+        n, seen = got.agg(F.count_if(F.col("state") == "kept"), F.count("*")).first()
         if n >= limit or seen < prefix:
-            break
+            return got
         prefix *= 4
+
+
+def recall(facts: DataFrame, query: str, query_vector: list[float] | None, now: float, limit: int = 10, include_superseded: bool = False) -> DataFrame:
+    """The first `limit` survivors by score with the recall fields, score rounded to 4; without a query the newest ids."""
+    if not query.strip():
+        return readable(facts, True).orderBy(F.col("id").desc()).limit(limit)
+    found = scored(readable(facts, include_superseded), query, query_vector, now).where("cand").select("id", "score", "content_hash", "embedding")
+    kept = collapsed_prefix(found, limit).where("state = 'kept'")
     return kept.select("pos", "id", F.round("score", 4).alias("score")).join(facts.drop("score"), "id").orderBy("pos")
 
 
@@ -97,15 +108,7 @@ def trace(facts: DataFrame, query: str, query_vector: list[float] | None, now: f
     Candidates ranked after the last kept one are over; the fold runs on a prefix as in recall.
     """
     nodes = scored(facts.where(schema.valid()), query, query_vector, now)
-    found = nodes.where("cand").select("id", "score", "content_hash", "embedding")
-    prefix = limit * PREFIX
-    while True:
-        top = found.orderBy(F.col("score").desc(), "id").limit(prefix)
-        got = states(top, limit)
-        n, seen = got.agg(F.count_if(F.col("state") == "kept"), F.count("*")).first()
-        if n >= limit or seen < prefix:
-            break
-        prefix *= 4
+    got = collapsed_prefix(nodes.where("cand").select("id", "score", "content_hash", "embedding"), limit)
     rounded = nodes.select("id", "cand", F.coalesce(scoring.truthy(F.col("importance")), F.lit(scoring.DEFAULT_IMPORTANCE)).alias("imp"), F.round("sem", 4).alias("sem"), F.least("kw", F.lit(3)).alias("kw"), F.round("rec", 3).alias("rec"), F.round("score", 4).alias("score"))
     return rounded.join(got.select("id", "state"), "id", "left").withColumn("state", F.coalesce("state", F.when(F.col("cand"), "over").otherwise("dim"))).drop("cand")
 
@@ -115,15 +118,20 @@ def duplicate_edges(facts: DataFrame, query: str, query_vector: list[float] | No
 
     Candidates that recency cannot lift to the first `limit` are left out, and at most `most` are compared.
     """
+    kept = pruned(facts, query, query_vector, now, limit, most)
+    other = kept.select(F.col("pos").alias("pos_b"), F.col("id").alias("b"), F.col("unit").alias("unit_b"))
+    return kept.join(other, (F.col("pos") < F.col("pos_b")) & (vector.dot(F.col("unit"), F.col("unit_b")) > scoring.PARAPHRASE_CUTOFF)).select(F.col("id").alias("a"), "b")
+
+
+def pruned(facts: DataFrame, query: str, query_vector: list[float] | None, now: float, limit: int, most: int = 200) -> DataFrame:
+    """pos, id, unit of the first `most` valid candidates by the timeless part of the score that recency can still lift to the first `limit`."""
     nodes = scored(facts.where(schema.valid()), query, query_vector, now).where("cand")
     nodes = nodes.select("id", "embedding", (F.col("sem") + scoring.KEYWORD_WEIGHT * F.least("kw", F.lit(3)) + scoring.VALID_BONUS).alias("static"))
     top = nodes.orderBy(F.col("static").desc(), "id").limit(most)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("static")).alias("k"), "id", "embedding"))).alias("r"))
     floor = F.when(F.size("r") > limit, -F.get("r", F.lit(limit - 1))["k"] - scoring.RECENCY_WEIGHT).otherwise(F.lit(float("-inf")))
     kept = ranked.select("r", floor.alias("floor")).select("floor", F.posexplode("r").alias("pos", "x"))
-    kept = kept.where((-F.col("x.k") >= F.col("floor")) & F.col("x.embedding").isNotNull()).select("pos", F.col("x.id").alias("id"), vector.unit(F.col("x.embedding")).alias("unit"))
-    other = kept.select(F.col("pos").alias("pos_b"), F.col("id").alias("b"), F.col("unit").alias("unit_b"))
-    return kept.join(other, (F.col("pos") < F.col("pos_b")) & (vector.dot(F.col("unit"), F.col("unit_b")) > scoring.PARAPHRASE_CUTOFF)).select(F.col("id").alias("a"), "b")
+    return kept.where((-F.col("x.k") >= F.col("floor")) & F.col("x.embedding").isNotNull()).select("pos", F.col("x.id").alias("id"), vector.unit(F.col("x.embedding")).alias("unit"))
 
 
 # Fixed values of the two pools; what one task folds, and rows a task when more are compared.

@@ -39,12 +39,17 @@ def projection_stamp(facts: DataFrame) -> DataFrame:
 
 
 def recall_edges(log: DataFrame, facts: DataFrame, most: int = MAX_EDGES) -> DataFrame:
+    """The heaviest of recall_pairs."""
+    return recall_pairs(log, facts).orderBy(F.col("weight").desc(), "a", "b").limit(most)
+
+
+def recall_pairs(log: DataFrame, facts: DataFrame) -> DataFrame:
     """a, b, weight: how often two valid facts were answers to the same read. A read has few answers (its limit), so pairs per read are few."""
     reads = log.where("result_ids is not null").select(F.col("id").alias("read"), F.explode(F.array_distinct("result_ids")).alias("fact"))
     alive = reads.join(facts.where(schema.valid()).select(F.col("id").alias("fact")), "fact", "left_semi")
     sets = alive.groupBy("read").agg(F.sort_array(F.collect_set("fact")).alias("s")).where(F.size("s") > 1)
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight")).orderBy(F.col("weight").desc(), "a", "b").limit(most)
+    return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))
 
 
 def strata(facts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:

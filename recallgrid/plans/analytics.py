@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,10 +163,11 @@ add(
 
 
 def _pins(v: Views) -> DataFrame:
-    return summary.pin_nominations(v("v_facts"), lambda prompt: "#8 and 9, 17, 900000, 8")
+    """What a stand-in for the model names: of the offered ids every fifth, and one that nobody offered."""
+    return summary.pin_nominations(v("v_facts"), lambda prompt: "#900000, " + ", ".join(i for i in re.findall(r"- \[(\d+)\]", prompt) if int(i) % 5 == 0))
 
 
-add("udf_pin", _pins, f"SELECT id FROM (SELECT id FROM v_facts WHERE {VALID} AND importance BETWEEN 7 AND 9 ORDER BY id LIMIT 1000) x WHERE id IN (8, 9, 17)")
+add("udf_pin", _pins, f"SELECT id FROM v_facts WHERE {VALID} AND importance BETWEEN 7 AND 9 AND id % 5 = 0")
 
 
 def _summary(v: Views) -> DataFrame:

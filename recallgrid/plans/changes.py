@@ -126,13 +126,20 @@ add(
 )
 
 
+def _titles() -> list:
+    """A conversation's titles in a batch: the last that isn't empty counts, not the greatest."""
+    named = lambda word: F.when(F.col("id") % 2 == 0, F.concat(F.lit(word), F.col("id").cast("string"))).otherwise("")
+    return [named("zzz "), named("renamed "), F.lit("")]
+
+
 def _conversation_batch(v: Views) -> DataFrame:
-    return v("v_conversations").where("id % 3 <> 1").select("source_app", "external_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("renamed "), F.col("id").cast("string"))).otherwise("").alias("title"))
+    return v("v_conversations").where("id % 3 <> 1").select("source_app", "external_id", F.explode(F.array(*(F.struct((F.col("id") * 4 + k).alias("pos"), t.alias("title")) for k, t in enumerate(_titles())))).alias("x")).select("source_app", "external_id", "x.pos", "x.title")
 
 
 add(
-    "dml_conv_upsert", lambda v: episodes.upsert_conversations(v("v_conversations").where("id % 3 <> 0"), _conversation_batch(v), NOW).drop("id"),
-    f"""SELECT source_app, external_id, CASE WHEN id % 3 <> 1 AND id % 2 = 0 THEN 'renamed ' || id WHEN id % 3 <> 0 THEN title ELSE '' END AS title, CASE WHEN id % 3 <> 0 THEN mined_upto ELSE 0 END AS mined_upto,
+    "dml_conv_upsert", lambda v: episodes.upsert_conversations(v("v_conversations").where("id % 3 <> 0"), _conversation_batch(v), NOW, "pos"),
+    f"""SELECT CASE WHEN id % 3 <> 0 THEN id ELSE (SELECT max(id) FROM v_conversations WHERE id % 3 <> 0) + row_number() OVER (PARTITION BY id % 3 = 0 ORDER BY id) END AS id,
+      source_app, external_id, CASE WHEN id % 3 <> 1 AND id % 2 = 0 THEN 'renamed ' || id WHEN id % 3 <> 0 THEN title ELSE '' END AS title, CASE WHEN id % 3 <> 0 THEN mined_upto ELSE 0 END AS mined_upto,
       CASE WHEN id % 3 <> 0 THEN created_at ELSE {NOW}e0 END AS created_at FROM v_conversations""",
 )
 add(

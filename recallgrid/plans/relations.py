@@ -11,7 +11,7 @@ from ..functions import scoring, text
 from ..operators import episodes, facts, mining, recall, search, viz
 from .registry import Views, add, query_vector
 from .scans import id_rows, placed_windows, versions
-from .sqltext import COLLAPSED, FACT, FACT_COLUMNS, FILE_BODIES, IMP, LABEL, SCORED, VALID, WEIGHT, fold, windowed
+from .sqltext import COLLAPSED, FACT, FACT_COLUMNS, FILE_BODIES, IMP, LABEL, SCORED, SPEAKER, VALID, WEIGHT, fold, windowed
 
 # joins
 add(
@@ -52,7 +52,7 @@ add(
 )
 PAIRS = f"""WITH x AS (SELECT id AS read, unnest(list_distinct(result_ids)) AS fact FROM v_access_log WHERE result_ids IS NOT NULL), y AS (SELECT x.* FROM x JOIN v_facts f ON f.id = x.fact WHERE {VALID})
     SELECT a.fact AS a, b.fact AS b, count(*) AS weight FROM y a JOIN y b ON a.read = b.read AND a.fact < b.fact GROUP BY ALL"""
-add("jon_cooccur", lambda v: viz.recall_edges(v("v_access_log"), v("v_facts"), 1 << 30), PAIRS)
+add("jon_cooccur", lambda v: viz.recall_pairs(v("v_access_log"), v("v_facts")), PAIRS)
 add(
     "jon_sediment", lambda v: viz.strata(v("v_facts")),
     f"""WITH RECURSIVE s(head, id, depth) AS (SELECT h.id, e.id, 1 FROM v_facts h JOIN v_facts e ON e.superseded_by = h.id WHERE h.invalidated_at IS NULL AND h.quarantined_at IS NULL
@@ -160,10 +160,29 @@ add(
     f"SELECT CASE WHEN id % 13 = 0 THEN 'builder-process' ELSE 'system-meta' END AS reason, count(*) AS n FROM v_lines WHERE {GOOD_LINE} AND (id % 13 = 0 OR id % 17 = 0) GROUP BY reason",
 )
 add("agg_words", lambda v: v("v_facts").select("id", text.word_count(F.col("content")).alias("words")), r"SELECT id, len(list_filter(string_split_regex(content, '\s+'), lambda w: w <> '')) AS words FROM v_facts")
-add("agg_group_map", lambda v: v("v_attachments").groupBy("conversation_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "SELECT conversation_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM v_attachments GROUP BY conversation_id")
 add(
-    "agg_speaker_any", lambda v: v("v_messages").groupBy("conversation_id").agg(F.bool_or(text.speaker_flag(F.col("speaker")).isNotNull()).alias("untrusted")),
-    "SELECT conversation_id, bool_or(contains(speaker, ':')) AS untrusted FROM v_messages GROUP BY conversation_id",
+    "agg_group_map", lambda v: episodes.files_by_message(v("v_attachments")).select("conversation_id", "external_id", F.array_join(F.transform("files", lambda f: F.concat(f["id"].cast("string"), F.lit(" "), f["filename"], F.lit(" "), f["size"].cast("string"))), ", ").alias("files")),
+    "SELECT conversation_id, message_external_id AS external_id, string_agg(id || ' ' || filename || ' ' || size, ', ' ORDER BY id) AS files FROM v_attachments GROUP BY conversation_id, message_external_id",
+)
+add(
+    "agg_speaker_any", lambda v: mining.window_facts(placed_windows(v, 3, 2000), "Alex").select("conversation_id", "window_no", "mined", "untrusted"),
+    f"""WITH RECURSIVE {windowed(3, 2000)} SELECT conversation_id, window_no, bool_or({SPEAKER} IN ('owner', 'guest', 'guest-unknown')) AS mined,
+      bool_or({SPEAKER} IN ('guest', 'guest-unknown', 'unrecognised')) AS untrusted FROM placed GROUP BY conversation_id, window_no""",
+)
+PRUNED = f"""{SCORED}, c AS (SELECT id, embedding, sem + 0.12e0 * least(kw, 3) + 0.05e0 AS static FROM scored WHERE cand AND {VALID} ORDER BY static DESC, id LIMIT 200),
+    r AS (SELECT *, row_number() OVER (ORDER BY static DESC, id) AS pos FROM c), floor AS (SELECT coalesce((SELECT static - 0.10e0 FROM r WHERE pos = 20 AND (SELECT count(*) FROM r) > 20), -1e9) AS x)"""
+add(
+    "win_prune", lambda v: recall.pruned(v("v_facts"), QUERY, query_vector(v), NOW, 20).select("pos", "id"),
+    f"WITH {PRUNED} SELECT pos - 1 AS pos, id FROM r WHERE static >= (SELECT x FROM floor) AND embedding IS NOT NULL",
+)
+add(
+    "prj_out", lambda v: recall.recall(v("v_facts"), QUERY, query_vector(v), NOW, 40, include_superseded=True).select(*recall.RECALL_FIELDS),
+    f"""WITH RECURSIVE {SCORED}, c AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS rn, id, score, {COLLAPSED} FROM scored WHERE cand AND quarantined_at IS NULL), {fold("c", limit=40)}
+    SELECT f.id, content, event_date, confidence, origin_agent, round(fold.score, 4) AS score FROM fold JOIN v_facts f USING (id) WHERE state = 'kept'""",
+)
+add(
+    "flt_valid_recall", lambda v: recall.readable(v("v_facts"), False).select("id", F.lit(False).alias("old")).unionByName(recall.readable(v("v_facts"), True).select("id", F.lit(True).alias("old"))),
+    f"SELECT id, false AS old FROM v_facts WHERE {VALID} UNION ALL SELECT id, true FROM v_facts WHERE quarantined_at IS NULL",
 )
 
 # ordered folds

@@ -19,23 +19,26 @@ def message_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def ingest_batch(batch: DataFrame, table: str, keys: list[str], order: str) -> None:
-    """Appends rows whose keys are new. The batch is written under its own name, so a replay overwrites it."""
+def ingest_batch(batch: DataFrame, table: str, keys: list[str], order: str, number: int) -> None:
+    """Writes the rows whose keys no other batch has under table/batch=<number>: a replay overwrites its own batch.
+
+    Of the table only the key columns are read.
+    """
     spark = batch.sparkSession
     try:
-        old = spark.read.parquet(table)
+        old = spark.read.parquet(table).where(F.col("batch") != number).select(*keys)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         old = spark.createDataFrame([], batch.schema)
-    episodes.new_rows(batch, old, keys, order).write.mode("append").parquet(table)
+    episodes.new_rows(batch, old, keys, order).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
 
 def start(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: str, and_then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Runs until all files that are there have been taken in."""
 
     def each(batch: DataFrame, number: int) -> None:
-        ingest_batch(batch, table, keys, order)
+        ingest_batch(batch, table, keys, order, number)
         if and_then:
             and_then(batch, number)
 
