@@ -48,7 +48,7 @@ VIEWS = {
           CASE WHEN d.doc_id % 20 = 0 THEN CASE WHEN d.doc_id % 60 = 0 THEN 'image/tiff' ELSE 'image/png' END ELSE 'text/plain' END AS mime,
           d.n_chars * CASE WHEN d.doc_id % 100 = 20 THEN 10000 ELSE 1 END AS size, {sha:d.text} AS sha256, concat({sha:d.text}, CASE WHEN d.doc_id % 20 = 0 THEN '.png' ELSE '.txt' END) AS stored_name,
           CASE WHEN d.doc_id % 20 = 0 THEN '' ELSE d.text END AS extracted_text, CAST(1700000000 + d.doc_id AS DOUBLE) AS created_at
-        FROM #documents# d JOIN (SELECT DISTINCT conv_id FROM #conversations#) c ON c.conv_id = d.doc_id % 50 WHERE d.doc_id % 10 = 0""",
+        FROM (SELECT *, doc_id % (SELECT max(conv_id) + 1 FROM #conversations#) AS home FROM #documents#) d JOIN (SELECT DISTINCT conv_id FROM #conversations#) c ON c.conv_id = d.home""",
     "v_captions": """
         SELECT id AS attachment_id, concat('[Image description (auto-generated by model-a): picture ', id, ']') AS caption, 'model-a' AS model, CAST(1700000500 AS DOUBLE) AS created_at
         FROM #v_attachments# WHERE mime LIKE 'image/%' AND id % 40 = 1""",
