@@ -76,7 +76,7 @@ def with_next(docs: DataFrame, make: Callable[[Column], Column]) -> DataFrame:
     """doc_id, text, own, next_text and next_own: own is make(text), next_ is of the next row by doc_id, after the last the first.
 
     Rows are dealt to ranges of doc_id; within a range a window finds the next row, and a range's last
-    row takes the first row of the next range that has one. own is made once a row, before the rows move.
+    row takes the first row of the next range that has one. own is made once a row, where its range is.
     """
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -90,7 +90,7 @@ def with_next(docs: DataFrame, make: Callable[[Column], Column]) -> DataFrame:
     over = Window.orderBy("place")  # one row a range
     after = first.select(F.col("place").alias("at"), F.coalesce(F.lead("first.text").over(over), F.first("first.text").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     after = after.select("at", F.struct(F.col("after").alias("text"), make(F.col("after")).alias("own")).alias("after"))
-    led = placed.withColumn("own", make(F.col("text"))).withColumn("led", F.lead(F.struct("text", "own")).over(order))
+    led = placed.repartition("place").withColumn("own", make(F.col("text"))).withColumn("led", F.lead(F.struct("text", "own")).over(order))
     joined = led.join(after.hint("shuffle_hash"), (F.col("place") == F.col("at")) & F.col("led").isNull(), "left").withColumn("next", F.coalesce("led", "after"))
     return joined.select("doc_id", "text", "own", F.col("next.text").alias("next_text"), F.col("next.own").alias("next_own"))
 
