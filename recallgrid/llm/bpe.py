@@ -1,8 +1,8 @@
 """Byte-level BPE by a distinct-word table, and decoding by an id-to-piece join.
 
 Spark splits texts into words, each distinct word is merged once, and its ids are joined back by
-position. Decoding joins each id to its piece of the vocabulary, whose size is fixed; the side with the
-pieces goes to every task, so that lists of ids stay whole and in order.
+position. Decoding makes a row of each id and joins it to its piece of the vocabulary, whose size is fixed;
+the pieces go to every task, so that no id moves and a list's rows stay together and in order.
 
 Defined results: null text counts as empty and has no ids; special-token strings in a text become their
 ids; rows with a null or repeated doc_id are encoded like any other; other columns are not read.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,7 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from .arrays import tidy
 from .word_blocks import BLOCK_BYTES, block_table, by_distinct_word, put_back
 
 # The split pattern of this family of vocabularies, its white space spelled out for Java.
@@ -125,9 +128,49 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """coded with a column decoded: the pieces of ids joined in order, as UTF-8 (invalid bytes: U+FFFD). Null ids give null.
 
-    The pieces, in hexadecimal digits by id, are a constant of the plan, as the vocabulary's size is fixed:
-    each id of a list is looked up where the list is.
+    Each id is a row, which is joined to its piece of the vocabulary; as that table has a fixed size it goes
+    to every task, so the ids stay where they are and in order, and _rows puts a list's pieces together again.
+    The other columns go with a list's first id. An id outside the vocabulary, or null, has no piece.
     """
-    pieces = F.split(F.lit(" ".join(p.hex() for p in load_vocabulary(path)["pieces"])), " ")
-    found = F.transform("ids", lambda i: F.get(pieces, i))
-    return coded.withColumn("decoded", F.make_valid_utf8(F.unhex(F.array_join(found, "")).cast("string")))
+    spark = coded.sparkSession
+    known = load_vocabulary(path)["pieces"]
+    pieces = spark.createDataFrame(pa.table({"token": pa.array(range(len(known)), pa.int32()), "piece": pa.array(known, pa.binary())}))
+    kept = coded.drop("ids", "decoded")
+    doc = F.struct(*(coded[f"`{c}`"] for c in kept.columns)).alias("doc")
+    tokens = coded.select(doc, F.isnull("ids").alias("missing"), F.posexplode_outer("ids").alias("at", "token"))
+    tokens = tokens.withColumn("doc", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("doc")))
+    joined = tokens.join(F.broadcast(pieces), "token", "left").select("doc", "missing", "at", "token", "piece")
+    schema = StructType([StructField("doc", kept.schema), StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
+    whole = joined.mapInArrow(tidy(_rows), schema)
+    return whole.select("doc.*", "ids", F.make_valid_utf8(F.col("decoded").cast("string")).alias("decoded"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of ids and their pieces from rows of one id each. A list's rows follow each other, the first has at 0 or, without an id, null."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        firsts = np.flatnonzero(pc.fill_null(batch.column("at"), 0).to_numpy() == 0)
+        if not len(firsts):
+            held.append(batch)
+            continue
+        yield from _together([*held, batch.slice(0, firsts[-1])])
+        held = [batch.slice(firsts[-1])]
+    yield from _together(held)
+
+
+def _together(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of whole lists, one row a list."""
+    if not sum(b.num_rows for b in held):
+        return
+    doc, missing, at, token, piece = (pa.concat_arrays([b.column(i) for b in held]) for i in range(5))
+    firsts = np.flatnonzero(pc.fill_null(at, 0).to_numpy() == 0)
+    edges = np.append(firsts, len(at))
+    there = at.is_valid()
+    ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[edges]
+    missing = missing.take(pa.array(firsts))
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), token.filter(there), mask=missing)
+    _, at_byte, data = piece.buffers()
+    byte_ends = np.frombuffer(at_byte, dtype=np.int32)[piece.offset : piece.offset + len(piece) + 1][edges]
+    whole = pa.Array.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(byte_ends.tobytes()), data])
+    decoded = pc.if_else(missing, pa.scalar(None, pa.binary()), whole)
+    yield pa.RecordBatch.from_arrays([doc.take(pa.array(firsts)), ids, decoded], names=["doc", "ids", "decoded"])

@@ -73,6 +73,20 @@ def test_decode_join(spark):
     assert out == {1: t.decode([15496, 995]), 2: "", 3: None, 4: t.decode([50256, 8582], skip_special_tokens=False)}
 
 
+def test_decode_keeps_rows_and_columns(spark):
+    """Lists over many Arrow batches, repeated rows, ids without a piece, other columns and clashing names."""
+    t = library()
+    long = t.encode("the same words again " * 9000).ids
+    rows = [(1, long, "a", 1), (1, long, "a", 1), (2, [], None, 2), (None, None, "b", None), (3, [15496, None, 10**6, 995], "c", 3)] + [(k, [k], "d", k) for k in range(300, 340)]
+    coded = spark.createDataFrame(rows, "doc_id long, ids array<int>, piece string, at int").coalesce(1)
+    out = bpe.decode(coded.withColumn("decoded", F.lit("old")), PATH)
+    assert out.columns == ["doc_id", "piece", "at", "ids", "decoded"]
+    text = lambda ids: None if ids is None else t.decode([i for i in ids if i and i < 10**6], skip_special_tokens=False)
+    want = [(i, p, a, ids, text(ids)) for i, ids, p, a in rows]
+    assert [tuple(r) for r in out.collect()] == want
+    assert bpe.decode(coded.where("false"), PATH).count() == 0
+
+
 def test_several_special_tokens(spark):
     """Of tokens that begin at one place the longest counts."""
     t, special = library(), ["<a>", "<a><b>", "[x]"]
