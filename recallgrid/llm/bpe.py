@@ -1,8 +1,8 @@
 """Byte-level BPE by a distinct-word table, and decoding by an id-to-piece join.
 
 Spark splits texts into words, each distinct word is merged once, and its ids are joined back by
-position. Decoding makes a row of each id and joins it to its piece of the vocabulary, whose size is fixed;
-the pieces go to every task, so that no id moves and a list's rows stay together and in order.
+position. Decoding goes the same way: the distinct ids of a packet of lists, a row each, are joined to their
+pieces of the vocabulary, whose size is fixed, and the pieces are put in the places of the ids.
 
 Defined results: null text counts as empty and has no ids; special-token strings in a text become their
 ids; rows with a null or repeated doc_id are encoded like any other; other columns are not read.
@@ -29,6 +29,7 @@ from .word_blocks import BLOCK_BYTES, block_table, by_distinct_word, put_back
 SPACE = r"\p{IsWhite_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 LONG_WORD = 64
+PACKET_TOKENS = 1 << 20
 
 
 def byte_characters() -> dict[str, int]:
@@ -128,49 +129,59 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """coded with a column decoded: the pieces of ids joined in order, as UTF-8 (invalid bytes: U+FFFD). Null ids give null.
 
-    Each id is a row, which is joined to its piece of the vocabulary; as that table has a fixed size it goes
-    to every task, so the ids stay where they are and in order, and _rows puts a list's pieces together again.
-    The other columns go with a list's first id. An id outside the vocabulary, or null, has no piece.
+    A packet of lists is followed by a row for each distinct id in it; these are joined to their pieces of
+    the vocabulary. That table has a fixed size and goes to every task, so a packet's rows stay together and
+    in order, and its pieces are put in the places of the ids. An id outside the vocabulary, or null, has no piece.
     """
     spark = coded.sparkSession
     known = load_vocabulary(path)["pieces"]
     pieces = spark.createDataFrame(pa.table({"token": pa.array(range(len(known)), pa.int32()), "piece": pa.array(known, pa.binary())}))
     kept = coded.drop("ids", "decoded")
+    ids = ArrayType(IntegerType())
     doc = F.struct(*(coded[f"`{c}`"] for c in kept.columns)).alias("doc")
-    tokens = coded.select(doc, F.isnull("ids").alias("missing"), F.posexplode_outer("ids").alias("at", "token"))
-    tokens = tokens.withColumn("doc", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("doc")))
-    joined = tokens.join(F.broadcast(pieces), "token", "left").select("doc", "missing", "at", "token", "piece")
-    schema = StructType([StructField("doc", kept.schema), StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
-    whole = joined.mapInArrow(tidy(_rows), schema)
+    packets = StructType([StructField("docs", ArrayType(kept.schema)), StructField("lists", ArrayType(ids)), StructField("token", IntegerType())])
+    tokens = coded.select(doc, "ids").mapInArrow(tidy(_packets), packets)
+    joined = tokens.join(F.broadcast(pieces), "token", "left").select("docs", "lists", "piece")
+    whole = joined.mapInArrow(tidy(_unpacked), StructType([StructField("doc", kept.schema), StructField("ids", ids), StructField("decoded", BinaryType())]))
     return whole.select("doc.*", "ids", F.make_valid_utf8(F.col("decoded").cast("string")).alias("decoded"))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of ids and their pieces from rows of one id each. A list's rows follow each other, the first has at 0 or, without an id, null."""
-    held: list[pa.RecordBatch] = []
+def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of documents and their lists, at most PACKET_TOKENS ids or one longer list, and after it a row for each distinct id, by first place."""
     for batch in batches:
-        firsts = np.flatnonzero(pc.fill_null(batch.column("at"), 0).to_numpy() == 0)
-        if not len(firsts):
-            held.append(batch)
-            continue
-        yield from _together([*held, batch.slice(0, firsts[-1])])
-        held = [batch.slice(firsts[-1])]
-    yield from _together(held)
-
-
-def _together(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of whole lists, one row a list."""
-    if not sum(b.num_rows for b in held):
-        return
-    doc, missing, at, token, piece = (pa.concat_arrays([b.column(i) for b in held]) for i in range(5))
-    firsts = np.flatnonzero(pc.fill_null(at, 0).to_numpy() == 0)
-    edges = np.append(firsts, len(at))
-    there = at.is_valid()
-    ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[edges]
-    missing = missing.take(pa.array(firsts))
-    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), token.filter(there), mask=missing)
-    _, at_byte, data = piece.buffers()
-    byte_ends = np.frombuffer(at_byte, dtype=np.int32)[piece.offset : piece.offset + len(piece) + 1][edges]
-    whole = pa.Array.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(byte_ends.tobytes()), data])
-    decoded = pc.if_else(missing, pa.scalar(None, pa.binary()), whole)
-    yield pa.RecordBatch.from_arrays([doc.take(pa.array(firsts)), ids, decoded], names=["doc", "ids", "decoded"])
+        total = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(total):
+            before = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + PACKET_TOKENS, side="right")))
+            docs, lists = (batch.column(c).slice(at, end - at) for c in ("doc", "ids"))
+            distinct = lists.flatten().dictionary_encode().dictionary
+            edges, below = [0] + [end - at] * (len(distinct) + 1), pa.array([False] + [True] * len(distinct))
+            columns = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), x, mask=below) for x in (docs, lists)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(1, pa.int32()), distinct])], names=["docs", "lists", "token"])
+            at = end
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of packets whose rows have their pieces."""
+    docs, lists, pieces = None, None, []
+    for batch in batches:
+        heads = np.flatnonzero(batch.column("docs").is_valid().to_numpy(zero_copy_only=False))
+        edges = [*heads, batch.num_rows]
+        pieces.append(batch.column("piece").slice(0, edges[0]))
+        for head, end in zip(edges[:-1], edges[1:], strict=True):
+            if docs is not None:
+                yield _filled(docs, lists, pa.concat_arrays(pieces))
+            docs, lists, pieces = batch.column("docs")[head].values, batch.column("lists")[head].values, [batch.column("piece").slice(head + 1, end - head - 1)]
+    if docs is not None:
+        yield _filled(docs, lists, pa.concat_arrays(pieces))
+
+
+def _filled(docs: pa.Array, lists: pa.ListArray, pieces: pa.BinaryArray) -> pa.RecordBatch:
+    """The lists, and for each the pieces of its ids one after another; pieces are those of the distinct ids."""
+    spelled = pieces.take(lists.flatten().dictionary_encode().indices)
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), dtype=np.int64)])
+    _, at, data = spelled.buffers()
+    at = np.frombuffer(at, dtype=np.int32)[spelled.offset : spelled.offset + len(spelled) + 1] if len(spelled) else np.zeros(1, dtype=np.int32)
+    whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at[ends].tobytes()), data])
+    return pa.RecordBatch.from_arrays([docs, lists, pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), whole)], names=["doc", "ids", "decoded"])
