@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +33,23 @@ def unit(v: Column) -> Column:
     v = as_double(v)
     # the norm is bound to a lambda's argument, so that it is computed once
     return F.get(F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))), 0)
+
+
+def pack(v: Column) -> Column:
+    """v as little-endian float32 bytes, as embedding services store it; null stays null."""
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: None if a is None else np.asarray(a, dtype="<f4").tobytes())
+
+    return run(v.cast("array<float>"))
+
+
+def unpack(data: Column) -> Column:
+    """array<float> of float32 bytes; null, and bytes that are no whole number of values, give null."""
+
+    @F.pandas_udf("array<float>")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4").astype("f4"))
+
+    return run(data)

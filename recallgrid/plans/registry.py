@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import fixtures
 
 Views = Callable[[str], DataFrame]
-MODULES = ("scans", "changes", "relations", "texts", "analytics")
+MODULES = ("scans", "changes", "relations", "texts", "analytics", "exports")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

@@ -118,7 +118,17 @@ def extract_text(data: Column, filename: Column, mime: Column) -> Column:
 def read_export(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """conversations, projects and memories of a chat export; a project file holds one or a list."""
     read = lambda schema, path: spark.read.schema(schema).json(f"{folder}/{path}", multiLine=True)
-    return {"conversations": read(EXPORT, "conversations.json"), "projects": read(PROJECT, "projects/*.json"), "memories": spark.read.text(f"{folder}/memories.json", wholetext=True).select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("memory"))}
+    return {"conversations": read(EXPORT, "conversations.json"), "projects": read(PROJECT, "projects/*.json"), "memories": memory_rows(spark.read.text(f"{folder}/memories.json", wholetext=True))}
+
+
+def export_rows(texts: DataFrame, schema: str) -> DataFrame:
+    """Rows of schema (EXPORT or PROJECT) from texts(value), one JSON object each: an export that is split into lines is read in parallel."""
+    return texts.select(F.from_json("value", schema).alias("x")).select("x.*")
+
+
+def memory_rows(texts: DataFrame) -> DataFrame:
+    """memory map<string,string> of each entry of texts(value), JSON lists."""
+    return texts.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("memory"))
 
 
 def tool_marker(block: Column) -> Column:
