@@ -6,8 +6,10 @@ ids and are still mined. Each batch is an anti-join against the table, so replay
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -52,3 +54,25 @@ def mine(messages: DataFrame, conversations: DataFrame, files: DataFrame, owner:
     marks = mining.watermarks(rows).withColumnRenamed("mined_upto", "new_mark")
     moved = conversations.join(marks, "id", "left").withColumn("mined_upto", F.coalesce("new_mark", "mined_upto")).drop("new_mark")
     return rows, moved
+
+
+@contextmanager
+def only_run(spark: SparkSession, folder: str) -> Iterator[bool]:
+    """True for the first run over the tables below folder, False for further ones until it ends; those must skip, so no conversation is mined twice at once.
+
+    The mark is a file made without overwriting, as safe against a race as the file system's create is. A run
+    that was killed leaves folder/_mining behind; it is removed by whoever knows that the run is gone.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_mining")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        fs.create(path, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        yield False
+        return
+    try:
+        yield True
+    finally:
+        fs.delete(path, False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -418,3 +419,24 @@ def test_mining_advances(spark):
     assert windows.first()["n_messages"] == 2
     assert {r["id"]: r["mined_upto"] for r in moved.collect()} == {1: 3, 2: 0}
     assert ingest.mine(m, moved, files, "Alex")[0].count() == 0
+
+
+def test_one_run_at_a_time(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    with ingest.only_run(spark, folder) as first:
+        with ingest.only_run(spark, folder) as second:
+            assert (first, second) == (True, False)
+        with ingest.only_run(spark, folder) as third:
+            assert not third
+    with pytest.raises(KeyError), ingest.only_run(spark, folder):
+        raise KeyError("a run that fails")
+    with ingest.only_run(spark, folder) as again:
+        assert again
+
+
+def test_packed_vectors(spark):
+    rows = [(1, [0.5, -2.25, 3.0]), (2, []), (3, None)]
+    df = spark.createDataFrame(rows, "id int, v array<float>").select("id", vector.pack(F.col("v")).alias("b"))
+    assert [tuple(r) for r in df.select("id", vector.unpack(F.col("b"))).orderBy("id").collect()] == rows
+    assert [bytes(r[0]) if r[0] is not None else None for r in df.orderBy("id").select("b").collect()] == [struct.pack("<3f", 0.5, -2.25, 3.0), b"", None]
+    assert spark.createDataFrame([(bytearray(b"abcde"),)], "b binary").select(vector.unpack(F.col("b"))).first()[0] is None
