@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from .facts import numbered
 
 QUERY_CHARS, SERVED_CHARS, PREVIEW_CHARS, PREVIEW_FACTS = 500, 200, 4000, 8
 MESSAGE_CHARS, WINDOW_MESSAGES, WINDOW_CHARS = 20_000, 120, 350_000
@@ -29,13 +30,12 @@ def ingest_report(batch: DataFrame, table: DataFrame, keys: list[str], order: st
 def upsert_conversations(old: DataFrame, batch: DataFrame, now: float, order: str) -> DataFrame:
     """Conversations by (source_app, external_id); the batch's last title that isn't empty replaces the old one.
 
-    New ones get ids after the largest, in the order in which the batch names them first; only their keys
-    are put in one order.
+    New ones get ids after the largest, in the order in which the batch names them first.
     """
     key = ["source_app", "external_id"]
     b = batch.groupBy(*key).agg(F.max_by("title", F.when(F.col("title") != "", F.col(order))).alias("new_title"), F.min(order).alias("first"))
     last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new = b.join(old.select(*key), key, "left_anti").select(*key, (F.row_number().over(Window.orderBy("first", *key)) + last).cast("long").alias("new_id"))
+    new = numbered(b.join(old.select(*key), key, "left_anti").select(*key, "first"), ["first", *key], last + 1).select(*key, F.col("id").alias("new_id"))
     joined = old.join(b, key, "full_outer").join(new, key, "left").withColumn("id", F.coalesce("id", "new_id"))
     title = F.coalesce(F.when(F.col("new_title") != "", F.col("new_title")), F.col("title"), F.lit(""))
     return joined.select("id", "source_app", "external_id", title.alias("title"), F.coalesce("mined_upto", F.lit(0)).cast("long").alias("mined_upto"), F.coalesce("created_at", F.lit(float(now))).alias("created_at"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scoring, text
+from .tables import stored
 
 MIN_FACT, MAX_FACT = 8, 10_000
 LIMITS = {"search": (1, 500), "recall": (1, 50), "facts": (1, 1000), "attachments": (1, 1000), "tail": (0, 100)}
@@ -68,7 +69,7 @@ def trusted(origin: Column, source_app: Column, apps: list[str]) -> Column:
 
 def gated(rows: DataFrame, apps: list[str], now: float) -> DataFrame:
     """Candidate rows(content, source, origin_agent, source_app, event_date, confidence, importance, conversation_id,
-    source_message_id, quarantine_reason) as fact rows without ids; rows of unfit length are dropped."""
+    source_message_id, quarantine_reason) as fact rows without ids; rows of unfit length are left out, see unfit."""
     content = text.normal_spaces(F.coalesce("content", F.lit("")))
     origin = F.coalesce(F.when(F.col("origin_agent") != "", F.col("origin_agent")), F.lit("user"))
     mistrusted = F.col("quarantine_reason").isNull() & ~trusted(origin, F.col("source_app"), apps)
@@ -81,9 +82,25 @@ def gated(rows: DataFrame, apps: list[str], now: float) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, order: list, first_id: int) -> DataFrame:
-    """rows with ids first_id, first_id + 1, ... in order: the one place where a batch is put in a single order."""
-    return rows.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + (first_id - 1)).cast("long"))
+def unfit(rows: DataFrame) -> DataFrame:
+    """The candidate rows that gated leaves out, with chars (of the content as it would be kept) and reason."""
+    chars = F.length(text.normal_spaces(F.coalesce("content", F.lit(""))))
+    reason = F.when(chars < MIN_FACT, f"shorter than {MIN_FACT} characters").when(chars > MAX_FACT, f"longer than {MAX_FACT} characters")
+    return rows.withColumns({"chars": chars, "reason": reason}).where("reason is not null")
+
+
+def numbered(rows: DataFrame, order: list[str], first_id: int) -> DataFrame:
+    """rows with ids first_id, first_id + 1, ... in order.
+
+    Rows are dealt to ranges of the order and written; a range's rows are numbered on their own, after
+    those of the ranges before it, so no task gets a whole batch.
+    """
+    dealt = stored(rows.repartitionByRange(*order).withColumn("in_range", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("in_range").agg(F.count("*").alias("in_all"))
+    before = F.coalesce(F.sum("in_all").over(Window.orderBy("in_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    nth = F.row_number().over(Window.partitionBy("in_range").orderBy(*order))
+    placed = dealt.withColumn("id", nth).join(sizes.select("in_range", before.alias("in_before")), "in_range")
+    return placed.withColumn("id", (F.col("id") + F.col("in_before") + (first_id - 1)).cast("long")).drop("in_range", "in_before")
 
 
 def dedupe_in_conversation(candidates: DataFrame, facts: DataFrame, order: str) -> DataFrame:

@@ -7,11 +7,13 @@ tokens. Tokens are runs of letters and digits in lower case (diacritics are kept
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .facts import like
+from .tables import stored
 
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 # Fixed values of the ranking function and of snippets.
@@ -38,32 +40,35 @@ def postings(docs: DataFrame, content: str) -> DataFrame:
     return docs.select("id", F.posexplode(tokens(F.col(content))).alias("pos", "token")).groupBy("token", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def hits(docs: DataFrame, content: str, query: list[list[str]]) -> DataFrame:
-    """phrase_no, id, tf of the phrases that occur in docs: the documents' tokens are scanned once, only the query's stay."""
-    wanted = sorted({t for p in query for t in p})
-    found = docs.select("id", F.posexplode(tokens(F.col(content))).alias("pos", "token")).where(F.col("token").isin(wanted))
-    by_doc = found.groupBy("id").agg(F.collect_list(F.struct("pos", "token")).alias("at"))
+def phrase_counts(docs: DataFrame, content: str, query: list[list[str]]) -> DataFrame:
+    """id, len (tokens), tf (an entry a phrase of query) of each row of docs: a text is split once, where it is."""
+
+    def times(ts: Column, phrase: list[str]) -> Column:
+        def starts(t: Column, i: Column) -> Column:
+            return reduce(lambda a, b: a & b, (F.get(ts, i + k) == w for k, w in enumerate(phrase[1:], 1)), t == phrase[0])
+
+        return F.size(F.filter(ts, starts))
 
-    def times(phrase: list[str]) -> Column:
-        starts = lambda k: F.transform(F.filter("at", lambda x: x["token"] == phrase[k]), lambda x: x["pos"] - k)
-        out = starts(0)
-        for k in range(1, len(phrase)):
-            out = F.array_intersect(out, starts(k))
-        return F.size(out)
+    once = F.transform(F.array(tokens(F.col(content))), lambda ts: F.struct(F.size(ts).alias("len"), F.array(*(times(ts, p) for p in query)).alias("tf")))
+    return docs.select("id", F.get(once, 0).alias("x")).select("id", "x.len", "x.tf")
 
-    counted = by_doc.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("phrase_no"), times(p).alias("tf")) for k, p in enumerate(query)))).alias("x"))
-    return counted.select("x.phrase_no", "id", "x.tf").where("tf > 0")
+
+def hits(docs: DataFrame, content: str, query: list[list[str]]) -> DataFrame:
+    """phrase_no, id, tf of the phrases that occur in docs."""
+    return phrase_counts(docs, content, query).select("id", F.posexplode("tf").alias("phrase_no", "tf")).where("tf > 0").select("phrase_no", "id", "tf")
 
 
 def bm25(docs: DataFrame, content: str, query: list[list[str]]) -> DataFrame:
-    """id, score of docs(id, ...) that match any phrase."""
-    lengths = docs.select("id", F.size(tokens(F.col(content))).alias("len"))
-    size = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = hits(docs, content, query)
-    df = tf.groupBy("phrase_no").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return tf.join(df, "phrase_no").join(lengths, "id").crossJoin(size).groupBy("id").agg(F.sum(part).alias("score"))  # size is one row
+    """id, score of docs(id, ...) that match any phrase.
+
+    Counts are written, as the corpus's own (one row) are needed before the first score; nothing is shuffled by id.
+    """
+    counts = stored(phrase_counts(docs, content, query), "counts")
+    corpus = counts.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), F.array(*(F.count_if(F.get("tf", k) > 0) for k in range(len(query)))).alias("df"))
+    idf = lambda df: F.greatest(F.log((F.col("n_docs") - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
+    part = lambda tf, df: idf(df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    parts = F.zip_with("tf", "df", part)
+    return counts.where(F.exists("tf", lambda t: t > 0)).crossJoin(corpus).select("id", F.aggregate(parts, F.lit(0.0), lambda a, b: a + b).alias("score"))
 
 
 def snippet(text: Column, words: list[str]) -> Column:

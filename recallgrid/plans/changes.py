@@ -37,6 +37,11 @@ add(
     FROM (SELECT *, id % 11 <> 0 AND NOT (origin = 'user' OR (origin NOT LIKE 'mcp:%' AND id % 3 <> 0)) AS bad
       FROM (SELECT *, CASE id % 4 WHEN 1 THEN 'mcp:tool' WHEN 2 THEN 'chat-app' ELSE 'user' END AS origin FROM v_claims) x) y WHERE id % 31 <> 0""",
 )
+add(
+    "dml_add_fact_unfit", lambda v: facts.unfit(candidates(v)).select("source_message_id", "chars", "reason"),
+    """SELECT id AS source_message_id, length(c) AS chars, CASE WHEN length(c) < 8 THEN 'shorter than 8 characters' ELSE 'longer than 10000 characters' END AS reason
+    FROM (SELECT id, CASE WHEN id % 31 = 0 THEN 'tiny' ELSE trim(fact) END AS c FROM v_claims) x WHERE length(c) NOT BETWEEN 8 AND 10000""",
+)
 
 
 def _offered(v: Views) -> DataFrame:

@@ -73,6 +73,19 @@ def test_gate(spark):
     assert [(r["content"], r["quarantined_at"] is None, r["confidence"], r["event_date"]) for r in out] == [("a long enough fact", k, "high" if k else "low", NOW) for k in (True, False, True, False)]
 
 
+def test_unfit_facts_are_named(spark):
+    rows = spark.createDataFrame([(1, " a  b "), (2, None), (3, "x" * 10_001), (4, "x" * 10_000), (5, "12345678")], "id long, content string")
+    assert sorted(tuple(r) for r in facts.unfit(rows).select("id", "chars", "reason").collect()) == [(1, 3, "shorter than 8 characters"), (2, 0, "shorter than 8 characters"), (3, 10_001, "longer than 10000 characters")]
+
+
+def test_numbers_follow_the_order_over_all_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("at"), (F.col("id") % 3).alias("kind"), F.lit("x").alias("n"))
+    out = facts.numbered(rows, ["kind", "at"], 11)
+    assert out.columns == ["at", "kind", "n", "id"]
+    assert [r["id"] for r in out.orderBy("kind", "at").collect()] == list(range(11, 5011))
+    assert facts.numbered(rows.where("false"), ["at"], 1).count() == 0
+
+
 def test_dedupe_in_conversation(spark):
     known = ledger(spark, [{"conversation_id": 1, "content_hash": "h"}, {"conversation_id": 2, "content_hash": "g", "invalidated_at": NOW}])
     new = spark.createDataFrame([(10, 1, "h"), (11, 2, "g"), (12, 2, "g"), (13, 3, "h")], "id long, conversation_id long, content_hash string")
@@ -277,6 +290,13 @@ def test_search(spark):
     assert one(spark, s=search.snippet(F.lit("one two cat four"), ["cat"]))["s"] == " … >>cat<< four"
 
 
+def test_phrase_counts(spark):
+    docs = spark.createDataFrame([(1, "a a a b"), (2, "b, A!"), (3, ""), (4, None), (5, "a")], "id long, t string")
+    out = {r["id"]: (r["len"], r["tf"]) for r in search.phrase_counts(docs, "t", [["a"], ["a", "a"], ["b", "a"], ["z"]]).collect()}
+    assert out[1] == (4, [3, 2, 0, 0]) and out[2] == (2, [1, 0, 1, 0]) and out[3] == (0, [0, 0, 0, 0]) and out[5] == (1, [1, 0, 0, 0])
+    assert sorted(r["id"] for r in search.bm25(docs, "t", [["b"], ["z"]]).collect()) == [1, 2]
+
+
 def test_models(spark):
     f = ledger(spark, [{"embedding": [1.0]}, {}, {}])
     assert models.fill_embeddings(f, lambda t: [[2.0]] * len(t)).where("embedding is null").count() == 0
