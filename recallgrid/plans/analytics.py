@@ -73,7 +73,12 @@ add(
 FALLBACK = """SELECT m.id, title, source_app, speaker, m.created_at, substring(content, 1, 200) AS snippet FROM (SELECT * FROM v_messages WHERE content ILIKE '%the%' ORDER BY id DESC LIMIT 20) m JOIN v_conversations c ON c.id = m.conversation_id"""
 add("jon_search_like", lambda v: search.fallback(v("v_messages"), v("v_conversations"), "the and", 20), FALLBACK)
 add("fts_fallback", lambda v: search.search(v("v_messages"), v("v_conversations"), v("v_attachments"), v("v_captions"), 'the "unclosed', 20), FALLBACK)
-add("fts_snippet", lambda v: v("v_messages").select("id", search.snippet(F.col("content"), ["the", "tion"]).alias("snippet")))
+HIT = r"list_has_any(list_filter(string_split_regex(lower(w), '[^\p{L}\p{N}]+'), lambda t: t <> ''), ['the', 'tion'])"
+add(
+    "fts_snippet", lambda v: v("v_messages").select("id", search.snippet(F.col("content"), ["the", "tion"]).alias("snippet")),
+    rf"""WITH p AS (SELECT id, list_filter(string_split_regex(content, '\s+'), lambda w: w <> '') AS ps FROM v_messages), h AS (SELECT id, ps, greatest(1, coalesce(list_position(list_transform(ps, lambda w: {HIT}), true), 1)) AS k FROM p)
+    SELECT id, CASE WHEN k > 1 THEN ' … ' ELSE '' END || array_to_string(list_transform(list_slice(ps, k, k + 23), lambda w: CASE WHEN {HIT} THEN '>>' || w || '<<' ELSE w END), ' ') || CASE WHEN len(ps) >= k + 24 THEN ' … ' ELSE '' END AS snippet FROM h""",
+)
 
 add(
     "gra_decay", lambda v: viz.decay_points(v("v_facts"), NOW).where("not q").select("id", "age", "score"),
