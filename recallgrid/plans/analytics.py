@@ -59,8 +59,8 @@ add(
     f"SELECT a.id, title, 'file: ' || filename AS speaker, round(score, 6) AS score FROM ({bm25_sql(FILES + ' f', WORDS.split())}) x JOIN v_attachments a USING (id) JOIN v_conversations c ON c.id = a.conversation_id",
 )
 add(
-    "top_search", lambda v: search.search(v("v_messages"), v("v_conversations"), v("v_attachments"), v("v_captions"), "acme caption", 20).select("pos", "kind", "id", F.round("score", 6).alias("score")),
-    f"""WITH m AS ({bm25_sql('v_messages', ['acme', 'caption'])}), a AS ({bm25_sql(FILES + ' f', ['acme', 'caption'])})
+    "top_search", lambda v: search.search(v("v_messages"), v("v_conversations"), v("v_attachments"), v("v_captions"), "the model", 20).select("pos", "kind", "id", F.round("score", 6).alias("score")),
+    f"""WITH m AS ({bm25_sql('v_messages', ['the', 'model'])}), a AS ({bm25_sql(FILES + ' f', ['the', 'model'])})
     SELECT row_number() OVER (ORDER BY kind DESC, score DESC, id) AS pos, kind, id, round(score, 6) AS score FROM (SELECT * FROM (SELECT 'message' AS kind, id, score FROM m ORDER BY score DESC, id LIMIT 20) x
       UNION ALL SELECT * FROM (SELECT 'attachment', id, score FROM a ORDER BY score DESC, id LIMIT 20) y) z ORDER BY pos LIMIT 20""",
 )
@@ -168,11 +168,11 @@ add(
 
 
 def _pins(v: Views) -> DataFrame:
-    """What a stand-in for the model names: of the offered ids every fifth, and one that nobody offered."""
-    return summary.pin_nominations(v("v_facts"), lambda prompt: "#900000, " + ", ".join(i for i in re.findall(r"- \[(\d+)\]", prompt) if int(i) % 5 == 0))
+    """What a stand-in for the model names: of the offered ids every third, and one that nobody offered."""
+    return summary.pin_nominations(v("v_facts"), lambda prompt: "#900000, " + ", ".join(i for i in re.findall(r"- \[(\d+)\]", prompt) if int(i) % 3 == 0))
 
 
-add("udf_pin", _pins, f"SELECT id FROM v_facts WHERE {VALID} AND importance BETWEEN 7 AND 9 AND id % 5 = 0")
+add("udf_pin", _pins, f"SELECT id FROM v_facts WHERE {VALID} AND importance BETWEEN 7 AND 9 AND id % 3 = 0")
 
 
 def _summary(v: Views) -> DataFrame:
