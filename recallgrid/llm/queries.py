@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, langid, minhash, mixing, token_counts, toxicity, warc
+from . import bpe, chat, codebooks, exact_dedup, fingerprints, langid, minhash, mixing, resampling, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,9 +131,57 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codebooks.quantize(_table(spark, sf_dir, "embeddings"))
+    return codebooks.with_label_errors(rows).select("vec_id", "code", "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    """The rounds of op12 written out, one after another."""
+    parts = [
+        "kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS g FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "v AS MATERIALIZED (SELECT vec_id, label, p, g[p * len(g) // 4 + 1 : (p + 1) * len(g) // 4] AS x FROM kept, range(4) r(p))",
+        "b0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id, x) - 1 AS e FROM v) q WHERE e < 256)",
+    ]
+    for k in range(codebooks.ROUNDS + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, label, p, x, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y), 'e': e}}) AS best
+          FROM (SELECT v.*, b.e, b.x AS y FROM v JOIN b{k} b USING (p)) j GROUP BY ALL)""")
+        if k < codebooks.ROUNDS:
+            parts.append(f"""m{k} AS (SELECT p, e, list(y ORDER BY pos) AS x FROM (SELECT p, best.e AS e, pos, floor(sum(x[pos]) / count(*)) AS y FROM a{k}, range(1, len(x) + 1) i(pos) GROUP BY ALL) s GROUP BY ALL)""")
+            parts.append(f"b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (p, e))")
+    last = codebooks.ROUNDS
+    parts.append(f"c AS (SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{last} GROUP BY vec_id, label)")
+    return f"""WITH {", ".join(parts)}
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY p, e)) FROM b{last}) AS codebooks_sha256 FROM c"""
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT kind, id, unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM w),
+counted AS MATERIALIZED (SELECT kind, id, f, count(*) AS n FROM runs GROUP BY ALL),
+coded AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(f), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted) d, steps),
+rows_ AS MATERIALIZED (SELECT kind, id, bucket, sum(n) AS n FROM counted JOIN coded USING (f) GROUP BY ALL),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE kind = 'b'), 0) AS t FROM rows_ GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM b) + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM b) + 10000 AS DOUBLE)))) AS gain FROM b),
+weighed AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM rows_ JOIN g USING (bucket) WHERE kind = 'd' GROUP BY id),
+scored AS (SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substring(sha256('42:' || w.id), 1, 8) AS BIGINT) + 0.5e0) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN weighed ON weighed.id = w.id WHERE kind = 'd'),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN r USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_fingerprints, op5_warc, op6_exact_dedup, op7_chat, op8_bpe, op9_minhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_fingerprints, op5_warc, op6_exact_dedup, op7_chat, op8_bpe, op9_minhash, op10_toxicity, op12_codes, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op7_chat": OP7_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op12_codes": _op12_sql(), "op13_resampling": OP13_SQL}
