@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, codebooks, exact_dedup, fingerprints, langid, minhash, mixing, resampling, token_counts, toxicity, warc
+from . import bpe, chat, codebooks, exact_dedup, extraction, fingerprints, langid, minhash, mixing, resampling, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, books = codebooks.quantize(_table(spark, sf_dir, "embeddings"))
     return codebooks.with_label_errors(rows).select("vec_id", "code", "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
@@ -180,7 +184,7 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN ra
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_fingerprints, op5_warc, op6_exact_dedup, op7_chat, op8_bpe, op9_minhash, op10_toxicity, op12_codes, op13_resampling)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_fingerprints, op5_warc, op6_exact_dedup, op7_chat, op8_bpe, op9_minhash, op10_toxicity, op11_extraction, op12_codes, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
