@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import NOW, OWNER, QUERY
 from ..operators import episodes, facts, mining, recall, search, summary, viz
-from ..streaming import ingest
+from ..operators.tables import new_path, stored
+from ..schema import DDL
+from ..streaming import ingest, leases, sink, windows
 from .registry import Views, add, query_vector
 from .relations import PAIRS, POOL, RANKED
 from .scans import placed_windows, versions
@@ -112,29 +115,89 @@ add("gra_colour", _colours)
 add("win_colour", _colours)
 
 
+def _streamed(parts: list[DataFrame], transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream gives that takes the parts one after another, each in a batch of its own or several."""
+    spark, source, out, checkpoint = parts[0].sparkSession, *(new_path(parts[0].sparkSession, n) for n in ("source", "out", "checkpoint"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        rows = transform(spark.readStream.schema(part.schema).parquet(source))
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def _files_by_message(v: Views) -> DataFrame:
+    return episodes.attachments_by_message(v("v_attachments"), v("v_captions"))
+
+
 def _mined(v: Views) -> DataFrame:
-    """Conversations after a mining run: each watermark at its last message."""
-    return ingest.mine(v("v_messages"), v("v_conversations"), episodes.attachments_by_message(v("v_attachments"), v("v_captions")), OWNER)[1]
+    """Conversations after a mining run under a lease: each watermark at its last message."""
+    homes = v("v_conversations")
+    marks = leases.Marks(homes.sparkSession, new_path(homes.sparkSession, "marks"))
+    ingest.mine_leased(marks, v("v_messages"), homes, _files_by_message(v), OWNER, NOW)
+    return marks.conversations(homes)
+
+
+def _left_by_another(v: Views) -> DataFrame:
+    """What a second run gets while a first one holds every third conversation, a run that died held others, and one gave its own back."""
+    homes = v("v_conversations").select("id")
+    marks = leases.Marks(homes.sparkSession, new_path(homes.sparkSession, "marks"))
+    marks.acquire(homes.where("id % 3 = 1"), NOW - 100.0, term=10.0)
+    marks.acquire(homes.where("id % 3 = 0"), float(NOW))
+    marks.release(marks.acquire(homes.where("id % 3 = 2"), float(NOW)))
+    return marks.acquire(homes, NOW + 1.0).held
+
+
+def _ingested_again(v: Views) -> DataFrame:
+    """Counts of a batch that another query writes to a table that has it."""
+    messages = v("v_messages")
+    spark = messages.sparkSession
+    table = sink.Table(spark, new_path(spark, "messages"), DDL["messages"], ["conversation_id", "external_id"], "id")
+    table.commit(messages, "first", 0)
+    table.commit(messages, "first", 0)
+    again = table.commit(messages, "second", 0)
+    return spark.createDataFrame([(again["ingested"], again["skipped"])], "ingested long, skipped long")
+
+
+def _windows_by_turn(v: Views) -> DataFrame:
+    """Windows of unmined messages that come in three parts, each with the next turns of all conversations."""
+    bodies = episodes.with_bodies(episodes.unmined(v("v_messages"), v("v_conversations")), _files_by_message(v))
+    sizes = stored(bodies.select("conversation_id", "id", F.col("view_len").cast("int").alias("view_len")), "sizes")
+    turn = F.col("id") % 1000
+    return _streamed([sizes.where(turn <= 2), sizes.where(turn.between(3, 4)), sizes.where(turn > 4)], lambda rows: windows.windows(rows, 2, 5000))
+
+
+def _attached_late(v: Views) -> DataFrame:
+    """Attachments that stream in beside their messages, bound to them, without those that the table has."""
+    spark = v("v_messages").sparkSession
+    files = v("v_attachments").select("id", "conversation_id", "message_external_id", "sha256", "created_at")
+    messages = v("v_messages").select("conversation_id", "external_id", "id", "created_at")
+    source = new_path(spark, "messages")
+    messages.write.parquet(source)
+    schema = "id long, conversation_id long, message_external_id string, sha256 string, created_at double, message_id long"
+    table = sink.Table(spark, new_path(spark, "attachments"), schema, ["conversation_id", "message_external_id", "sha256"], "id")
+    table.commit(files.where("id % 20 = 1").withColumn("message_id", F.lit(None).cast("long")), "before", 0)
+    came = _streamed([files], lambda rows: windows.bound(rows, spark.readStream.schema(messages.schema).parquet(source)))
+    waiting = files.join(came.select("id"), "id", "left_anti").withColumn("message_id", F.lit(None).cast("long"))  # what no watermark has passed yet
+    table.commit(windows.settle(came.select(*waiting.columns).unionByName(waiting), messages).select(*table.read().columns), "stream", 0)
+    return table.read().where("message_id is not null").select("id", "message_id")
 
 
 add(
     "str_watermark", lambda v: _mined(v).select("id", "mined_upto"),
     "SELECT c.id, greatest(mined_upto, coalesce(last, 0)) AS mined_upto FROM v_conversations c LEFT JOIN (SELECT conversation_id, max(id) AS last FROM v_messages GROUP BY conversation_id) m ON m.conversation_id = c.id",
 )
+add("str_lock", _left_by_another, "SELECT id FROM v_conversations WHERE id % 3 <> 0")
 add(
-    "str_window", lambda v: placed_windows(v, 2, 5000).groupBy("conversation_id").agg(F.max("window_no").alias("windows")),
+    "str_window", lambda v: _windows_by_turn(v).groupBy("conversation_id").agg(F.max("window_no").alias("windows")),
     f"WITH RECURSIVE {windowed(2, 5000)} SELECT conversation_id, max(window_no) AS windows FROM placed GROUP BY conversation_id",
 )
 add(
     "str_gate", lambda v: mining.window_facts(placed_windows(v, 1, 5000), OWNER).where("not mined").select("conversation_id", "window_no", "last_id"),
     f"WITH RECURSIVE {windowed(1, 5000)} SELECT conversation_id, window_no, id AS last_id FROM placed WHERE {SPEAKER} NOT IN ('owner', 'guest', 'guest-unknown')",
 )
+add("str_idempotent", _ingested_again, "SELECT 0 AS ingested, count(*) AS skipped FROM v_messages")
 add(
-    "str_idempotent", lambda v: episodes.ingest_report(v("v_messages"), v("v_messages"), ["conversation_id", "external_id"], "id"),
-    "SELECT 0 AS ingested, count(*) AS skipped FROM v_messages",
-)
-add(
-    "str_late", lambda v: episodes.new_rows(v("v_attachments"), v("v_attachments").where("id % 20 = 1"), ["conversation_id", "message_external_id", "sha256"], "id").join(v("v_messages").select("conversation_id", F.col("external_id").alias("message_external_id"), F.col("id").alias("message_id")), ["conversation_id", "message_external_id"]).select("id", "message_id"),
+    "str_late", _attached_late,
     """SELECT a.id, m.id AS message_id FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id, message_external_id, sha256 ORDER BY id) AS nth FROM v_attachments) a JOIN v_messages m ON m.conversation_id = a.conversation_id AND m.external_id = a.message_external_id
     WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM v_attachments b WHERE b.id % 20 = 1 AND b.conversation_id = a.conversation_id AND b.message_external_id = a.message_external_id AND b.sha256 = a.sha256)""",
 )

@@ -1,46 +1,32 @@
-"""Incremental ingest: a file stream of messages into an idempotent table with id-based watermarks.
+"""Incremental ingest and mining: file streams into exactly-once tables, id-based watermarks under leases.
 
 The watermark is the largest message id mined in a conversation, not a time: late messages get larger
-ids and are still mined. Each batch is an anti-join against the table, so replays change nothing.
+ids and are still mined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import episodes, mining
+from .leases import TERM_S, Marks
+from .sink import Table
 
 
 def message_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def ingest_batch(batch: DataFrame, table: str, keys: list[str], order: str, number: int) -> None:
-    """Writes the rows whose keys no other batch has under table/batch=<number>: a replay overwrites its own batch.
-
-    Of the table only the key columns are read.
-    """
-    spark = batch.sparkSession
-    try:
-        old = spark.read.parquet(table).where(F.col("batch") != number).select(*keys)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        old = spark.createDataFrame([], batch.schema)
-    episodes.new_rows(batch, old, keys, order).write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-
-def start(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: str, and_then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Runs until all files that are there have been taken in."""
+def start(stream: DataFrame, table: Table, checkpoint: str, and_then: Callable[[DataFrame, int], None] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Runs until all files that are there have been taken into the table; and_then must bear a batch that comes again."""
 
     def each(batch: DataFrame, number: int) -> None:
-        ingest_batch(batch, table, keys, order, number)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        table.commit(prepare(batch) if prepare else batch, query, number)
         if and_then:
             and_then(batch, number)
 
@@ -56,23 +42,18 @@ def mine(messages: DataFrame, conversations: DataFrame, files: DataFrame, owner:
     return rows, moved
 
 
-@contextmanager
-def only_run(spark: SparkSession, folder: str) -> Iterator[bool]:
-    """True for the first run over the tables below folder, False for further ones until it ends; those must skip, so no conversation is mined twice at once.
+def mine_leased(marks: Marks, messages: DataFrame, conversations: DataFrame, files: DataFrame, owner: str, now: float, and_then: Callable[[DataFrame], None] | None = None, term: float = TERM_S) -> dict[str, int]:
+    """Mines the conversations that no other run holds, and commits how far it got.
 
-    The mark is a file made without overwriting, as safe against a race as the file system's create is. A run
-    that was killed leaves folder/_mining behind; it is removed by whoever knows that the run is gone.
+    and_then gets the windows before the marks move: if it fails, the lease is given back and they are mined again.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_mining")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        fs.create(path, False).close()
-    except Py4JJavaError as e:
-        if "AlreadyExists" not in e.java_exception.getClass().getName():
-            raise
-        yield False
-        return
+    lease = marks.acquire(conversations, now, term)
     try:
-        yield True
+        own = marks.conversations(conversations.join(lease.held, "id", "left_semi"))
+        rows, moved = mine(messages.join(lease.held.withColumnRenamed("id", "conversation_id"), "conversation_id", "left_semi"), own, files, owner)
+        if and_then:
+            and_then(rows)
+        refused = marks.advance(lease, moved)
     finally:
-        fs.delete(path, False)
+        marks.release(lease)
+    return {"held": lease.held.count(), "skipped_locked": lease.skipped_locked, "refused": refused}

@@ -422,15 +422,6 @@ def test_tables_and_snapshots(spark, tmp_path):
         readers.create_tables(spark, tables)
 
 
-def test_stream_is_idempotent(spark, tmp_path):
-    rows = [(k, 1, f"m{k}", "user", "hello", NOW + k) for k in range(1, 5)]
-    source, table = str(tmp_path / "in"), str(tmp_path / "table")
-    for part in (rows[:3], rows[1:]):
-        spark.createDataFrame(part, DDL["messages"]).coalesce(1).write.mode("append").parquet(source)
-        ingest.start(ingest.message_stream(spark, source, DDL["messages"]), table, str(tmp_path / "checkpoint"), ["conversation_id", "external_id"], "id").awaitTermination()
-    assert sorted(r["id"] for r in spark.read.parquet(table).collect()) == [1, 2, 3, 4]
-
-
 def test_mining_advances(spark):
     home = spark.createDataFrame([(1, "app", "c", "", 1, NOW), (2, "app", "d", "", 0, NOW)], DDL["conversations"])
     m = spark.createDataFrame([(k, 1, f"m{k}", "user", "hello", NOW) for k in (1, 2, 3)], DDL["messages"])
@@ -441,19 +432,6 @@ def test_mining_advances(spark):
     assert ingest.mine(m, moved, files, "Alex")[0].count() == 0
 
 
-def test_one_run_at_a_time(spark, tmp_path):
-    folder = str(tmp_path / "ledger")
-    with ingest.only_run(spark, folder) as first:
-        with ingest.only_run(spark, folder) as second:
-            assert (first, second) == (True, False)
-        with ingest.only_run(spark, folder) as third:
-            assert not third
-    with pytest.raises(KeyError), ingest.only_run(spark, folder):
-        raise KeyError("a run that fails")
-    with ingest.only_run(spark, folder) as again:
-        assert again
-
-
 def test_packed_vectors(spark):
     rows = [(1, [0.5, -2.25, 3.0]), (2, []), (3, None)]
     df = spark.createDataFrame(rows, "id int, v array<float>").select("id", vector.pack(F.col("v")).alias("b"))
