@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.facts import numbered
 from ..schema import DDL, SCHEMA_VERSION
 
 # File names that are text whatever their type says, and who speaks in an export.
@@ -126,64 +127,109 @@ def export_rows(texts: DataFrame, schema: str) -> DataFrame:
     return texts.select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
-def memory_rows(texts: DataFrame) -> DataFrame:
-    """memory map<string,string> of each entry of texts(value), JSON lists."""
-    return texts.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("memory"))
+def memory_rows(texts: DataFrame, order: str | None = None) -> DataFrame:
+    """at (order of the text, place of the entry in it) and memory map<string,variant> of each entry of texts(value), JSON lists."""
+    at = F.col(order) if order else F.input_file_name()
+    return texts.select(at.alias("text_at"), F.posexplode(F.from_json("value", "array<map<string,variant>>")).alias("entry_at", "memory"))
+
+
+# Fixed value: white space that is stripped and collapsed, beyond ASCII too.
+BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+TEXT = "text/plain"
+NO_FILES = "array<struct<filename:string,mime:string,text:string>>"
+
+
+def strip(x: Column) -> Column:
+    return F.regexp_replace(x, f"^{BLANK}|{BLANK}$", "")
+
+
+def given(x: Column) -> Column:
+    """x, or null where it is empty."""
+    return F.when(x != "", x)
 
 
 def tool_marker(block: Column) -> Column:
-    args = [F.when(F.trim(block["input"][a]) != "", block["input"][a]) for a in TOOL_ARGUMENTS]
-    arg = F.substring(F.trim(F.regexp_replace(F.coalesce(*args, F.lit("")), r"\s+", " ")), 1, 120)
-    return F.concat(F.lit("[tool: "), F.coalesce(block["name"], F.lit("")), F.when(arg != "", F.concat(F.lit(" "), arg)).otherwise(""), F.lit("]"))
+    """A tool call as one line: its name and the first argument that says what it is about."""
+    args = [given(block["input"][a]) for a in TOOL_ARGUMENTS]
+    arg = F.substring(strip(F.regexp_replace(F.coalesce(*args, F.lit("")), BLANK, " ")), 1, 120)
+    return F.concat(F.lit("[tool: "), F.coalesce(given(block["name"]), F.lit("tool")), F.when(arg != "", F.concat(F.lit(" "), arg)).otherwise(""), F.lit("]"))
+
+
+def artifact_text(block: Column) -> Column:
+    """What an artifact call made, as text: title, content, and what an update changed; empty if nothing."""
+    i = block["input"]
+    change = F.when(F.coalesce(given(i["old_str"]), given(i["new_str"])).isNotNull(), F.concat(F.lit("[update]\n--- old\n"), F.coalesce(i["old_str"], F.lit("")), F.lit("\n--- new\n"), F.coalesce(i["new_str"], F.lit(""))))
+    return strip(F.concat_ws("\n\n", F.concat(F.lit("# "), given(i["title"])), given(i["content"]), change))
 
 
 def export_content(message: Column) -> Column:
     """Text of an export message: its blocks, or its text where they say nothing, then names of files."""
-    said = lambda x: F.when(F.trim(x) != "", F.trim(x))
+    said = lambda x: given(strip(x))
     part = lambda b: F.when(b["type"] == "text", said(b["text"])).when(b["type"] == "thinking", F.concat(F.lit("[thinking]\n"), said(b["thinking"]))).when(b["type"] == "tool_use", tool_marker(b))
     none = F.array().cast("array<string>")
-    parts = F.coalesce(F.filter(F.transform(message["content"], part), lambda x: x.isNotNull()), none)
-    parts = F.when(F.size(parts) > 0, parts).otherwise(F.when(F.trim(message["text"]) != "", F.array(F.trim(message["text"]))).otherwise(none))
-    named = lambda c, label: F.coalesce(F.transform(message[c], lambda f: F.concat(F.lit(f"[{label}: "), f["file_name"], F.lit("]"))), none)
-    return F.array_join(F.concat(parts, named("files", "file"), named("attachments", "attachment")), "\n\n")
+    there = lambda parts: F.coalesce(F.filter(parts, lambda x: x.isNotNull()), none)
+    parts = there(F.transform(message["content"], part))
+    parts = F.when(F.size(parts) > 0, parts).otherwise(there(F.array(said(message["text"]))))
+    files = there(F.transform(message["files"], lambda f: F.concat(F.lit("[file: "), given(f["file_name"]), F.lit("]"))))
+    attached = there(F.transform(message["attachments"], lambda f: F.concat(F.lit("[attachment: "), F.coalesce(given(f["file_name"]), F.lit("attachment")), F.lit("]"))))
+    return strip(F.array_join(F.concat(parts, files, attached), "\n\n"))
 
 
-def artifact_text(block: Column) -> Column:
-    """An artifact block as text: title, content, and what an update changed."""
-    i = block["input"]
-    change = F.when(i["old_str"].isNotNull() | i["new_str"].isNotNull(), F.concat(F.lit("[update]\n"), F.coalesce(i["old_str"], F.lit("")), F.lit("\n"), F.coalesce(i["new_str"], F.lit(""))))
-    return F.concat_ws("\n", F.when(i["title"] != "", F.concat(F.lit("# "), i["title"])), F.when(i["content"] != "", i["content"]), change)
+def export_files(message: Column) -> Column:
+    """Texts that come with an export message: what artifact calls made, and attachments' extracted texts."""
+    file = lambda name, text: F.struct(name.alias("filename"), F.lit(TEXT).alias("mime"), text.alias("text"))
+    made = F.transform(F.filter(message["content"], lambda b: (b["type"] == "tool_use") & (b["name"] == "artifacts")), lambda b: file(F.concat(F.coalesce(given(b["input"]["id"]), F.lit("artifact")), F.lit(".txt")), artifact_text(b)))
+    came = F.transform(message["attachments"], lambda f: file(F.coalesce(given(f["file_name"]), F.lit("attachment")), strip(F.coalesce(f["extracted_content"], F.lit("")))))
+    none = F.array().cast(NO_FILES)
+    return F.filter(F.concat(F.coalesce(made, none), F.coalesce(came, none)), lambda f: f["text"] != "")
 
 
 def export_messages(conversations: DataFrame, now: float) -> DataFrame:
-    """conversation uuid, name, message uuid, speaker, content, created_at of the messages that say something."""
+    """conversation uuid, name, message uuid, speaker, content, created_at, attachments of the messages that say or bring something."""
     from ..functions.scoring import to_epoch
 
-    rows = conversations.select(F.col("uuid").alias("conversation"), "name", F.col("created_at").alias("began"), F.posexplode("chat_messages").alias("pos", "m"))
+    rows = conversations.select(F.col("uuid").alias("conversation"), F.coalesce("name", F.lit("")).alias("name"), F.col("created_at").alias("began"), F.posexplode("chat_messages").alias("pos", "m"))
     known = F.create_map(*(F.lit(x) for pair in SENDERS.items() for x in pair))
-    sender = F.coalesce(F.element_at(known, F.col("m.sender")), F.when(F.col("m.sender") != "", F.col("m.sender")), F.lit("unknown"))
+    sender = F.coalesce(F.element_at(known, F.col("m.sender")), given(F.col("m.sender")), F.lit("unknown"))
     when = F.coalesce(to_epoch(F.col("m.created_at")), to_epoch(F.col("began")), F.lit(float(now)))
-    return rows.select("conversation", "name", "pos", F.col("m.uuid").alias("external_id"), sender.alias("speaker"), export_content(F.col("m")).alias("content"), when.alias("created_at")).where("content <> ''")
+    out = rows.select("conversation", "name", "pos", F.col("m.uuid").alias("external_id"), sender.alias("speaker"), export_content(F.col("m")).alias("content"), when.alias("created_at"), export_files(F.col("m")).alias("attachments"))
+    return out.where((F.col("content") != "") | (F.size("attachments") > 0))
+
 
+def project_messages(projects: DataFrame, now: float) -> DataFrame:
+    """A project's own texts, and each of its documents with its text attached, as the owner's messages of one conversation."""
+    from ..functions.scoring import to_epoch
 
-def project_messages(projects: DataFrame) -> DataFrame:
-    """A project's own texts and each of its documents as messages of one conversation."""
-    head = F.concat_ws("\n\n", F.when(F.col("description") != "", F.col("description")), F.when(F.col("prompt_template") != "", F.col("prompt_template")))
-    top = projects.select(F.concat(F.lit("project-"), F.col("uuid")).alias("conversation"), "name", F.lit("project").alias("external_id"), head.alias("content")).where("content <> ''")
-    docs = projects.select(F.concat(F.lit("project-"), F.col("uuid")).alias("conversation"), "name", F.explode("docs").alias("d")).select("conversation", "name", F.concat(F.lit("doc-"), F.col("d.uuid")).alias("external_id"), F.concat_ws("\n\n", "d.filename", "d.content").alias("content"))
-    return top.unionByName(docs)
+    began = F.coalesce(to_epoch(F.col("created_at")), F.lit(float(now)))
+    name, none = F.coalesce("name", F.lit("")), F.array().cast(NO_FILES)
+    home = [F.concat(F.lit("project-"), F.col("uuid")).alias("conversation"), F.concat(F.lit("Project: "), name).alias("name")]
+    head = F.concat_ws("\n\n", strip(F.concat(F.lit("[project] "), name)), given(F.col("description")), F.concat(F.lit("[prompt template]\n"), given(F.col("prompt_template"))))
+    top = projects.select(*home, F.lit(0).alias("pos"), F.concat(F.lit("project-"), F.col("uuid")).alias("external_id"), strip(head).alias("content"), began.alias("created_at"), none.alias("attachments"))
+    docs = projects.select(*home, began.alias("began"), F.posexplode("docs").alias("at", "d"))
+    text = strip(F.coalesce("d.content", F.lit("")))
+    file = F.array(F.struct(F.coalesce(given(F.col("d.filename")), F.lit("doc.txt")).alias("filename"), F.lit(TEXT).alias("mime"), text.alias("text")))
+    docs = docs.select(
+        "conversation", "name", (F.col("at") + 1).alias("pos"), F.col("d.uuid").alias("external_id"), F.concat(F.lit("[project doc: "), F.coalesce("d.filename", F.lit("")), F.lit("]")).alias("content"),
+        F.coalesce(to_epoch(F.col("d.created_at")), F.col("began")).alias("created_at"), F.when(text != "", file).otherwise(none).alias("attachments"),
+    )
+    return top.unionByName(docs).withColumn("speaker", F.lit("user"))
 
 
 def memory_messages(memories: DataFrame) -> DataFrame:
-    """Every string of a memory snapshot that isn't blank, as a system message."""
-    return memories.select(F.explode("memory").alias("key", "content")).where(F.trim("content") != "").select(F.concat(F.lit("memory-"), F.col("key")).alias("external_id"), F.lit("system").alias("speaker"), "content")
+    """Every string of memory snapshots that isn't blank, stripped, as system messages memory-0, memory-1, ... in order."""
+    rows = memories.select("text_at", "entry_at", F.posexplode(F.map_entries("memory")).alias("value_at", "x"))
+    texts = rows.where(F.schema_of_variant("x.value") == "STRING").select("text_at", "entry_at", "value_at", strip(F.try_variant_get("x.value", "$", "string")).alias("content")).where("content <> ''")
+    return numbered(texts, ["text_at", "entry_at", "value_at"], 0).select(F.concat(F.lit("memory-"), F.col("id").cast("string")).alias("external_id"), F.lit("system").alias("speaker"), "content")
 
 
 def import_counts(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """What an import takes in: repeated ids of a conversation's messages, and equal texts of a message, count once."""
     total = conversations.select(F.col("uuid").alias("conversation"), F.coalesce(F.size("chat_messages"), F.lit(0)).alias("n"))
-    kept = messages.groupBy("conversation").agg(F.count("*").alias("kept"))
-    both = total.join(kept, "conversation", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
-    return both.agg(F.count_if(F.col("kept") > 0).alias("conversations"), F.count_if(F.col("kept") == 0).alias("empty_conversations"), F.sum("kept").alias("messages"), F.sum(F.col("n") - F.col("kept")).alias("empty_messages"))
+    per = messages.groupBy("conversation").agg(F.count("*").alias("rows"), F.count_distinct("external_id").alias("kept"))
+    both = total.join(per, "conversation", "left").na.fill(0, ["rows", "kept"])
+    counts = both.agg(F.count_if(F.col("rows") > 0).alias("conversations"), F.count_if(F.col("rows") == 0).alias("empty_conversations"), F.coalesce(F.sum("kept"), F.lit(0)).alias("messages"), F.coalesce(F.sum(F.col("n") - F.col("rows")), F.lit(0)).alias("empty_messages"))
+    files = messages.select("conversation", "external_id", F.explode("attachments").alias("a")).select("conversation", "external_id", F.sha2("a.text", 256).alias("sha")).distinct()
+    return counts.crossJoin(files.agg(F.count("*").alias("attached")))  # one row each
 
 
 def not_imported(accounts: DataFrame, settings: DataFrame) -> DataFrame:

@@ -335,21 +335,28 @@ def test_a_failed_call_names_no_pins(spark):
 
 def test_export(spark, tmp_path):
     block = lambda kind, **x: {"type": kind} | x
-    said = {"uuid": "m1", "sender": "human", "created_at": "2024-01-02T03:04:05Z", "text": "", "content": [block("text", text=" hi "), block("thinking", thinking="hm"), block("tool_use", name="look", input={"query": "a  b"}), block("tool_result")], "attachments": [{"file_name": "a.txt", "extracted_content": "x"}], "files": [{"file_name": "b.png"}]}
+    art = block("tool_use", name="artifacts", input={"id": "notes", "title": "Plan", "content": "one\n", "old_str": "was"})
+    said = {"uuid": "m1", "sender": "human", "created_at": "2024-01-02T03:04:05Z", "text": "", "content": [block("text", text=" hi\n"), block("thinking", thinking="hm"), block("tool_use", name="", input={"path": " ", "query": "a  b"}), art, block("tool_result")], "attachments": [{"file_name": "", "extracted_content": "x "}, {"file_name": "e.txt", "extracted_content": " "}], "files": [{"file_name": "b.png"}, {"file_name": ""}]}
     empty = {"uuid": "m2", "sender": "assistant", "created_at": "", "text": " ", "content": [], "attachments": [], "files": []}
     plain = empty | {"uuid": "m3", "text": "yes"}
     (tmp_path / "projects").mkdir()
     (tmp_path / "conversations.json").write_text(json.dumps([{"uuid": "c1", "name": "n", "created_at": "2024-01-02", "chat_messages": [said, empty, plain]}, {"uuid": "c2", "name": "e", "created_at": "2024-01-02", "chat_messages": []}]))
-    (tmp_path / "projects/p.json").write_text(json.dumps({"uuid": "p", "name": "P", "description": "D", "prompt_template": "", "docs": [{"uuid": "d", "filename": "f", "content": "text"}]}))
-    (tmp_path / "memories.json").write_text(json.dumps([{"a": "remember", "b": " "}]))
+    (tmp_path / "projects/p.json").write_text(json.dumps([{"uuid": "p", "name": "P", "description": "D", "prompt_template": "T", "created_at": "2024-01-02", "docs": [{"uuid": "d", "filename": "f", "content": " text "}, {"uuid": "d2", "filename": "", "content": " "}]}, {"uuid": "q", "name": "", "docs": []}]))
+    (tmp_path / "memories.json").write_text(json.dumps([{"a": " remember", "b": " ", "n": 5}, {"a": "this\n", "c": None}]))
     read = readers.read_export(spark, str(tmp_path))
     out = readers.export_messages(read["conversations"], NOW)
     rows = out.orderBy("pos").collect()
-    assert rows[0]["content"] == "hi\n\n[thinking]\nhm\n\n[tool: look a b]\n\n[file: b.png]\n\n[attachment: a.txt]"
+    assert rows[0]["content"] == "hi\n\n[thinking]\nhm\n\n[tool: tool]\n\n[tool: artifacts Plan]\n\n[file: b.png]\n\n[attachment: attachment]\n\n[attachment: e.txt]"
+    assert [tuple(f) for f in rows[0]["attachments"]] == [("notes.txt", "text/plain", "# Plan\n\none\n\n\n[update]\n--- old\nwas\n--- new"), ("attachment", "text/plain", "x")]
     assert [(r["speaker"], r["created_at"]) for r in rows] == [("user", 1_704_164_645.0), ("claude", 1_704_153_600.0)]
-    assert tuple(readers.import_counts(read["conversations"], out).first()) == (1, 1, 2, 1)
-    assert [r["content"] for r in readers.project_messages(read["projects"]).orderBy("external_id").collect()] == ["f\n\ntext", "D"]
-    assert [r["content"] for r in readers.memory_messages(read["memories"]).collect()] == ["remember"]
+    assert tuple(readers.import_counts(read["conversations"], out).first()) == (1, 1, 2, 1, 2)
+    made = readers.project_messages(read["projects"], NOW).orderBy("conversation", "pos").collect()
+    assert [(r["name"], r["external_id"], r["content"], [tuple(f) for f in r["attachments"]]) for r in made] == [
+        ("Project: P", "project-p", "[project] P\n\nD\n\n[prompt template]\nT", []), ("Project: P", "d", "[project doc: f]", [("f", "text/plain", "text")]), ("Project: P", "d2", "[project doc: ]", []),
+        ("Project: ", "project-q", "[project]", []),
+    ]
+    assert [r["created_at"] for r in made] == [1_704_153_600.0] * 3 + [NOW] and {r["speaker"] for r in made} == {"user"}
+    assert sorted((r["external_id"], r["content"]) for r in readers.memory_messages(read["memories"]).collect()) == [("memory-0", "remember"), ("memory-1", "this")]
 
 
 def test_requests(spark, tmp_path):
