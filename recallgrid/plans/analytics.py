@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import NOW, OWNER, QUERY
-from ..operators import episodes, facts, mining, recall, search, summary, viz
+from ..operators import episodes, facts, index, mining, recall, search, summary, viz
 from ..operators.tables import new_path, stored
 from ..schema import DDL
 from ..streaming import ingest, leases, sink, windows
@@ -20,7 +20,28 @@ from .sqltext import IMP, LABEL, SPEAKER, VALID, WEIGHT, fold, windowed
 
 WORDS = "the ththe tion"
 PHRASES = [["the"], ["over", "the"], ["tion", "with"]]
-TOKENS = r"list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+TOKENS = r"list_filter(string_split_regex(strip_accents(lower(content)), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+
+
+_indexes: dict[tuple, index.Index] = {}
+
+
+def _index(v: Views, name: str, texts: Callable[[], DataFrame], content: str) -> index.Index:
+    """The index of a view's texts, made when it is first asked for and kept for the session."""
+    key = (*v.place, name)
+    if key not in _indexes or not _indexes[key].log.files.names("_log"):
+        made = index.Index(v.spark, new_path(v.spark, f"index-{name}"))
+        made.add(texts(), content, name, 0)
+        _indexes[key] = made
+    return _indexes[key]
+
+
+def _said(v: Views) -> index.Index:
+    return _index(v, "messages", lambda: v("v_messages"), "content")
+
+
+def _held(v: Views) -> index.Index:
+    return _index(v, "attachments", lambda: _files(v), "body")
 
 
 def bm25_sql(docs: str, words: list[str]) -> str:
@@ -37,16 +58,16 @@ add(
     f"SELECT token, id, count(*) AS tf FROM (SELECT id, unnest({TOKENS}) AS token FROM v_messages) x GROUP BY token, id",
 )
 add(
-    "fts_match", lambda v: search.hits(v("v_messages"), "content", PHRASES).select("phrase_no", "id"),
+    "fts_match", lambda v: _said(v).matches(PHRASES).select("phrase_no", "id"),
     " UNION ALL ".join(f"SELECT {k} AS phrase_no, id FROM v_messages WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' {' '.join(p)} ')" for k, p in enumerate(PHRASES)),
 )
 add(
-    "fts_rank", lambda v: search.bm25(v("v_messages"), "content", search.parse_query(WORDS)).select("id", F.round("score", 6).alias("score")),
+    "fts_rank", lambda v: _said(v).bm25(search.parse_query(WORDS)).select("id", F.round("score", 6).alias("score")),
     f"SELECT id, round(score, 6) AS score FROM ({bm25_sql('v_messages', WORDS.split())}) x",
 )
 add(
     "jon_search_msg",
-    lambda v: search.bm25(v("v_messages"), "content", search.parse_query(WORDS)).join(v("v_messages"), "id").join(v("v_conversations").select(F.col("id").alias("conversation_id"), "title", "source_app"), "conversation_id").select("id", "title", "source_app", "speaker", F.round("score", 6).alias("score")),
+    lambda v: _said(v).bm25(search.parse_query(WORDS)).join(v("v_messages"), "id").join(v("v_conversations").select(F.col("id").alias("conversation_id"), "title", "source_app"), "conversation_id").select("id", "title", "source_app", "speaker", F.round("score", 6).alias("score")),
     f"SELECT m.id, title, source_app, speaker, round(score, 6) AS score FROM ({bm25_sql('v_messages', WORDS.split())}) x JOIN v_messages m USING (id) JOIN v_conversations c ON c.id = m.conversation_id",
 )
 FILES = "(SELECT a.id, coalesce(nullif(extracted_text, ''), caption, '') AS content FROM v_attachments a LEFT JOIN v_captions ON attachment_id = a.id)"
@@ -58,17 +79,17 @@ def _files(v: Views) -> DataFrame:
 
 add(
     "jon_search_att",
-    lambda v: search.bm25(_files(v), "body", search.parse_query(WORDS)).join(_files(v), "id").join(v("v_conversations").select(F.col("id").alias("conversation_id"), "title"), "conversation_id").select("id", "title", F.concat(F.lit("file: "), "filename").alias("speaker"), F.round("score", 6).alias("score")),
+    lambda v: _held(v).bm25(search.parse_query(WORDS)).join(_files(v), "id").join(v("v_conversations").select(F.col("id").alias("conversation_id"), "title"), "conversation_id").select("id", "title", F.concat(F.lit("file: "), "filename").alias("speaker"), F.round("score", 6).alias("score")),
     f"SELECT a.id, title, 'file: ' || filename AS speaker, round(score, 6) AS score FROM ({bm25_sql(FILES + ' f', WORDS.split())}) x JOIN v_attachments a USING (id) JOIN v_conversations c ON c.id = a.conversation_id",
 )
 add(
-    "top_search", lambda v: search.search(v("v_messages"), v("v_conversations"), v("v_attachments"), v("v_captions"), "the model", 20).select("pos", "kind", "id", F.round("score", 6).alias("score")),
+    "top_search", lambda v: search.search(v("v_messages"), v("v_conversations"), v("v_attachments"), v("v_captions"), "the model", 20, _said(v), _held(v)).select("pos", "kind", "id", F.round("score", 6).alias("score")),
     f"""WITH m AS ({bm25_sql('v_messages', ['the', 'model'])}), a AS ({bm25_sql(FILES + ' f', ['the', 'model'])})
     SELECT row_number() OVER (ORDER BY kind DESC, score DESC, id) AS pos, kind, id, round(score, 6) AS score FROM (SELECT * FROM (SELECT 'message' AS kind, id, score FROM m ORDER BY score DESC, id LIMIT 20) x
       UNION ALL SELECT * FROM (SELECT 'attachment', id, score FROM a ORDER BY score DESC, id LIMIT 20) y) z ORDER BY pos LIMIT 20""",
 )
 add(
-    "set_union_fill", lambda v: search.search(v("v_messages"), v("v_conversations"), v("v_attachments"), v("v_captions"), "picture model", 20).select("pos", "kind", "id"),
+    "set_union_fill", lambda v: search.search(v("v_messages"), v("v_conversations"), v("v_attachments"), v("v_captions"), "picture model", 20, _said(v), _held(v)).select("pos", "kind", "id"),
     f"""WITH m AS ({bm25_sql('v_messages', ['picture', 'model'])}), a AS ({bm25_sql(FILES + ' f', ['picture', 'model'])})
     SELECT row_number() OVER (ORDER BY kind DESC, score DESC, id) AS pos, kind, id FROM (SELECT * FROM (SELECT 'message' AS kind, id, score FROM m ORDER BY score DESC, id LIMIT 20) x
       UNION ALL SELECT * FROM (SELECT 'attachment', id, score FROM a ORDER BY score DESC, id LIMIT 20) y) z ORDER BY pos LIMIT 20""",
@@ -76,10 +97,11 @@ add(
 FALLBACK = """SELECT m.id, title, source_app, speaker, m.created_at, substring(content, 1, 200) AS snippet FROM (SELECT * FROM v_messages WHERE content ILIKE '%the%' ORDER BY id DESC LIMIT 20) m JOIN v_conversations c ON c.id = m.conversation_id"""
 add("jon_search_like", lambda v: search.fallback(v("v_messages"), v("v_conversations"), "the and", 20), FALLBACK)
 add("fts_fallback", lambda v: search.search(v("v_messages"), v("v_conversations"), v("v_attachments"), v("v_captions"), 'the "unclosed', 20), FALLBACK)
-HIT = r"list_has_any(list_filter(string_split_regex(lower(w), '[^\p{L}\p{N}]+'), lambda t: t <> ''), ['the', 'tion'])"
+HIT = r"list_has_any(list_filter(string_split_regex(strip_accents(lower(w)), '[^\p{L}\p{N}]+'), lambda t: t <> ''), ['the', 'tion'])"
 add(
     "fts_snippet", lambda v: v("v_messages").select("id", search.snippet(F.col("content"), ["the", "tion"]).alias("snippet")),
-    rf"""WITH p AS (SELECT id, list_filter(string_split_regex(content, '\s+'), lambda w: w <> '') AS ps FROM v_messages), h AS (SELECT id, ps, greatest(1, coalesce(list_position(list_transform(ps, lambda w: {HIT}), true), 1)) AS k FROM p)
+    rf"""WITH p AS (SELECT id, list_filter(string_split_regex(content, '\s+'), lambda w: w <> '') AS ps FROM v_messages), q AS (SELECT id, ps, list_transform(ps, lambda w: CAST({HIT} AS INT)) AS hs FROM p),
+    c AS (SELECT id, ps, list_transform(range(1, len(hs) + 1), lambda i: list_sum(hs[i : i + 23])) AS cs FROM q), h AS (SELECT id, ps, coalesce(list_position(cs, list_max(cs)), 1) AS k FROM c)
     SELECT id, CASE WHEN k > 1 THEN ' … ' ELSE '' END || array_to_string(list_transform(list_slice(ps, k, k + 23), lambda w: CASE WHEN {HIT} THEN '>>' || w || '<<' ELSE w END), ' ') || CASE WHEN len(ps) >= k + 24 THEN ' … ' ELSE '' END AS snippet FROM h""",
 )
 
@@ -213,13 +235,13 @@ add(
 add("str_feed", lambda v: episodes.tail(v("v_access_log").where("kind = 'recall'"), 30).select("id", "ts", "origin"), "SELECT id, ts, origin FROM v_access_log WHERE kind = 'recall' ORDER BY ts DESC, id DESC LIMIT 30")
 
 
-def _said(v: Views) -> DataFrame:
+def _replies(v: Views) -> DataFrame:
     """What a stand-in for the language model says of each mined window."""
     return mining.extract(mining.window_facts(placed_windows(v, 3, 2000), OWNER), lambda transcript: f"NEW: {len(transcript)} characters were said\nNONE")
 
 
 add(
-    "udf_complete", lambda v: _said(v).select("conversation_id", "window_no", "line_no", "line"),
+    "udf_complete", lambda v: _replies(v).select("conversation_id", "window_no", "line_no", "line"),
     f"""WITH RECURSIVE {windowed(3, 2000)}, w AS (SELECT conversation_id, window_no, length(string_agg('[msg ' || msg_no || '] ' || {LABEL} || ': ' || body, chr(10) || chr(10))) AS n
       FROM placed GROUP BY conversation_id, window_no HAVING bool_or({SPEAKER} IN ('owner', 'guest', 'guest-unknown')))
     SELECT conversation_id, window_no, 0 AS line_no, 'NEW: ' || n || ' characters were said' AS line FROM w UNION ALL SELECT conversation_id, window_no, 1, 'NONE' FROM w""",

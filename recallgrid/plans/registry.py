@@ -9,7 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixtures
 
-Views = Callable[[str], DataFrame]
+
+
+class Loader:
+    """Gives a view by name; place tells sessions and folders apart for what is kept from query to query."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir, self.place = spark, sf_dir, (spark.sparkContext.applicationId, sf_dir)
+
+    def __call__(self, name: str) -> DataFrame:
+        return fixtures.view(self.spark, self.sf_dir, name)
+
+
+Views = Loader
 MODULES = ("scans", "changes", "relations", "texts", "analytics", "exports")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,7 +30,7 @@ SQL: dict[str, str] = {}
 def add(name: str, make: Callable[[Views], DataFrame], sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")  # all times of the tables are UTC
-        return make(lambda view: fixtures.view(spark, sf_dir, view))
+        return make(Loader(spark, sf_dir))
 
     if name in QUERIES:
         raise ValueError(f"{name} is there already")
