@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scoring, vector
+from . import pivots
 from .tables import stored
 
 RECALL_FIELDS = ["id", "content", "event_date", "confidence", "origin_agent", "score"]
@@ -134,22 +135,21 @@ def pruned(facts: DataFrame, query: str, query_vector: list[float] | None, now:
     return kept.where((-F.col("x.k") >= F.col("floor")) & F.col("x.embedding").isNotNull()).select("pos", F.col("x.id").alias("id"), vector.unit(F.col("x.embedding")).alias("unit"))
 
 
-# Fixed values of the two pools; what one task folds, and rows a task when more are compared.
+# Fixed values of the two pools, and what one task folds.
 DURABLE_KEEP, DURABLE_LOOK, ACTIVE_KEEP, ACTIVE_LOOK = 200, 250, 300, 375
-FOLD_ROWS, TASK_ROWS = 1000, 256
+FOLD_ROWS = 1000
 
 
-def near(rows: DataFrame, others: DataFrame, n: int, earlier: bool = False) -> DataFrame:
-    """id of the rows (n of them) that a fold drops if it has kept all others; with earlier, those of smaller id only.
+def near(rows: DataFrame, others: DataFrame, earlier: bool = False) -> DataFrame:
+    """id of the rows that a fold drops if it has kept all others; with earlier, those of smaller id only.
 
-    Equal hashes are compared by their smallest id, so a hash with many rows makes no pairs.
+    Equal hashes are compared by their smallest id, so a hash with many rows makes no pairs; vectors meet
+    through pivots, or where they are few by going to the others.
     """
-    theirs = others.select(F.col("id").alias("o_id"), F.col("hash").alias("o_hash"), F.col("unit").alias("o_unit"))
-    before = F.col("o_id") < F.col("id") if earlier else F.lit(True)
-    firsts = theirs.where("o_hash <> ''").groupBy("o_hash").agg(F.min("o_id").alias("o_id"))
-    same = rows.join(firsts, (F.col("hash") == F.col("o_hash")) & before).select("id")
-    dealt = rows.where("unit is not null").select("id", "unit").repartition(n // TASK_ROWS + 1, "id")
-    close = dealt.join(theirs.where("o_unit is not null").select("o_id", "o_unit"), before & F.coalesce(vector.dot(F.col("o_unit"), F.col("unit")) > scoring.PARAPHRASE_CUTOFF, F.lit(False))).select("id")
+    firsts = others.where("hash <> ''").groupBy(F.col("hash").alias("o_hash")).agg(F.min("id").alias("o_id"))
+    before = lambda first: F.col(first) < F.col("id") if earlier else F.lit(True)
+    same = rows.join(firsts, (F.col("hash") == F.col("o_hash")) & before("o_id")).select("id")
+    close = rows.join(pivots.first_close(rows, others, scoring.PARAPHRASE_CUTOFF), "unit").where(before("met")).select("id")
     return same.unionByName(close).distinct()
 
 
@@ -168,10 +168,10 @@ def kept_by_id(rows: DataFrame, most: int = FOLD_ROWS) -> tuple[DataFrame, int,
     total = n = left.count()
     kept: list[DataFrame] = []
     while n > most:
-        waits = stored(near(left, left, n, earlier=True), "waits")
+        waits = stored(near(left, left, earlier=True), "waits")
         kept.append(stored(left.join(waits, "id", "left_anti"), "kept"))
         waiting = left.join(waits, "id", "left_semi")
-        left = stored(waiting.join(near(waiting, kept[-1], n), "id", "left_anti"), "left")
+        left = stored(waiting.join(near(waiting, kept[-1]), "id", "left_anti"), "left")
         n = left.count()
     kept.append(stored(left.join(states(left, None, F.lit(0)).where("state = 'kept'").select("id"), "id", "left_semi"), "kept"))
     found = kept[0]
@@ -203,7 +203,7 @@ def _collapsed(rows: DataFrame, kept: DataFrame, most: int, label: str) -> DataF
     """The first `most` of the bounded rows in order of k that a fold after the kept ones keeps."""
     keys = stored(rows, label)
     looks = hashed(keys)
-    free = keys.join(near(looks, kept, 0), "id", "left_anti")
+    free = keys.join(near(looks, kept), "id", "left_anti")
     first = states(free, None, F.col("k")).where("state = 'kept'").orderBy("pos").limit(most).select("id")
     return looks.join(first, "id", "left_semi")
 
