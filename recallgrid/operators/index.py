@@ -60,6 +60,36 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA from postings in order of token and block; what may go on in the next batch waits for it."""
+    waits = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if waits is not None:
+            batch = pa.concat_batches([waits, batch])
+        token, block = batch.column("token"), batch.column("block").to_numpy()
+        new = pc.not_equal(token.slice(1), token.slice(0, len(token) - 1)).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        waits = batch.slice(int(starts[-1]))
+        if len(starts) > 1:
+            yield _merged(batch.slice(0, int(starts[-1])), starts)
+    if waits is not None and len(waits):
+        yield _merged(waits, np.array([0, len(waits)]))
+
+
+def _merged(batch: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+    starts = edges[:-1]
+    at = pa.array(starts)
+    tf, length = batch.column("positions").value_lengths().to_numpy(zero_copy_only=False), batch.column("len").to_numpy()
+    postings = pa.StructArray.from_arrays([batch.column(c) for c in ("id", "len", "positions")], names=["id", "len", "positions"])
+    columns = [
+        batch.column("token").take(at), batch.column("block").take(at), pa.array(np.diff(edges).astype(np.int64)), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length, starts)),
+        pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), postings), batch.column("bucket").take(at),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "block", "n", "max_tf", "min_len", "postings", "bucket"])
+
+
 def _earlier(positions: Column, n: int) -> Column:
     return F.transform(positions, lambda x: x - n)
 
@@ -84,12 +114,11 @@ class Index:
             return
         split = stored(docs.where("id is not null").select("id", search.tokens(F.coalesce(F.col(content), F.lit(""))).alias("ts")), "split")
         docs_, tokens_ = split.agg(F.count("*"), F.coalesce(F.sum(F.size("ts")), F.lit(0))).first()
-        rows = split.mapInArrow(_postings, "token string, id long, len int, positions array<int>").withColumn("block", F.floor(F.col("id") / BLOCK))
-        blocks = rows.groupBy("token", "block").agg(
-            F.count("*").alias("n"), F.max(F.size("positions")).alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("id", "len", "positions"))).alias("postings"),
-        ).withColumn("bucket", bucket_of(F.col("token")))
+        rows = split.mapInArrow(_postings, "token string, id long, len int, positions array<int>").withColumns({"block": F.floor(F.col("id") / BLOCK), "bucket": bucket_of(F.col("token"))})
+        order = ["bucket", "token", "block"]
+        blocks = rows.repartitionByRange(*order).sortWithinPartitions(*order, "id").mapInArrow(_blocks, SCHEMA)
         name = f"segments/{source}-{number}-{uuid.uuid4().hex}"
-        blocks.repartitionByRange("bucket", "token", "block").sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        blocks.write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
         entry = {"segment": name, "docs": docs_, "tokens": tokens_, "source": source, "number": number}
         if self.log.append(lambda _, state: None if number <= state["done"].get(source, -1) else entry) is None:
             self.log.files.delete(name)

@@ -187,7 +187,9 @@ def pools(facts: DataFrame, now: float, most: int = FOLD_ROWS) -> DataFrame:
     weight_score. Pinned facts are any number, so they collapse in rounds; the folds of the others run on
     bounded prefixes, without the rows that are like a row kept before them.
     """
-    rows = facts.where(schema.valid()).withColumns({"imp": F.coalesce(scoring.truthy(F.col("importance")), F.lit(scoring.DEFAULT_IMPORTANCE)), "score": scoring.weight_score(F.col("importance"), F.col("event_date"), F.col("created_at"), now)})
+    valid = facts.where(schema.valid())
+    weighed = {"imp": F.coalesce(scoring.truthy(F.col("importance")), F.lit(scoring.DEFAULT_IMPORTANCE)), "score": scoring.weight_score(F.col("importance"), F.col("event_date"), F.col("created_at"), now)}
+    rows = stored(valid.withColumns(weighed).select("id", "imp", "score", "event_date", "content_hash", "embedding"), "valid")
     pinned, n_kept, n_pinned = kept_by_id(rows.where(F.col("imp") >= scoring.PINNED_FROM), most)
     others = rows.where(F.col("imp") < scoring.PINNED_FROM).orderBy(F.col("imp").desc(), F.coalesce("event_date", F.lit(0.0)).desc(), "id").limit(DURABLE_LOOK)
     others = others.select("id", F.struct((-F.col("imp").cast("double")).alias("a"), (-F.coalesce("event_date", F.lit(0.0))).alias("b")).alias("k"), "score", "content_hash", "embedding")
@@ -196,7 +198,7 @@ def pools(facts: DataFrame, now: float, most: int = FOLD_ROWS) -> DataFrame:
     rest = rows.join(durable.select("id"), "id", "left_anti").orderBy(F.col("score").desc(), "id").limit(ACTIVE_LOOK).select("id", (-F.col("score")).alias("k"), "score", "content_hash", "embedding")
     active = _collapsed(rest, durable, ACTIVE_KEEP, "rest")
     named = durable.select("id", F.lit("durable").alias("pool")).unionByName(active.select("id", F.lit("active").alias("pool")))
-    return named.join(rows, "id")
+    return named.join(rows.select("id", "imp", "score"), "id").join(valid.drop("imp", "score"), "id")
 
 
 def _collapsed(rows: DataFrame, kept: DataFrame, most: int, label: str) -> DataFrame:
