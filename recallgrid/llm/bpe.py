@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .arrays import tidy
-from .word_blocks import BLOCK_BYTES, block_table, by_distinct_word, put_back
+from .word_blocks import block_table, by_distinct_word, put_back
 
 # The split pattern of this family of vocabularies, its white space spelled out for Java.
 SPACE = r"\p{IsWhite_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 LONG_WORD = 64
-PACKET_TOKENS = 1 << 20
+# Text in a block, whose ids one task holds, and ids in a packet.
+BLOCK_BYTES = 12 << 20
+PACKET_TOKENS = 1 << 18
 
 
 def byte_characters() -> dict[str, int]:
