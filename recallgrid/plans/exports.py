@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import NOW
@@ -69,9 +69,13 @@ def _projects(v: Views) -> DataFrame:
 
 
 add("src_export", lambda v: _conversations(v).select("uuid", "name", F.size("chat_messages").alias("messages")), f"SELECT conversation AS uuid, name, count(*) AS messages FROM ({READ}) x GROUP BY conversation, name")
-FILES = F.array_join(F.transform("attachments", lambda f: F.concat(f["filename"], F.lit(":"), F.sha2(f["text"], 256))), " ")
+def _file_names() -> Column:
+    """Names and digests of a message's files as one text."""
+    return F.array_join(F.transform("attachments", lambda f: F.concat(f["filename"], F.lit(":"), F.sha2(f["text"], 256))), " ").alias("files")
+
+
 add(
-    "src_export_msg", lambda v: readers.export_messages(_conversations(v), NOW).select("external_id", F.length("content").alias("chars"), F.sha2("content", 256).alias("sha"), FILES.alias("files")),
+    "src_export_msg", lambda v: readers.export_messages(_conversations(v), NOW).select("external_id", F.length("content").alias("chars"), F.sha2("content", 256).alias("sha"), _file_names()),
     f"SELECT external_id, length(content) AS chars, sha256(content) AS sha, array_to_string(files, ' ') AS files FROM ({READ}) x WHERE {KEPT}",
 )
 add(
@@ -103,7 +107,7 @@ add(
     f"""SELECT id, length(t) AS chars, sha256(t) AS sha FROM (SELECT id, {ART_TEXT("CASE WHEN id % 3 <> 0 THEN filename END", "extracted_text", "CASE WHEN id % 4 = 0 THEN 'was' END", "CASE WHEN id % 8 = 0 THEN 'is' END")} AS t FROM v_attachments) x""",
 )
 add(
-    "src_export_proj", lambda v: readers.project_messages(_projects(v), NOW).select("conversation", "name", "external_id", "speaker", "content", "created_at", FILES.alias("files")),
+    "src_export_proj", lambda v: readers.project_messages(_projects(v), NOW).select("conversation", "name", "external_id", "speaker", "content", "created_at", _file_names()),
     f"""WITH p AS (SELECT DISTINCT customer_id AS k, concat_ws(chr(10) || chr(10), '[project]' || CASE WHEN customer_id % 5 = 0 THEN '' ELSE ' Named ' || customer_id END, CASE WHEN customer_id % 3 <> 0 THEN 'about ' || customer_id END,
       CASE WHEN customer_id % 2 = 0 THEN '[prompt template]' || chr(10) || 'Be brief.' END) AS head, 'Project: ' || CASE WHEN customer_id % 5 = 0 THEN '' ELSE 'Named ' || customer_id END AS name FROM v_claims)
     SELECT 'project-' || k AS conversation, name, 'project-' || k AS external_id, 'user' AS speaker, head AS content, {NOW}e0 AS created_at, '' AS files FROM p
