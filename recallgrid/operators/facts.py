@@ -212,8 +212,9 @@ def block(rows: DataFrame, line: Column, order: list, empty: str) -> DataFrame:
 
 
 def duplicate_groups(facts: DataFrame) -> DataFrame:
-    """content_hash, n, ids of valid facts that say the same."""
-    return facts.where(schema.valid()).groupBy("content_hash").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids")).where("n > 1")
+    """id, content_hash, n: the valid facts that say what others say, and how many do; no group is gathered in a row."""
+    rows = facts.where(schema.valid()).select("id", "content_hash")
+    return rows.join(rows.groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1"), "content_hash").select("id", "content_hash", "n")
 
 
 def keepers(facts: DataFrame) -> DataFrame:

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from .episodes import WINDOW_CHARS, WINDOW_MESSAGES
+from .settle import claim_action
 
 HEAD = r"(?s)^NEW\b([^:]*):\s*(.*)$"
-SECONDS_BACK = 86_400
+# Fixed wordings: stored reasons must be equal.
 UNSCORED = "importance: miner omitted or malformed importance= and did not supply it on retry — unscored, score it before trusting"
 UNBOUND = "speaker-trust: no valid src= binding in a session with guest or unrecognised speakers — cannot attribute this fact to the owner"
 
@@ -140,16 +141,10 @@ def retry_scores(parsed: DataFrame, ask: Callable[[str], int | None]) -> DataFra
 
 
 def supersede_actions(new: DataFrame, facts: DataFrame) -> DataFrame:
-    """id, old_id, action (apply, refuse, defer) for new(id, event_date, quarantined, supersedes) against offered valid facts."""
+    """id, old_id, action (apply, refuse, defer) for new(id, event_date, quarantined, supersedes) against offered valid facts; settle.settle orders them."""
     wanted = new.select("id", "event_date", "quarantined", F.posexplode("supersedes").alias("pos", "old_id"))
     old = facts.select(F.col("id").alias("old_id"), F.col("event_date").alias("old_date"))
-    action = F.when(F.col("quarantined"), "defer").when(F.coalesce(scoring.truthy(F.col("old_date")) - F.col("event_date") > SECONDS_BACK, F.lit(False)), "refuse").otherwise("apply")
-    return wanted.join(old, "old_id").select("id", "pos", "old_id", action.alias("action"))
-
-
-def distill_counts(outcomes: DataFrame) -> DataFrame:
-    """Counts of outcomes(outcome) by name: added, quarantined, deduped, refused, deferred."""
-    return outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("added", "quarantined", "deduped", "refused", "deferred")))
+    return wanted.join(old, "old_id").select("id", "pos", "old_id", claim_action(F.col("quarantined"), F.col("old_date"), F.col("event_date")).alias("action"))
 
 
 def numbered_messages(messages: DataFrame) -> DataFrame:

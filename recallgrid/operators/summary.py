@@ -19,12 +19,13 @@ PIN_BATCH = 40
 NO_SUMMARY = "No memory summary yet."
 
 
-def section_words(budget: int) -> int:
-    return max(150, budget // 4)
+def section_words(budget: Column) -> Column:
+    """Words for a section of a profile of budget words."""
+    return F.greatest(F.lit(150), F.floor(budget / 4)).cast("int")
 
 
-def max_tokens(budget: int) -> int:
-    return max(8000, 4 * budget)
+def max_tokens(budget: Column) -> Column:
+    return F.greatest(F.lit(8000), budget * 4).cast("int")
 
 
 def sources(facts: DataFrame, now: float) -> DataFrame:
@@ -42,7 +43,7 @@ def regenerate(facts: DataFrame, now: float, budget: int, complete: Callable[[st
     if not rows:
         return None
     block = lambda pool: "\n".join(r["line"] for r in rows if r["pool"] == pool) or "(none)"
-    prompt = f"Write a profile of at most {budget} words, {section_words(budget)} a section.\nLasting:\n{block('durable')}\nCurrent:\n{block('active')}"
+    prompt = f"Write a profile of at most {budget} words, {max(150, budget // 4)} a section.\nLasting:\n{block('durable')}\nCurrent:\n{block('active')}"
     draft = complete(prompt)
     if len(draft.split()) > TOLERANCE * budget:
         try:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..fixtures import NOW, QUERY
 from ..functions import scoring, text
-from ..operators import episodes, facts, mining, recall, search, viz
+from ..operators import episodes, facts, mining, recall, search, settle, viz
 from .registry import Views, add, query_vector
 from .scans import id_rows, placed_windows, versions
 from .sqltext import COLLAPSED, FACT, FACT_COLUMNS, FILE_BODIES, IMP, LABEL, SCORED, SPEAKER, VALID, WEIGHT, fold, windowed
@@ -87,10 +87,6 @@ def _actions(v: Views) -> DataFrame:
 ACTIONS = f"""SELECT n.id, n.pos, n.old_id, CASE WHEN n.q THEN 'defer' WHEN o.event_date - n.event_date > 86400 THEN 'refuse' ELSE 'apply' END AS action
     FROM (SELECT id, event_date, quarantined_at IS NOT NULL AS q, unnest([0, 1]) AS pos, unnest([id - 1, id - 3]) AS old_id FROM v_facts) n JOIN (SELECT id, event_date FROM v_facts WHERE {VALID}) o ON o.id = n.old_id"""
 add("jon_supersede", _actions, ACTIONS)
-add(
-    "agg_distill", lambda v: mining.distill_counts(_actions(v).select(F.when(F.col("action") == "refuse", "refused").when(F.col("action") == "defer", "deferred").otherwise("added").alias("outcome"))),
-    f"SELECT count(*) FILTER (action = 'apply') AS added, 0 AS quarantined, 0 AS deduped, count(*) FILTER (action = 'refuse') AS refused, count(*) FILTER (action = 'defer') AS deferred FROM ({ACTIONS}) x",
-)
 RECALLED = [2, 9, 900_000, 16]
 MERGED = f"SELECT DISTINCT f.id, content_hash FROM v_facts f WHERE id IN (2, 9, 16) OR id IN (SELECT id FROM v_facts WHERE {VALID} ORDER BY id DESC LIMIT 250)"
 add("jon_cand_merge", lambda v: facts.supersede_candidates(v("v_facts"), id_rows(v, RECALLED)).select("id", "content_hash"), MERGED)
@@ -107,8 +103,8 @@ add(
     "SELECT count(*) AS n, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, count(*) FILTER (extracted_text <> '') AS searchable FROM v_attachments",
 )
 add(
-    "agg_dup_groups", lambda v: facts.duplicate_groups(v("v_facts")).select("content_hash", "n", F.col("ids").cast("string").alias("ids")),
-    f"SELECT content_hash, count(*) AS n, '[' || string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) || ']' AS ids FROM v_facts WHERE {VALID} GROUP BY content_hash HAVING count(*) > 1",
+    "agg_dup_groups", lambda v: facts.duplicate_groups(v("v_facts")),
+    f"SELECT * FROM (SELECT id, content_hash, count(*) OVER (PARTITION BY content_hash) AS n FROM v_facts WHERE {VALID}) x WHERE n > 1",
 )
 add(
     "agg_keep", lambda v: facts.keepers(v("v_facts")),
@@ -212,9 +208,36 @@ add(
       UNION ALL SELECT 'active', id, event_date FROM r WHERE id IN (SELECT id FROM act)) x""",
 )
 add("set_union_all", lambda v: recall.pools(v("v_facts"), NOW).groupBy("pool").agg(F.count("*").alias("n")), f"WITH RECURSIVE {POOL} SELECT 'durable' AS pool, count(*) AS n FROM d HAVING count(*) > 0 UNION ALL SELECT 'active', count(*) FROM act HAVING count(*) > 0")
-add(
-    "win_line_seq", lambda v: mining.parse_lines(v("v_lines")).selectExpr("fact", "id", "row_number() over (partition by fact order by id) as nth").where("nth = 1").select("id", "fact"),
-    f"SELECT min(id) AS id, trim(fact) AS fact FROM v_lines WHERE {GOOD_LINE} GROUP BY trim(fact)",
+
+
+def _said(v: Views) -> DataFrame:
+    """Two lines a fact: some say it again, some something new, many claim facts that later lines say."""
+    k, two = F.col("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("nth")
+    again = F.when(k % 5 == 4, F.concat(F.lit("new-"), (k % 300).cast("string"))).otherwise(F.col("content_hash"))
+    claims = F.when(k % 3 == 0, F.array(k + 5, k + 6, k + 900_000)).when(k % 7 == 0, F.array(k + 6, k - 3)).when(k % 4 == 0, F.array(k + 2))
+    rows = v("v_facts").select("*", two)
+    return rows.select(
+        (k * 2 + F.col("nth")).alias("seq"), F.when(k % 8 == 1, F.col("conversation_id") + 1).when(k % 41 != 0, F.col("conversation_id")).alias("conversation_id"), again.alias("content_hash"),
+        (F.col("quarantined_at").isNotNull() | (k % 17 == F.col("nth"))).alias("quarantined"), "event_date", claims.alias("supersedes"),
+    )
+
+
+SETTLED = f"""l AS (SELECT id * 2 + nth AS seq, CASE WHEN id % 8 = 1 THEN conversation_id + 1 WHEN id % 41 <> 0 THEN conversation_id END AS conv, CASE WHEN id % 5 = 4 THEN 'new-' || (id % 300) ELSE content_hash END AS h,
+    quarantined_at IS NOT NULL OR id % 17 = nth AS held, event_date, CASE WHEN id % 3 = 0 THEN [id + 5, id + 6, id + 900000] WHEN id % 7 = 0 THEN [id + 6, id - 3] WHEN id % 4 = 0 THEN [id + 2] ELSE [] END AS ids FROM v_facts CROSS JOIN (VALUES (0), (1)) t(nth)),
+  k AS (SELECT seq, f.id AS old_id, c.pos, f.event_date - c.event_date > 86400 AS refused FROM (SELECT seq, event_date, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM l) c JOIN v_facts f ON f.id = c.id WHERE {VALID}),
+  c AS (SELECT l.*, row_number() OVER (ORDER BY l.seq) AS rn, coalesce(b.ids, []) AS blocked, coalesce(w.ids, []) AS wanted FROM l
+    LEFT JOIN (SELECT conversation_id, content_hash, list(id) AS ids FROM v_facts WHERE invalidated_at IS NULL GROUP BY ALL) b ON b.conversation_id = l.conv AND b.content_hash = l.h
+    LEFT JOIN (SELECT seq, list(old_id) AS ids FROM k WHERE NOT refused GROUP BY seq) w ON w.seq = l.seq),
+  s(rn, said, gone, before, seq, outcome) AS (SELECT 0::BIGINT, []::VARCHAR[], []::BIGINT[], []::BIGINT[], NULL::BIGINT, ''
+    UNION ALL SELECT rn, CASE WHEN outcome <> 'repeat' AND conv IS NOT NULL THEN list_append(said, conv || ':' || h) ELSE said END, CASE WHEN outcome = 'added' THEN list_concat(gone, wanted) ELSE gone END, gone, seq, outcome
+    FROM (SELECT c.*, s.said, s.gone, CASE WHEN c.conv IS NOT NULL AND (list_contains(s.said, c.conv || ':' || c.h) OR NOT list_has_all(s.gone, c.blocked)) THEN 'repeat' WHEN c.held THEN 'held' ELSE 'added' END AS outcome FROM s JOIN c ON c.rn = s.rn + 1) x),
+  done AS (SELECT seq, pos, old_id, CASE WHEN outcome = 'held' THEN 'defer' WHEN refused THEN 'refuse' WHEN list_contains(before, old_id) THEN 'late' ELSE 'apply' END AS action FROM k JOIN s USING (seq) WHERE outcome <> 'repeat')"""
+add("win_line_seq", lambda v: settle.settle(_said(v), v("v_facts"))[0], f"WITH RECURSIVE {SETTLED} SELECT seq, outcome FROM s WHERE rn > 0")
+add("jon_supersede_first", lambda v: settle.settle(_said(v), v("v_facts"))[1], f"WITH RECURSIVE {SETTLED} SELECT seq, pos, old_id, action FROM done")
+add(
+    "agg_distill", lambda v: settle.counts(*settle.settle(_said(v), v("v_facts"))),
+    f"""WITH RECURSIVE {SETTLED} SELECT count(*) FILTER (outcome <> 'repeat') AS added, count(*) FILTER (outcome = 'held') AS quarantined, count(*) FILTER (outcome = 'repeat') AS deduped,
+      (SELECT count(*) FROM done WHERE action = 'refuse') AS refused, (SELECT count(*) FROM done WHERE action = 'defer') AS deferred FROM s WHERE rn > 0""",
 )
 add(
     "txt_transcript", lambda v: mining.window_facts(placed_windows(v, 3, 2000), "Alex").select("conversation_id", "window_no", F.sha2("transcript", 256).alias("sha")),

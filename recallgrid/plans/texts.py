@@ -37,8 +37,8 @@ add(
     "SELECT id, CAST(CASE WHEN id - 1 <= 6 THEN greatest(1, id - 1) ELSE least(14, greatest(6, round_even(sqrt((id - 1) / 2e0), 0))) END AS INT) AS k FROM v_facts",
 )
 add(
-    "scl_section", lambda v: v("v_facts").sparkSession.createDataFrame([(b, summary.section_words(b), summary.max_tokens(b)) for b in (100, 800, 2401, 9000)], "budget int, section int, tokens int"),
-    "SELECT budget, greatest(150, budget // 4) AS section, greatest(8000, 4 * budget) AS tokens FROM (VALUES (100), (800), (2401), (9000)) t(budget)",
+    "scl_section", lambda v: v("v_facts").select("id", summary.section_words(F.length("content")).alias("section"), summary.max_tokens(F.length("content")).alias("tokens")),
+    "SELECT id, greatest(150, length(content) // 4) AS section, greatest(8000, 4 * length(content)) AS tokens FROM v_facts",
 )
 add("scl_round", lambda v: v("v_facts").select("id", *(F.round(F.col("event_date") / 7e6, k).alias(f"r{k}") for k in (1, 3, 4))), "SELECT id, round(event_date / 7e6, 1) AS r1, round(event_date / 7e6, 3) AS r3, round(event_date / 7e6, 4) AS r4 FROM v_facts")
 add("vec_cos", lambda v: v("embeddings").select("vec_id", F.round(vector.cosine(F.col("embedding"), F.array(*map(F.lit, query_vector(v)))), 4).alias("sim")), "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), 4) AS sim FROM embeddings")
