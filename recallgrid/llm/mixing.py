@@ -13,7 +13,8 @@ target by less than a few of its smallest documents and a hot source is spread o
 Defined results: null text counts as 0 words; a null source is a source of its own, the last one; a
 target above cap times the source's words is met as far as it can be (every document cap times);
 sources without words have target 0; equal rows (also in doc_id) are apart only by chance of order
-and share one piece; reruns agree, as only doc_id, source and text decide.
+and share one piece; reruns agree to the last digit, as only doc_id, source and text decide
+and sums are exact.
 """
 
 from __future__ import annotations
@@ -60,13 +61,18 @@ def capped_targets(sources: DataFrame, share: float, cap: float) -> DataFrame:
     return sources.withColumn("target", F.least(limit, F.col("weight") * level))
 
 
+def _exact_sum(x: Column) -> Column:
+    """Sum in steps of 2^-40 as decimals: the same in any order, so that partitions and retries don't change a rate's last digits."""
+    return F.sum((x * 2.0**40).cast("decimal(38,0)")).cast("double") / 2.0**40
+
+
 def _newton_step(cells: DataFrame, state: DataFrame, cap: float) -> DataFrame:
     """state after one step; gap is how far its source was from its target before it. One grouped pass over the cells."""
     rate = F.exp(F.least(F.lit(700.0), F.col("multiplier") * F.col("x") * F.col("scale")))
     kept = ["target", "scale", "full", "multiplier", "low", "high"]
     now = cells.join(state, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(
-        F.sum(F.col("tokens") * F.least(F.lit(float(cap)), rate)).alias("met"),
-        F.sum(F.when(rate < cap, F.col("tokens") * F.col("x") * F.col("scale") * rate).otherwise(0.0)).alias("slope"),
+        _exact_sum(F.col("tokens") * F.least(F.lit(float(cap)), rate)).alias("met"),
+        _exact_sum(F.when(rate < cap, F.col("tokens") * F.col("x") * F.col("scale") * rate).otherwise(0.0)).alias("slope"),
         *(F.first(c).alias(c) for c in kept),
     )
     gap = F.col("met") - F.col("target")

@@ -9,7 +9,9 @@ reruns agree.
 
 Defined results: null url and html count as empty; a block that isn't an HTTP message, or whose digest
 doesn't hold, gives both records with an empty text and a warc-error field; records that aren't
-responses give nothing; equal rows give equal records; other columns are not read.
+responses give nothing; equal rows give equal records; other columns are not read. Header names have no
+case. What is wrong in a file never ends the job: read_warc gives each record it can tell, with an error
+(see parse) where it isn't whole; null headers and blocks are written as none.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .arrays import tidy
 
 RECORD = "record_id string, type string, target_uri string, date string, content_type string, headers map<string,string>, block binary"
 FIELDS = ["record_id", "type", "target_uri", "date", "content_type", "headers", "block"]
+NAMES = {"record_id": "warc-record-id", "type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type"}
+GZIP = re.compile(rb"\x1f\x8b\x08")
 READ_BYTES = 1 << 20
 CAPTURED = "2024-01-01T00:00:00Z"
 # What nothing closes goes on to the end, and tags hold no "<", so that no page is scanned twice.
@@ -79,10 +83,11 @@ def http_message(block: bytes) -> tuple[str, list[tuple[str, str]], bytes] | Non
 def derivatives(record: dict) -> list[dict]:
     """The metadata and the conversion record of a response record."""
     source, headers, block = record["record_id"] or "", dict(record["headers"] or {}), record["block"] or b""
+    named = {k.lower(): v for k, v in headers.items()}
     message = http_message(block)
     error = "" if message else "no HTTP response"
     status, http, payload = message or ("", [], b"")
-    if not error and headers.get("WARC-Payload-Digest", digest(payload)) != digest(payload):
+    if not error and (named.get("warc-payload-digest") or digest(payload)) != digest(payload):
         error = "payload digest differs"
     content = next((v for k, v in http if k.lower() == "content-type"), "")
     charset = CHARSET.search(content)
@@ -94,7 +99,7 @@ def derivatives(record: dict) -> list[dict]:
     text = "" if error else plain_text(page) if html else page if content.lower().startswith("text/") else ""
     out = text.encode()
     linked = {"WARC-Refers-To": source, "WARC-Refers-To-Target-URI": record["target_uri"] or "", "WARC-Refers-To-Date": record["date"] or ""}
-    linked |= {f"WARC-Source-{k.removeprefix('WARC-')}": headers[k] for k in ("WARC-Payload-Digest", "WARC-Block-Digest") if k in headers}
+    linked |= {f"WARC-Source-{k}": named[f"warc-{k.lower()}"] for k in ("Payload-Digest", "Block-Digest") if f"warc-{k.lower()}" in named}
     conversion = record_id(b"conversion", source.encode(), out)
     fields = [("refers-to", source), ("title", one_line(entities.unescape(TITLE.search(page)[1])) if html and TITLE.search(page) else ""), ("declared-language", LANG.search(page)[1].lower() if html and LANG.search(page) else ""), ("links", str(len(LINK.findall(page)) if html else 0)), ("text-length", str(len(text))), ("http-status", one_line(status))]
     fields += [("http-header", f"{one_line(k)}: {one_line(v)}") for k, v in http] + ([("warc-error", error)] if error else [])
@@ -109,10 +114,10 @@ def derivatives(record: dict) -> list[dict]:
 ARROW = pa.schema([(f, pa.string()) for f in FIELDS[:5]] + [("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 
 
-def _batches(rows: Iterator[dict], extra: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
-    """Rows as batches of at most a few MB."""
+def _batches(rows: Iterator[dict], extra: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most a few MB; extra are columns of ids before the fields, more texts after them."""
     held, size = [], 0
-    kinds = pa.schema([*(pa.field(c, pa.int64()) for c in extra), *ARROW])
+    kinds = pa.schema([*(pa.field(c, pa.int64()) for c in extra), *ARROW, *(pa.field(c, pa.string()) for c in more)])
     for r in rows:
         held.append(r | {"headers": list((r["headers"] or {}).items())})
         size += len(r["block"])
@@ -162,50 +167,96 @@ def build_derivatives(records: DataFrame) -> DataFrame:
 
 def as_bytes(record: dict) -> bytes:
     """A record in WARC/1.1 form, as one gzip member."""
-    head = {"WARC-Type": record["type"], "WARC-Record-ID": record["record_id"], "WARC-Target-URI": record["target_uri"], "WARC-Date": record["date"], **dict(record["headers"]), "Content-Type": record["content_type"], "Content-Length": str(len(record["block"]))}
+    block = record["block"] or b""
+    head = {"WARC-Type": record["type"], "WARC-Record-ID": record["record_id"], "WARC-Target-URI": record["target_uri"], "WARC-Date": record["date"], **dict(record["headers"] or {}), "Content-Type": record["content_type"], "Content-Length": str(len(block))}
     lines = "".join(f"{k}: {one_line(str(v))}\r\n" for k, v in head.items() if v is not None)
-    return gzip.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + record["block"] + b"\r\n\r\n", mtime=0)
+    return gzip.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n", mtime=0)
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of data, decompressed one by one; data itself if it is plain."""
-    rest = memoryview(data)
-    if bytes(rest[:2]) != b"\x1f\x8b":
-        yield data
+def _next_member(data: memoryview, at: int) -> int:
+    """Where, from at on, a gzip member begins whose content begins as a WARC record; the end if nowhere."""
+    for found in GZIP.finditer(data, at):
+        try:
+            if zlib.decompressobj(31).decompress(data[found.start() : found.start() + 4096], 5) == b"WARC/":
+                return found.start()
+        except zlib.error:
+            continue
+    return len(data)
+
+
+def members(data: bytes) -> Iterator[tuple[bytes, str]]:
+    """The gzip members of data, decompressed one by one, with an error or ""; data itself if it is plain.
+
+    Of a damaged or cut member what could be read is given, and reading goes on at the next member that
+    begins as a record.
+    """
+    view, at = memoryview(data), 0
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield bytes(view), ""  # an Arrow buffer can't be searched
         return
-    while bytes(rest[:2]) == b"\x1f\x8b":
-        d, out, at = zlib.decompressobj(31), [], 0
-        while at < len(rest) and not d.eof:
-            out.append(d.decompress(rest[at : at + READ_BYTES]))
-            at += READ_BYTES
-        rest = rest[min(at, len(rest)) - len(d.unused_data) :] if d.eof else rest[:0]
-        yield b"".join(out)
+    while at < len(view):
+        d, out, error, end = zlib.decompressobj(31), [], "", at
+        try:
+            while end < len(view) and not d.eof:
+                out.append(d.decompress(view[end : end + READ_BYTES]))
+                end = min(end + READ_BYTES, len(view))
+            if not d.eof:
+                error = "gzip member is cut short"
+        except zlib.error:
+            error = "gzip member is damaged"
+        yield b"".join(out), error
+        end = at + 1 if error else end - len(d.unused_data)
+        at = end if bytes(view[end : end + 2]) == b"\x1f\x8b" and not error else _next_member(view, end)
+
+
+def _records(part: bytes) -> Iterator[dict]:
+    at = 0
+    while (at := part.find(b"WARC/1.", at)) >= 0:
+        end = part.find(b"\r\n\r\n", at)
+        error, start = ("", end + 4) if end >= 0 else ("header is cut short", len(part))
+        pairs = [x.partition(":") for x in part[at : start if end < 0 else end].decode("utf-8", "replace").split("\r\n")[1:]]
+        head = {k.strip(): v.strip() for k, colon, v in pairs if colon}
+        known = {k.lower(): k for k in head}
+        take = lambda name: head.pop(known[name], None) if name in known else None
+        length = take("content-length")
+        if not error and not (length and length.isascii() and length.isdigit()):
+            error = "no Content-Length" if length is None else "Content-Length is no number"
+        # Without a length the block goes on to the next record.
+        following = part.find(b"\r\n\r\nWARC/1.", end) if error and end >= 0 else -1
+        size = int(length) if not error else max(0, (following if following >= 0 else len(part)) - start)
+        block = part[start : start + size]
+        if not error and len(block) < size:
+            error = "block is cut short"
+        yield {f: take(h) for f, h in NAMES.items()} | {"headers": head, "block": block, "error": error or None}
+        at = start + len(block)
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of WARC bytes, plain or gzip members; of members one at a time is held decompressed."""
-    for part in members(data):
-        at = 0
-        while (at := part.find(b"WARC/1.", at)) >= 0:
-            end = part.find(b"\r\n\r\n", at)
-            if end < 0:
-                break
-            pairs = [x.partition(":") for x in part[at:end].decode("utf-8", "replace").split("\r\n")[1:]]
-            head = {k.strip(): v.strip() for k, _, v in pairs}
-            size = int(head.pop("Content-Length", "0"))
-            block = part[end + 4 : end + 4 + size]
-            known = {"record_id": "WARC-Record-ID", "type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type"}
-            yield {f: head.pop(h, None) for f, h in known.items()} | {"headers": head, "block": block}
-            at = end + 4 + size
+    """The records of WARC bytes, plain or gzip members; of members one at a time is held decompressed.
+
+    A record's error is null, or says that its header or block is cut short, that its Content-Length is missing
+    or no number (the block then goes on to the next record), or that its gzip member is damaged or cut; a member
+    without any record is an empty record with that error.
+    """
+    for part, error in members(data):
+        last = None
+        for r in _records(part):
+            if last:
+                yield last
+            last = r
+        if error:
+            last = (last or dict.fromkeys(FIELDS) | {"headers": {}, "block": b""}) | {"error": error}
+        if last:
+            yield last
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """Records of WARC files read with spark.read.format("binaryFile"): a file's compressed bytes and one member are held at a time."""
+    """Records, with their error, of WARC files read with spark.read.format("binaryFile"): a file's compressed bytes and one member are held at a time."""
 
     def run(batches):
-        yield from _batches(r for b in batches for i in range(b.num_rows) for r in parse(b.column("content")[i].as_buffer()))
+        yield from _batches((r for b in batches for i in range(b.num_rows) if b.column("content")[i].is_valid for r in parse(b.column("content")[i].as_buffer())), more=("error",))
 
-    return files.select("content").mapInArrow(tidy(run), RECORD)
+    return files.select("content").mapInArrow(tidy(run), f"{RECORD}, error string")
 
 
 def serialized(records: DataFrame) -> DataFrame:

@@ -101,3 +101,10 @@ def test_tilt_is_balanced_by_entropy(spark):
     multipliers = {round(math.log(r["rate"]) / (r["size"] / 5), 6) for r in out}
     assert len(multipliers) == 1
     assert sum(r["rate"] * r["size"] for r in out) == pytest.approx(out[0]["target"], rel=1e-6)
+
+
+def test_rates_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dealt = [docs.repartition(n, *by) for n, by in ((1, ()), (7, ("text",)), (13, ("doc_id",)))]
+    first, *others = [sorted((r["doc_id"], r["rate"], r["copies"]) for r in mixing.mix(d, queries.MIX_WEIGHTS).collect()) for d in dealt]
+    assert all(x == first for x in others)

@@ -9,6 +9,8 @@ import html
 import re
 import time
 
+import pytest
+
 from recallgrid.llm import queries, warc
 
 PAGES = "page_id long, url string, html string, record_id string, headers string"
@@ -90,9 +92,59 @@ def test_hostile_pages_take_linear_time():
 def test_members_are_read_one_by_one():
     parts = [b"a" * 3_000_000, b"", b"c" * 10]
     data = b"".join(gzip.compress(p) for p in parts)
-    assert list(warc.members(data)) == parts
-    assert list(warc.members(b"plain")) == [b"plain"]
-    assert b"".join(warc.members(data[:-9])) == b"".join(parts)[: len(b"".join(warc.members(data[:-9])))]
+    assert list(warc.members(data)) == [(p, "") for p in parts]
+    assert list(warc.members(b"plain")) == [(b"plain", "")]
+    *whole, (cut, error) = warc.members(data[:-9])
+    assert (whole, error) == ([(p, "") for p in parts[:2]], "gzip member is cut short")
+    assert parts[2].startswith(cut)
+
+
+def record(name, block=b"xyz", length=None, url="u"):
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {name}\r\nWARC-Target-URI: {url}\r\n{length if length is not None else f'Content-Length: {len(block)}'}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def seen(data):
+    return [(r["record_id"], bytes(r["block"]), r["error"]) for r in warc.parse(data)]
+
+
+@pytest.mark.parametrize(
+    ("length", "block", "error"),
+    [
+        ("Content-Length: x", b"xyz", "Content-Length is no number"), ("Content-Length: -3", b"xyz", "Content-Length is no number"), ("Content-Length: ", b"xyz", "Content-Length is no number"),
+        ("X-Other: 1", b"xyz", "no Content-Length"), ("content-length: 3", b"xyz", None), ("CONTENT-LENGTH:2", b"xy", None),
+    ],
+)
+def test_bad_lengths_end_no_job(length, block, error):
+    assert seen(record("a", length=length) + record("b")) == [("a", block, error), ("b", b"xyz", None)]
+
+
+def test_cut_records():
+    assert seen(record("a") + record("b")[:-6]) == [("a", b"xyz", None), ("b", b"x", "block is cut short")]
+    assert seen(record("a") + b"WARC/1.1\r\nWARC-Record-ID: b\r\nContent-") == [("a", b"xyz", None), ("b", b"", "header is cut short")]
+    assert seen(b"") == seen(b"no warc") == []
+
+
+def test_damaged_members():
+    noise = bytes(range(256)) * 40
+    one, two, three = (gzip.compress(record(n, noise)) for n in "abc")
+    for broken in (two[:12] + bytes(9) + two[21:], two[:-8] + bytes(8), two[:-30], b"\x1f\x8b" + bytes(20)):
+        found = seen(one + broken + three)
+        assert (found[0], found[-1]) == (("a", noise, None), ("c", noise, None))
+        assert [e for _, _, e in found[1:-1]] == ["gzip member is damaged"]
+    assert seen(one + bytes(512) + three) == [("a", noise, None), ("c", noise, None)]  # padding
+
+
+def test_names_without_case_and_nulls(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nhello"
+    head = f"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID: r\r\nwarc-payload-digest: {sha1(b'other')}\r\ncontent-length: {len(block)}\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(head.encode() + block + b"\r\n\r\n" + record("bad", length="Content-Length: x"))
+    back = warc.read_warc(spark.read.format("binaryFile").load(str(tmp_path / "x.warc")))
+    assert [(r["record_id"], r["type"], r["error"]) for r in back.collect()] == [("r", "response", None), ("bad", "response", "Content-Length is no number")]
+    made = {r["headers"]["WARC-Refers-To"]: bytes(r["block"]) for r in warc.build_derivatives(back).where("type = 'metadata'").collect()}
+    assert b"warc-error: payload digest differs" in made["r"]
+    assert b"warc-error: no HTTP response" in made["bad"]
+    empty = spark.createDataFrame([(None,) * 7], warc.RECORD)
+    assert [(r["record_id"], bytes(r["block"]), r["error"]) for r in map(lambda r: next(warc.parse(bytes(r["member"]))), warc.serialized(empty).collect())] == [(None, b"", None)]
 
 
 def test_only_id_columns_are_kept(spark):
