@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..fixtures import NOW
 from ..functions import vector
 from ..operators.tables import new_path
 from ..sources import readers, snapshots
+from ..sources.arrays import array_objects
 from .registry import Views, add
 
 # An export object holds the messages of one range of ids, so that no object grows with a conversation.
@@ -51,13 +55,17 @@ READ = f"""SELECT c.external_id || '-' || CAST({RANGE} AS BIGINT) AS conversatio
 KEPT = "content <> '' OR len(files) > 0"
 
 
-def _conversations(v: Views) -> DataFrame:
-    """An export's conversations, by way of their JSON text."""
+def _conversation_texts(v: Views) -> DataFrame:
+    """value: the JSON text of each of an export's conversations."""
     messages = v("v_messages").alias("m").selectExpr("conversation_id", f"CAST({RANGE} AS BIGINT) AS range", "id", MESSAGE)
     nested = messages.groupBy("conversation_id", "range").agg(F.array_sort(F.collect_list(F.struct("id", "message"))).alias("all"))
     homes = v("v_conversations").select(F.col("id").alias("conversation_id"), "external_id", F.col("title").alias("name"), F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
-    texts = nested.join(homes, "conversation_id").select(F.to_json(F.struct(F.concat_ws("-", "external_id", "range").alias("uuid"), "name", "created_at", F.col("all.message").alias("chat_messages"))).alias("value"))
-    return readers.export_rows(texts, readers.EXPORT)
+    return nested.join(homes, "conversation_id").select(F.to_json(F.struct(F.concat_ws("-", "external_id", "range").alias("uuid"), "name", "created_at", F.col("all.message").alias("chat_messages"))).alias("value"))
+
+
+def _conversations(v: Views) -> DataFrame:
+    """An export's conversations, by way of their JSON text."""
+    return readers.export_rows(_conversation_texts(v), readers.EXPORT)
 
 
 def _projects(v: Views) -> DataFrame:
@@ -68,7 +76,25 @@ def _projects(v: Views) -> DataFrame:
     return readers.export_rows(texts, readers.PROJECT)
 
 
-add("src_export", lambda v: _conversations(v).select("uuid", "name", F.size("chat_messages").alias("messages")), f"SELECT conversation AS uuid, name, count(*) AS messages FROM ({READ}) x GROUP BY conversation, name")
+def _as_arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of one JSON array from a task's objects."""
+    before = "["
+    for f in frames:
+        for text in f["value"]:
+            yield pd.DataFrame({"value": [before + text]})
+            before = ","
+    yield pd.DataFrame({"value": ["[]" if before == "[" else "]"]})
+
+
+def _written(v: Views) -> DataFrame:
+    """The export's conversations, by way of files that hold an array each, read by byte ranges."""
+    texts = _conversation_texts(v)
+    path = new_path(texts.sparkSession, "export")
+    texts.mapInPandas(_as_arrays, "value string").write.text(path)
+    return readers.export_rows(array_objects(texts.sparkSession, path), readers.EXPORT)
+
+
+add("src_export", lambda v: _written(v).select("uuid", "name", F.size("chat_messages").alias("messages")), f"SELECT conversation AS uuid, name, count(*) AS messages FROM ({READ}) x GROUP BY conversation, name")
 def _file_names() -> Column:
     """Names and digests of a message's files as one text."""
     return F.array_join(F.transform("attachments", lambda f: F.concat(f["filename"], F.lit(":"), F.sha2(f["text"], 256))), " ").alias("files")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.facts import numbered
 from ..schema import DDL, SCHEMA_VERSION
+from .arrays import array_objects
 
 # File names that are text whatever their type says, and who speaks in an export.
 TEXT_ENDINGS = ["txt", "md", "csv", "json", "xml", "html", "htm", "yaml", "yml", "log", "py", "js", "ts", "sh", "sql"]
@@ -117,13 +118,16 @@ def extract_text(data: Column, filename: Column, mime: Column) -> Column:
 
 
 def read_export(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """conversations, projects and memories of a chat export; a project file holds one or a list."""
-    read = lambda schema, path: spark.read.schema(schema).json(f"{folder}/{path}", multiLine=True)
-    return {"conversations": read(EXPORT, "conversations.json"), "projects": read(PROJECT, "projects/*.json"), "memories": memory_rows(spark.read.text(f"{folder}/memories.json", wholetext=True))}
+    """conversations, projects and memories of a chat export; a project file holds one or a list.
+
+    conversations.json, the large one, is read by byte ranges (arrays.array_objects); the others are small.
+    """
+    projects = spark.read.schema(PROJECT).json(f"{folder}/projects/*.json", multiLine=True)
+    return {"conversations": export_rows(array_objects(spark, f"{folder}/conversations.json"), EXPORT), "projects": projects, "memories": memory_rows(spark.read.text(f"{folder}/memories.json", wholetext=True))}
 
 
 def export_rows(texts: DataFrame, schema: str) -> DataFrame:
-    """Rows of schema (EXPORT or PROJECT) from texts(value), one JSON object each: an export that is split into lines is read in parallel."""
+    """Rows of schema (EXPORT or PROJECT) from texts(value), one JSON object each."""
     return texts.select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
