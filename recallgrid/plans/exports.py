@@ -153,16 +153,43 @@ add(
 )
 
 
-def _backed_up(v: Views) -> DataFrame:
-    """The facts of a snapshot of tables that hold the ledger."""
+def _ledger(v: Views) -> tuple[DataFrame, str]:
+    """The facts, and a folder of tables that hold them."""
     facts = v("v_facts")
     spark, folder = facts.sparkSession, new_path(facts.sparkSession, "tables")
     readers.create_tables(spark, folder)
     facts.to(readers.read_table(spark, folder, "facts").schema).write.mode("append").parquet(f"{folder}/facts")
-    return readers.read_table(spark, snapshots.backup(spark, folder, f"{folder}-backups", "20240101-000000"), "facts")
+    return facts, folder
+
+
+def _backed_up(v: Views) -> DataFrame:
+    """The facts of a snapshot of tables that hold the ledger."""
+    facts, folder = _ledger(v)
+    return snapshots.read_snapshot(facts.sparkSession, snapshots.backup(facts.sparkSession, folder, f"{folder}-backups", "20240101-000000"), "facts")
+
+
+RANGE_IDS = 1000
+
+
+def _ticked(v: Views) -> DataFrame:
+    """Ranges of a timer's second snapshot of facts, after one with nothing changed and one with new facts; fresh: not in the first."""
+    facts, folder = _ledger(v)
+    spark, target = facts.sparkSession, f"{folder}-backups"
+    first = snapshots.tick(spark, folder, target, "20240101-000000", range_ids=RANGE_IDS)
+    idle = snapshots.tick(spark, folder, target, "20240101-010000", range_ids=RANGE_IDS)
+    new = facts.where("id % 17 = 0").withColumn("id", F.col("id") * 3)
+    new.to(readers.read_table(spark, folder, "facts").schema).write.mode("append").parquet(f"{folder}/facts")
+    then = snapshots.manifest(spark, snapshots.tick(spark, folder, target, "20240101-020000", range_ids=RANGE_IDS)).where("table = 'facts'")
+    same = snapshots.manifest(spark, first).select("table", "range", "written").withColumn("same", F.lit(True))
+    return then.join(same, ["table", "range", "written"], "left").select("range", "rows", F.col("same").isNull().alias("fresh"), F.lit(idle is None).alias("idle"))
 
 
 add("snk_backup", lambda v: _backed_up(v).select("id", "content_hash", "importance", F.size("embedding").alias("dims")), "SELECT id, content_hash, importance, len(embedding) AS dims FROM v_facts")
+add(
+    "str_backup", _ticked,
+    f"""SELECT CAST(floor(id / {RANGE_IDS}e0) AS BIGINT) AS range, count(*) AS rows, bool_or(new) AS fresh, true AS idle
+    FROM (SELECT id, false AS new FROM v_facts UNION ALL SELECT id * 3, true FROM v_facts WHERE id % 17 = 0) x GROUP BY 1""",
+)
 add(
     "vec_pack", lambda v: v("embeddings").select("vec_id", vector.unpack(vector.pack(F.col("embedding"))).alias("e")).select("vec_id", F.size("e").alias("dims"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a * 0.5 + x), 5).alias("folded")),
     "SELECT vec_id, len(embedding) AS dims, round(list_reduce(list_prepend(0e0, list_transform(embedding, lambda x: CAST(x AS DOUBLE))), lambda a, x: a * 0.5e0 + x), 5) AS folded FROM embeddings",
