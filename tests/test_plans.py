@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from recallgrid import fixtures
-from recallgrid.operators import recall
+from recallgrid.operators import facts, recall
 
 
 def optimized(df):
@@ -38,11 +40,24 @@ def counted(spark, n):
 
 
 def test_longer_prefixes_do_not_read_the_facts_again(spark):
-    facts, made = counted(spark, 60)
-    states = {r["id"]: r["state"] for r in recall.trace(facts, "words", [1.0, 0.0], 1e9, 2).collect()}
+    rows, made = counted(spark, 60)
+    states = {r["id"]: r["state"] for r in recall.trace(rows, "words", [1.0, 0.0], 1e9, 2).collect()}
     assert made.value == 60
     assert [states[i] for i in (1, 2, 59, 60)] == ["kept", "collapsed", "collapsed", "kept"]
     found, made = counted(spark, 60)
     assert [r["id"] for r in recall.recall(found, "words", [1.0, 0.0], 1e9, 2).collect()] == [1, 60]
     assert made.value == 180  # scores once; the texts of what was found twice, as the sort looks at its rows first
-    assert recall.duplicate_edges(facts, "words", [1.0, 0.0], 1e9, 2).where(F.col("a") == F.col("b")).isEmpty()
+    assert recall.duplicate_edges(rows, "words", [1.0, 0.0], 1e9, 2).where(F.col("a") == F.col("b")).isEmpty()
+
+
+def test_like_takes_time_in_proportion_to_a_text(spark):
+    """Wildcards as ilike reads them, and a long text that has the first pieces everywhere and the last nowhere."""
+    said = ["", "TaO then X", "t\no\nx", "x t-o", "to x", "tÄox", "T%O_x", "t.o x", None, "atboc", "aTo\U0001f600x", "A.B", "a+b", "tx ox", "o_x t_o x"]
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    for query in ("t_o%x", "t%o", "%x", "_", "a.b", "A+_", "t__o", "o_x", "%%", "__%Ä%X", "", "b\\_x", "to%_"):
+        rows = df.select(facts.like(F.col("s"), query).alias("a"), F.col("s").ilike(f"%{query}%").alias("b")).collect()
+        assert [r["a"] for r in rows] == [r["b"] for r in rows], query
+    long = spark.range(1).select(F.repeat(F.lit("tao "), 200_000).alias("s"))
+    began = time.perf_counter()
+    assert long.where(facts.like(F.col("s"), "t_o%x")).isEmpty()
+    assert time.perf_counter() - began < 20  # minutes, going back
