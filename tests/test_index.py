@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,25 @@ def test_snippets_show_the_best_window(spark):
     said = [" ".join(rng.choice(["the", "Tion,", "a", "b", "c", "d", "e", "f"][: rng.randrange(2, 9)]) for _ in range(rng.choice([0, 1, 5, 23, 24, 25, 80, 300]))) for _ in range(150)] + ["x " * 100 + "the " + "y " * 30 + "the tion the"]
     got = spark.createDataFrame(list(enumerate(said)), TEXTS).select("id", search.snippet(F.col("content"), ["the", "tion"]).alias("s")).collect()
     assert {r["id"]: r["s"] for r in got} == {i: best_window(t, {"the", "tion"}) for i, t in enumerate(said)}
+
+
+def test_parts_are_bounded(spark, tmp_path, monkeypatch):
+    """Parts grow in number with the texts; what is found is the same."""
+    monkeypatch.setattr(index, "BLOCK", 8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 37}" for k in range(1, 40))) for i in range(300)], "id long, content string").coalesce(1)
+    plain, small = index.Index(spark, str(tmp_path / "plain")), index.Index(spark, str(tmp_path / "small"))
+    plain.add(docs, "content", "s", 0)
+    monkeypatch.setattr(index, "PART_TOKENS", 50)
+    small.add(docs, "content", "s", 0)
+    found = [sorted(map(tuple, x.bm25([["w1"], ["w2", "w4"]]).collect())) for x in (plain, small)]
+    assert found[0] == found[1] and len(found[0]) > 30
+    assert len(small.blocks(["w1"]).inputFiles()) > len(plain.blocks(["w1"]).inputFiles())
+
+
+def test_python_takes_few_tokens_at_once(monkeypatch):
+    monkeypatch.setattr(index, "PIECE_TOKENS", 100)
+    ts = [["a"] * n for n in (30, 60, 10, 250, 1, 0, 99, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(ts, pa.list_(pa.string()))], names=["id", "ts"])
+    assert [p.column("id").to_pylist() for p in index._pieces(batch)] == [[0, 1, 2], [3], [4, 5, 6], [7, 8]]
+    rows = [(t, i, n, len(at)) for out in index._postings([batch]) for t, i, n, at in zip(*(out.column(c).to_pylist() for c in ("token", "id", "len", "positions")), strict=True)]
+    assert rows == [("a", i, len(x), len(x)) for i, x in enumerate(ts) if x]
