@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from recallgrid import fixtures
-from recallgrid.operators import facts, recall
+from recallgrid.operators import episodes, facts, recall
 
 
 def optimized(df):
@@ -61,3 +61,13 @@ def test_like_takes_time_in_proportion_to_a_text(spark):
     began = time.perf_counter()
     assert long.where(facts.like(F.col("s"), "t_o%x")).isEmpty()
     assert time.perf_counter() - began < 20  # minutes, going back
+
+
+def test_lengths_of_files_need_no_texts(spark, sf_dir):
+    """What a window counts of a message's files is summed where they lie; bodies are gathered only if asked for."""
+    v = lambda name: fixtures.view(spark, sf_dir, name)
+    bodies = episodes.with_bodies(v("v_messages"), episodes.attachments_by_message(v("v_attachments"), v("v_captions")))
+    sizes = bodies.select("conversation_id", "id", "view_len")
+    assert "collect_list" not in optimized(sizes) and "collect_list" in optimized(bodies)
+    other = episodes.with_bodies(v("v_messages"), episodes.attachments_by_message(v("v_attachments"), v("v_captions")).drop("chars")).select("conversation_id", "id", "view_len")
+    assert sorted(map(tuple, sizes.collect())) == sorted(map(tuple, other.collect()))
