@@ -71,3 +71,17 @@ def test_lengths_of_files_need_no_texts(spark, sf_dir):
     assert "collect_list" not in optimized(sizes) and "collect_list" in optimized(bodies)
     other = episodes.with_bodies(v("v_messages"), episodes.attachments_by_message(v("v_attachments"), v("v_captions")).drop("chars")).select("conversation_id", "id", "view_len")
     assert sorted(map(tuple, sizes.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_texts_of_attachments_do_not_move_to_meet_conversations(spark, sf_dir):
+    """Digests are made below the join, and the few ids of conversations are sent to the texts, as their size is known."""
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "4096")  # the conversations are larger, their ids aren't
+    try:
+        files = fixtures.view(spark, sf_dir, "v_attachments")
+        plan = optimized(files.select("id", "sha256"))
+        assert plan.count("Join") == 1 and plan.index("Join") < plan.index("sha2(")
+        plan = files.select("id", "extracted_text")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set(key, before)
