@@ -195,6 +195,21 @@ def test_windows_go_on_over_batches(spark, tmp_path):
     assert closed == {(c, w): [r["id"] for r in sorted(placed) if (r["conversation_id"], r["window_no"]) == (c, w)] for c in range(5) for w in range(1, last[c])}
 
 
+def test_windows_of_many_conversations_share_few_keys(spark, tmp_path):
+    """Each key of the state is a range of conversations; what they hold of each other's is nothing."""
+    rows = [(c - 40, 1000 * turn + c, 20 + c % 50) for turn in range(5) for c in range(200)]
+    schema, source, out = "conversation_id long, id long, view_len int", str(tmp_path / "in"), str(tmp_path / "out")
+    for k in (0, 2):  # two batches, the second with all that is left
+        spark.createDataFrame(rows[200 * k : 400 if k == 0 else None], schema).write.mode("append").parquet(source)
+        placed = windows.windows(spark.readStream.schema(schema).parquet(source), 3, 100)
+        query = placed.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress) <= 200 / windows.A_KEY + 2
+    cols = ["conversation_id", "id", "window_no", "msg_no"]
+    got = spark.read.schema(placed.schema).parquet(out).select(*cols).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mining.windows(spark.createDataFrame(rows, schema), 3, 100).select(*cols).collect()))
+
+
 def test_attachments_bind_before_with_and_after_their_message(spark, tmp_path):
     """In one batch, in batches apart, and long after, when only the table knows the message."""
     files, said = str(tmp_path / "files"), str(tmp_path / "said")
