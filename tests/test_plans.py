@@ -85,3 +85,14 @@ def test_texts_of_attachments_do_not_move_to_meet_conversations(spark, sf_dir):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set(key, before)
+
+
+def test_texts_of_facts_do_not_move_to_meet_the_pools(spark, sf_dir):
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "16384")  # the facts are larger, what the pools name isn't
+    try:
+        rows = recall.pools(fixtures.view(spark, sf_dir, "v_facts"), fixtures.NOW)
+        plan = rows.select("pool", "id", "content")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set(key, before)
