@@ -153,15 +153,20 @@ add(
 )
 
 
-def _ledger(v: Views) -> tuple[DataFrame, str]:
-    """The facts, and a folder of tables that hold them."""
+def _ledger(v: Views, by_id: bool = False) -> tuple[DataFrame, str]:
+    """The facts, and a folder of tables that hold them; by_id: near ids together, as a ledger grows."""
     facts = v("v_facts")
+    facts = _near(facts) if by_id else facts
     spark, folder = facts.sparkSession, new_path(facts.sparkSession, "tables")
     readers.create_tables(spark, folder)
     facts.to(readers.read_table(spark, folder, "facts").schema).write.mode("append").parquet(f"{folder}/facts")
     return facts, folder
 
 
+def _near(facts: DataFrame) -> DataFrame:
+    return facts.repartition(F.floor(F.col("id") / RANGE_IDS))
+
+
 def _backed_up(v: Views) -> DataFrame:
     """The facts of a snapshot of tables that hold the ledger."""
     facts, folder = _ledger(v)
@@ -173,11 +178,11 @@ RANGE_IDS = 1000
 
 def _ticked(v: Views) -> DataFrame:
     """Ranges of a timer's second snapshot of facts, after one with nothing changed and one with new facts; fresh: not in the first."""
-    facts, folder = _ledger(v)
+    facts, folder = _ledger(v, by_id=True)
     spark, target = facts.sparkSession, f"{folder}-backups"
     first = snapshots.tick(spark, folder, target, "20240101-000000", range_ids=RANGE_IDS)
     idle = snapshots.tick(spark, folder, target, "20240101-010000", range_ids=RANGE_IDS)
-    new = facts.where("id % 17 = 0").withColumn("id", F.col("id") * 3)
+    new = _near(v("v_facts").where("id % 17 = 0").withColumn("id", F.col("id") * 3))
     new.to(readers.read_table(spark, folder, "facts").schema).write.mode("append").parquet(f"{folder}/facts")
     then = snapshots.manifest(spark, snapshots.tick(spark, folder, target, "20240101-020000", range_ids=RANGE_IDS)).where("table = 'facts'")
     same = snapshots.manifest(spark, first).select("table", "range", "written").withColumn("same", F.lit(True))

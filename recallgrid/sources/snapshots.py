@@ -72,13 +72,22 @@ def backup(spark: SparkSession, tables: str, target: str, stamp: str, keep: int
         if fresh.isEmpty():
             continue
         rows = read_table(spark, tables, name)
-        rows = rows.select("*", _range(rows, range_ids)).join(fresh, "range", "left_semi")
-        rows.repartition("range", F.pmod(F.xxhash64(rows.columns[0]), F.lit(FILES_A_RANGE))).write.partitionBy("range").mode("overwrite").parquet(f"{target}/parts/{name}/written={written}")
+        rows = gathered(rows.select("*", _range(rows, range_ids)), fresh)
+        rows.write.partitionBy("range").mode("overwrite").option("compression", "zstd").parquet(f"{target}/parts/{name}/written={written}")
     full.drop("fresh").write.mode("overwrite").parquet(path)
     _forget(spark, target, [n for n in _list(spark, target)][:-keep])
     return path
 
 
+def gathered(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Of a table's rows(..., range) the fresh ranges, moved to few tasks each, unless few files hold a range, as where ids only grow."""
+    spread = rows.select("range", F.input_file_name().alias("file")).distinct().groupBy("range").count().agg(F.max("count")).first()[0]
+    kept = rows.join(fresh, "range", "left_semi")
+    if (spread or 0) <= FILES_A_RANGE:
+        return kept
+    return kept.repartition("range", F.pmod(F.xxhash64(rows.columns[0]), F.lit(FILES_A_RANGE)))
+
+
 def _forget(spark: SparkSession, target: str, names: list[str]) -> None:
     """Removes snapshots, and the ranges that no other one names."""
     if not names:

@@ -67,3 +67,13 @@ def test_what_a_killed_backup_left_is_in_no_snapshot(spark, ledger):
     assert not snapshots.changed_since(spark, tables, first, 10)
     spark.createDataFrame([("k", "v")], DDL["settings"]).write.mode("append").parquet(f"{tables}/settings")
     assert snapshots.changed_since(spark, tables, first, 10)  # a repeated row is a change
+
+
+def test_ranges_that_few_files_hold_are_not_moved(spark, tmp_path):
+    rows = spark.range(400).withColumn("range", F.floor(F.col("id") / 40))
+    rows.repartitionByRange(4, "id").write.parquet(str(tmp_path / "near"))
+    rows.repartition(20, F.col("id") % 20).write.parquet(str(tmp_path / "strewn"))
+    for name, moved in (("near", False), ("strewn", True)):
+        got = snapshots.gathered(spark.read.parquet(str(tmp_path / name)), rows.where("range < 9").select("range").distinct())
+        assert ("RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()) == moved
+        assert sorted(r["id"] for r in got.collect()) == list(range(360))
